@@ -49,15 +49,7 @@ def rss_timestamp(raw: Column) -> Column:
 
 def session_close(trading_date: Column) -> Column:
     """Instant a daily bar is stamped with: 05:30 UTC of its trading date."""
-    return F.make_timestamp(
-        F.year(trading_date),
-        F.month(trading_date),
-        F.dayofmonth(trading_date),
-        F.lit(5),
-        F.lit(30),
-        F.lit(0),
-        F.lit("UTC"),
-    )
+    return F.timestamp_seconds(F.unix_date(trading_date) * F.lit(86_400) + F.lit(19_800))
 
 
 def instant(value) -> Column:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def _plain(raw: Column) -> Column:
     """Drop thousands separators; ``(5)`` and ``5-`` mean minus five."""
     text = F.trim(F.replace(raw, F.lit(","), F.lit("")))
-    return F.regexp_replace(text, r"^(?:\((.*)\)|(.*)-)$", "-$1$2")
+    marked = text.endswith(")") | text.endswith("-")
+    return F.when(
+        marked, F.regexp_replace(text, r"^(?:\((.*)\)|(.*)-)$", "-$1$2")
+    ).otherwise(text)
 
 
 def price(raw: Column) -> Column:
@@ -18,9 +21,15 @@ def price(raw: Column) -> Column:
 
 
 def quantity(raw: Column) -> Column:
-    """Quoted whole number to ``bigint``; a fraction other than zero is NULL."""
-    value = _plain(raw).try_cast("decimal(38,6)")
-    return F.when(value % 1 == 0, value.try_cast("bigint"))
+    """Quoted whole number to ``bigint``; a fraction other than zero is NULL.
+
+    Plain digits are read directly; only ``3.0`` or ``1e3`` take the decimal way.
+    """
+    text = _plain(raw)
+    value = text.try_cast("decimal(38,6)")
+    return F.coalesce(
+        text.try_cast("bigint"), F.when(value % 1 == 0, value.try_cast("bigint"))
+    )
 
 
 def pct_change(current: Column, base: Column, when_zero: float) -> Column:

@@ -4,17 +4,20 @@ A keyword matches anywhere in the text, case counts, and overlapping hits all
 count: ``aa`` occurs three times in ``aaaa``. Two aliases with one keyword give
 two hits.
 
-The plan, all in the JVM:
+The plan, all in the JVM and in one stage:
 
 1. cut a text into pieces of ``PIECE`` start positions, each reaching far
    enough into the next for the longest keyword (one pass over the text);
-2. explode the start positions;
-3. join on the first 1, 2, 4 or 8 characters (the anchor) with the broadcast
+2. explode the start positions and look up the first two characters (one, for
+   keywords of one character) in the broadcast heads of the dictionary, which
+   drops most positions and tells which anchor lengths are worth a look;
+3. join the first 1, 2, 4 or 8 characters (the anchor) with the broadcast
    dictionary and keep candidates whose whole keyword is there.
 
-A position is looked up once per anchor length in use, at most four times,
-whatever the dictionary holds. Texts are not shuffled: the first exchange is
-the one of the partly counted (document, entity) pairs.
+Both joins use 64-bit hashes as keys; the comparison of the whole keyword makes
+the result exact. The work per position does not depend on the size of the
+dictionary, and texts are not shuffled: the first exchange is the one of the
+partly counted (document, entity) pairs.
 """
 
 from __future__ import annotations
@@ -27,35 +30,57 @@ from pyspark.sql import functions as F
 from buzzlens.functions.text import full_text
 from buzzlens.operators.keyed import BROADCAST_ROWS, broadcast_if_small
 
-ANCHOR_LENGTHS = (8, 4, 2, 1)
-PIECE = 256
+ANCHOR_LENGTHS = (1, 2, 4, 8)
+HEAD_LENGTH = 2
+PIECE = 64
 SALTS = 64
 
 
 @dataclass(frozen=True)
 class _Dictionary:
-    rows: DataFrame  # entity_id, keyword, anchor_len, anchor
-    anchor_lengths: list[int]
+    rows: DataFrame  # entity_id, keyword, word_anchor_len, anchor_key
+    heads: DataFrame  # word_head_len, head_key, anchor_lens
+    head_lengths: list[int]
     longest: int
     size: int
 
 
+def _key(text: str, length: str | int) -> Column:
+    """Hash of the first ``length`` characters together with that length.
+
+    The length keeps a text cut short by the end of the document from meeting a
+    shorter entry.
+    """
+    return F.expr(f"xxhash64(substring({text}, 1, {length}), {length})")
+
+
 def _prepare(aliases: DataFrame) -> _Dictionary:
-    """Add anchors; one aggregate reads size, longest keyword, anchor lengths."""
+    """Anchors and heads of the keywords; one aggregate reads the sizes."""
     anchor_len = F.lit(None).cast("int")
-    for length in reversed(ANCHOR_LENGTHS):
+    for length in ANCHOR_LENGTHS:
         anchor_len = F.when(F.length("keyword") >= length, length).otherwise(anchor_len)
-    rows = (
+    words = (
         aliases.filter(F.col("keyword") != "")
-        .select("entity_id", "keyword", anchor_len.alias("anchor_len"))
-        .withColumn("anchor", F.expr("substring(keyword, 1, anchor_len)"))
+        .select("entity_id", "keyword", anchor_len.alias("word_anchor_len"))
+        .withColumn("word_head_len", F.least(F.col("word_anchor_len"), F.lit(HEAD_LENGTH)))
+    )
+    heads = words.groupBy("word_head_len", _key("keyword", "word_head_len").alias("head_key")).agg(
+        F.collect_set("word_anchor_len").alias("anchor_lens")  # at most four values
     )
-    facts = rows.agg(
+    facts = words.agg(
         F.count("*").alias("size"),
         F.coalesce(F.max(F.length("keyword")), F.lit(1)).alias("longest"),
-        F.sort_array(F.collect_set("anchor_len")).alias("anchor_lengths"),  # at most four
+        F.sort_array(F.collect_set("word_head_len")).alias("head_lengths"),
     ).first()
-    return _Dictionary(rows, facts["anchor_lengths"], facts["longest"], facts["size"])
+    rows = words.select(
+        "entity_id",
+        "keyword",
+        "word_anchor_len",
+        _key("keyword", "word_anchor_len").alias("anchor_key"),
+    )
+    return _Dictionary(
+        rows, heads, facts["head_lengths"] or [1], facts["longest"], facts["size"]
+    )
 
 
 def _pieces(text: Column, overlap: int) -> Column:
@@ -75,44 +100,51 @@ def keyword_hits(
 
     ``text`` defaults to title, blank, content. ``keys`` are carried along, so
     whatever the caller groups by later needs no join. Runs one aggregate over
-    the dictionary; a dictionary above ``max_broadcast_rows`` is joined by a
-    shuffle on the anchor, with hot anchors spread over ``SALTS`` keys.
+    the dictionary. A dictionary above ``max_broadcast_rows`` is joined by a
+    shuffle of the positions instead, with hot anchors spread over ``SALTS``
+    keys.
     """
     words = _prepare(aliases)
     text = full_text(F.col("title"), F.col("content")) if text is None else text
     names = list(keys)
+    small = words.size <= max_broadcast_rows
     pieces = documents.select(*names, F.explode(_pieces(text, words.longest - 1)).alias("piece"))
     positions = pieces.select(
         *names,
         "piece",
         F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece")))).alias("pos"),
-    )
-    if len(words.anchor_lengths) == 1:
-        probes = positions.withColumn("anchor_len", F.lit(words.anchor_lengths[0]))
+    ).withColumn("window", F.expr(f"substring(piece, pos, {max(ANCHOR_LENGTHS)})"))
+
+    if small:
+        head_lengths = F.array(*[F.lit(n) for n in words.head_lengths])
+        candidates = (
+            positions.withColumn("head_len", F.explode(head_lengths))
+            .withColumn("head_key", _key("window", "head_len"))
+            .join(F.broadcast(words.heads), "head_key")
+            # Written as a difference so that the hash alone stays the join key.
+            .filter(F.col("head_len") - F.col("word_head_len") == 0)
+            .select(*names, "piece", "pos", "window", F.explode("anchor_lens").alias("anchor_len"))
+        )
     else:
-        lengths = F.array(*[F.lit(n) for n in words.anchor_lengths] or [F.lit(1)])
-        probes = positions.withColumn("anchor_len", F.explode(lengths))
-    probes = probes.withColumn("anchor", F.expr("substring(piece, pos, anchor_len)"))
-
-    if words.size <= max_broadcast_rows:
-        # The length is part of the key: an anchor cut short by the end of the
-        # text must not meet a shorter one.
-        joined = probes.join(F.broadcast(words.rows), ["anchor_len", "anchor"])
-        whole = F.expr("substring(piece, pos, length(keyword)) = keyword")
+        lengths = F.array(*[F.lit(n) for n in ANCHOR_LENGTHS])
+        candidates = positions.withColumn("anchor_len", F.explode(lengths))
+    probes = candidates.withColumn("anchor_key", _key("window", "anchor_len"))
+
+    if small:
+        joined = probes.join(F.broadcast(words.rows), "anchor_key")
+        found = F.expr("substring(piece, pos, length(keyword))")
     else:
-        salted_words = words.rows.withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        )
-        windows = probes.select(
+        salted = words.rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = probes.select(
             *names,
             "anchor_len",
-            "anchor",
+            "anchor_key",
             F.expr(f"substring(piece, pos, {words.longest})").alias("window"),
             F.pmod("pos", F.lit(SALTS)).alias("salt"),
-        )
-        joined = windows.join(salted_words, ["anchor_len", "anchor", "salt"])
-        whole = F.col("window").startswith(F.col("keyword"))
-    return joined.filter(whole).select(*names, "entity_id", "keyword")
+        ).join(salted, ["anchor_key", "salt"])
+        found = F.expr("substring(window, 1, length(keyword))")
+    exact = (F.col("anchor_len") - F.col("word_anchor_len") == 0) & (found == F.col("keyword"))
+    return joined.filter(exact).select(*names, "entity_id", "keyword")
 
 
 def entity_counts(hits: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:

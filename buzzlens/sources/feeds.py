@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from buzzlens import schemas
 from buzzlens.functions.dates import rss_timestamp
+from buzzlens.functions.rows import computed_once
 from buzzlens.functions.text import news_id, strip_space, strip_tags
 
 RSS_ITEM = T.StructType.fromDDL(
@@ -29,13 +30,14 @@ def parse_items(items: DataFrame, source_type: str = schemas.NEWS_SOURCE) -> Dat
     """
     title, link = strip_space(F.col("title")), strip_space(F.col("link"))
     guid = strip_space(F.col("guid"))
-    documents = items.select(
-        news_id(F.coalesce(guid, link)).alias("document_id"),
-        F.lit(source_type).alias("source_type"),
-        title.alias("title"),
-        strip_space(strip_tags(F.coalesce("description", F.lit("")))).alias("content"),
-        rss_timestamp(F.col("pubDate")).alias("published_at"),
-        link.alias("url"),
+    documents = computed_once(
+        items,
+        document_id=news_id(F.coalesce(guid, link)),
+        source_type=F.lit(source_type),
+        title=title,
+        content=strip_space(strip_tags(F.coalesce("description", F.lit("")))),
+        published_at=rss_timestamp(F.col("pubDate")),
+        url=link,
     )
     return documents.filter(
         (F.col("title") != "")

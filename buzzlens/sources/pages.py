@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from buzzlens import schemas
 from buzzlens.functions.dates import forum_timestamp
+from buzzlens.functions.rows import computed_once
 from buzzlens.functions.text import (
     decode_entities,
     file_stem,
@@ -80,13 +81,14 @@ def index_entries(
     href = F.regexp_extract("col", layout.anchor, 1)
     title = decode_entities(strip_space(strip_tags(F.regexp_extract("col", layout.anchor, 2))))
     author = strip_space(strip_tags(F.regexp_extract("col", layout.author, 1)))
-    rows = entries.filter(F.col("col").rlike(layout.anchor)).select(
-        *keys,
-        "pos",
-        file_stem(href).alias("article_id"),
-        title.alias("title"),
-        author.alias("author"),
-        href.alias("href"),
+    rows = computed_once(
+        entries.filter(F.col("col").rlike(layout.anchor)),
+        **{key: F.col(key) for key in keys},
+        pos=F.col("pos"),
+        article_id=file_stem(href),
+        title=title,
+        author=author,
+        href=href,
     )
     return rows.filter(F.col("article_id") != "")
 
@@ -120,25 +122,27 @@ def article_documents(pages: DataFrame, layout: ArticleLayout = FORUM_ARTICLE) -
 
     A page without a body or without a readable time gives no row.
     """
-    opened = F.element_at(F.split("html", layout.body, 2), 2)
-    bodies = pages.filter(F.col("html").rlike(layout.body)).select(
-        "document_id", "url", _inside_div(opened).alias("body")
+    # Nothing follows the opening tag on a page without one. Exploding also keeps
+    # the body from being worked out again for every column and the filter.
+    after_open = F.slice(F.split("html", layout.body, 2), 2, 1)
+    bodies = pages.select(
+        "document_id", "url", F.explode(F.transform(after_open, _inside_div)).alias("body")
     )
     body = F.col("body")
     votes = F.transform(
         F.regexp_extract_all(body, F.lit(layout.vote), 0),
         lambda v: strip_space(strip_tags(F.regexp_extract(v, layout.vote_tag, 1))),
     )
-    found = bodies.select(
-        "document_id",
-        "url",
-        first_word(_labelled(body, layout, AUTHOR_LABEL)).alias("author"),
-        _labelled(body, layout, TITLE_LABEL).alias("title"),
-        forum_timestamp(_labelled(body, layout, TIME_LABEL)).alias("published_at"),
-        votes.alias("votes"),
-        strip_space(
-            decode_entities(strip_tags(F.regexp_replace(body, layout.removed, "")))
-        ).alias("content"),
+    text = strip_tags(F.regexp_replace(body, layout.removed, ""))
+    found = computed_once(
+        bodies,
+        document_id=F.col("document_id"),
+        url=F.col("url"),
+        author=first_word(_labelled(body, layout, AUTHOR_LABEL)),
+        title=_labelled(body, layout, TITLE_LABEL),
+        published_at=forum_timestamp(_labelled(body, layout, TIME_LABEL)),
+        votes=votes,
+        content=strip_space(decode_entities(text)),
     ).filter(F.col("published_at").isNotNull())
 
     def count(mark: str) -> Column:

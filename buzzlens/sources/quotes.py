@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from buzzlens.functions.dates import roc_date, session_close
 from buzzlens.functions.numbers import price, quantity
+from buzzlens.functions.rows import computed_once
 
 
 @dataclass(frozen=True)
@@ -70,23 +71,33 @@ def read_quotes(
 
 def parse_quotes(raw: DataFrame, feed: QuoteFeed) -> DataFrame:
     """Bars of a raw feed; a quote with any unreadable number or date is dropped."""
-    trading_date = roc_date(F.col(feed.date))
-    bars = raw.select(
-        F.coalesce(F.col(feed.code), F.lit("")).alias("stock_code"),
-        F.coalesce(F.col(feed.name), F.lit("")).alias("stock_name"),
+    parsed = computed_once(
+        raw,
+        stock_code=F.coalesce(F.col(feed.code), F.lit("")),
+        stock_name=F.coalesce(F.col(feed.name), F.lit("")),
+        trading_date=roc_date(F.col(feed.date)),
+        open=price(F.col(feed.open)),
+        high=price(F.col(feed.high)),
+        low=price(F.col(feed.low)),
+        close=price(F.col(feed.close)),
+        volume=quantity(F.col(feed.volume)),
+        turnover=quantity(F.col(feed.turnover)),
+    )
+    needed = ["trading_date", "open", "high", "low", "close", "volume", "turnover"]
+    return parsed.dropna(how="any", subset=needed).select(
+        "stock_code",
+        "stock_name",
         F.lit(feed.market).alias("market"),
         F.lit(feed.data_source).alias("data_source"),
-        trading_date.alias("trading_date"),
-        session_close(trading_date).alias("ts"),
-        price(F.col(feed.open)).alias("open"),
-        price(F.col(feed.high)).alias("high"),
-        price(F.col(feed.low)).alias("low"),
-        price(F.col(feed.close)).alias("close"),
-        quantity(F.col(feed.volume)).alias("volume"),
-        quantity(F.col(feed.turnover)).alias("turnover"),
+        "trading_date",
+        session_close(F.col("trading_date")).alias("ts"),
+        "open",
+        "high",
+        "low",
+        "close",
+        "volume",
+        "turnover",
     )
-    needed = ["trading_date", "open", "high", "low", "close", "volume", "turnover"]
-    return bars.dropna(how="any", subset=needed)
 
 
 def union_quotes(*bars: DataFrame) -> DataFrame:
