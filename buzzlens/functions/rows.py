@@ -14,4 +14,4 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     stays inside the generated code.
     """
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select(F.inline(F.array(row)))
+    return df.select(row.alias("_row")).select(F.inline(F.array("_row")))

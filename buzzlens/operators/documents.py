@@ -22,10 +22,8 @@ def union_documents(*frames: DataFrame) -> DataFrame:
         result = result.unionByName(other, allowMissingColumns=True)
     return result.select(
         *[
-            (F.col(f.name) if f.name in result.columns else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in schemas.DOCUMENTS
+            (F.col(name) if name in result.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in schemas.DOCUMENTS.items()
         ]
     )
 

@@ -528,7 +528,7 @@ def _found(spark, directory, stored: bool):
 
 
 def _no_concepts_yet(spark):
-    return spark.createDataFrame([], schemas.CONCEPTS)
+    return spark.createDataFrame([], schemas.ddl(schemas.CONCEPTS))
 
 
 def _stored_concepts(spark, directory):

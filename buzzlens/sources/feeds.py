@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from buzzlens import schemas
 from buzzlens.functions.dates import rss_timestamp
 from buzzlens.functions.rows import computed_once
 from buzzlens.functions.text import news_id, strip_space, strip_tags
 
-RSS_ITEM = T.StructType.fromDDL(
-    "title string, link string, description string, pubDate string, guid string"
-)
+RSS_ITEM = "title string, link string, description string, pubDate string, guid string"
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from buzzlens.functions.dates import days_before, instant
 from buzzlens.operators.keyed import last_row
+from buzzlens.schemas import ddl
 
 BAR_IDENTITY = ["stock_code", "market", "ts"]
 MENTION_IDENTITY = ["stock_code", "source_type", "ts"]
@@ -59,10 +59,10 @@ def write_series(
 
 
 def read_series(
-    spark: SparkSession, path: str, start, stop, schema: T.StructType
+    spark: SparkSession, path: str, start, stop, columns: dict[str, str]
 ) -> DataFrame:
     """Points in ``[start, stop)`` of a written series; other days are not read."""
-    stored = T.StructType([*schema.fields, T.StructField("series_day", T.DateType())])
+    stored = ddl({**columns, "series_day": "date"})
     points = spark.read.schema(stored).parquet(path)
     days = F.col("series_day").between(
         instant(start).cast("date"), instant(stop).cast("date")
