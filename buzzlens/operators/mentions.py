@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,13 @@ def mention_counts(mentions: DataFrame, start, stop) -> DataFrame:
     )
 
 
-def mention_deltas(mentions: DataFrame, as_of, window: str) -> DataFrame:
+def mention_deltas(mentions: DataFrame, as_of, window: timedelta) -> DataFrame:
     """Mentions in ``[as_of - w, as_of)`` against ``[as_of - 2w, as_of - w)``.
 
     One scan and one aggregate answer both windows. Stocks without a mention in
     the current window have no row; one without any before it has delta 100.
     """
-    end, width = instant(as_of), F.expr(f"INTERVAL {window}")
+    end, width = instant(as_of), F.lit(window)
     middle = end - width
     recent = time_range(mentions, middle - width, end)
     current = F.when(F.col("ts") >= middle, F.col("mention_count"))
@@ -66,29 +68,31 @@ def mention_deltas(mentions: DataFrame, as_of, window: str) -> DataFrame:
     )
 
 
-def mention_delta_history(mentions: DataFrame, window: str) -> DataFrame:
+def mention_delta_history(mentions: DataFrame, window: timedelta) -> DataFrame:
     """``mention_deltas`` for every window of a fixed grid at once.
 
-    Each point counts as current in its own window and as previous in the next
-    one, so a single grouped sum does it: no dense grid, no ordering per stock,
-    and a stock with a third of all points is still summed before the shuffle.
+    A sliding window of twice the width holds a window and the one before it,
+    so one grouped sum does it: no dense grid and no ordering per stock, and a
+    stock with a third of all points is still summed before the shuffle. The
+    same plan runs on a stream with a watermark on ``ts``.
     """
-    grid = F.window("ts", window)
-    slots = F.array(
-        F.struct(F.col("grid.start").alias("window_start"), F.lit(True).alias("own")),
-        F.struct(F.col("grid.end").alias("window_start"), F.lit(False).alias("own")),
-    )
-    own, count = F.col("slot.own"), F.col("mention_count")
+    seconds = int(window.total_seconds())
+    both = F.window("ts", f"{2 * seconds} seconds", f"{seconds} seconds")
+    middle = F.col("both.end") - F.lit(window)
+    own, count = F.col("ts") >= middle, F.col("mention_count")
     sums = (
         mentions.filter(_named(F.col("stock_code")))
-        .select("stock_code", "mention_count", grid.alias("grid"))
-        .select("stock_code", "mention_count", F.explode(slots).alias("slot"))
-        .groupBy("stock_code", F.col("slot.window_start").alias("window_start"))
+        .select("stock_code", "ts", "mention_count", both.alias("both"))
+        .groupBy("stock_code", "both")
         .agg(
             F.coalesce(F.sum(F.when(own, count)), F.lit(0)).alias("current_count"),
             F.coalesce(F.sum(F.when(~own, count)), F.lit(0)).alias("previous_count"),
         )
     )
-    return sums.filter(F.col("current_count") != 0).withColumn(
-        "mention_delta", pct_change(F.col("current_count"), F.col("previous_count"), 100)
+    return sums.filter(F.col("current_count") != 0).select(
+        "stock_code",
+        middle.alias("window_start"),
+        "current_count",
+        "previous_count",
+        pct_change(F.col("current_count"), F.col("previous_count"), 100).alias("mention_delta"),
     )

@@ -57,12 +57,24 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return rows
 
 
+def stream_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    files = spark.read.schema(TABLES[name]).parquet(f"{directory}/{name}.parquet").inputFiles()
+    reader = spark.readStream.schema(TABLES[name])
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+        rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    else:
+        rows = reader.parquet(f"{directory}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in HEAVY and len(files) < cores else rows
+
+
 # Activity as mentions and bars
 
 
-def event_mentions(spark: SparkSession, directory: str) -> DataFrame:
+def event_mentions(spark: SparkSession, directory: str, read=table) -> DataFrame:
     """One mention of stock ``user_id`` per event; the event type is the source."""
-    return table(spark, directory, "events").select(
+    return read(spark, directory, "events").select(
         F.col("user_id").cast("string").alias("stock_code"),
         F.col("event_type").alias("source_type"),
         "ts",
@@ -109,13 +121,15 @@ def _money(column: str) -> Column:
     return F.col(column).cast("decimal(18,2)")
 
 
-def raw_quotes(spark: SparkSession, directory: str, feed: QuoteFeed) -> DataFrame:
+def raw_quotes(
+    spark: SparkSession, directory: str, feed: QuoteFeed, read=table
+) -> DataFrame:
     """Order lines written as text quotes of one exchange.
 
     Lines without discount look suspended, lines with tax 0.08 have a broken
     date; both must be dropped by the parser.
     """
-    lines = table(spark, directory, "lineitem")
+    lines = read(spark, directory, "lineitem")
     suspended = F.col("l_discount") == 0
     dash = "--" if feed is LISTED else "---"
     spread = F.col("l_quantity").cast("decimal(18,2)")
@@ -175,7 +189,7 @@ BAR_WRITE_ORDER = ["l_orderkey", "l_linenumber", "close", "volume"]
 MINUTES_IN_30_DAYS = 43_200
 
 
-def documents(spark: SparkSession, directory: str) -> DataFrame:
+def documents(spark: SparkSession, directory: str, read=table) -> DataFrame:
     """Texts as documents: first line is the title, the rest the content.
 
     ``lang`` and ``source`` are kept for the queries to tell rows apart.
@@ -186,7 +200,7 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
     forum = number % 6 == 0
     votes = (number * 7 % 40).cast("int")
     minute = (number * 7919 % MINUTES_IN_30_DAYS).cast("int")
-    return table(spark, directory, "documents").select(
+    return read(spark, directory, "documents").select(
         number.cast("string").alias("document_id"),
         kinds[(number % 6).cast("int")].alias("source_type"),
         F.when(forum, F.concat(F.lit("user"), number % 97)).alias("author"),

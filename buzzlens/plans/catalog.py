@@ -8,6 +8,7 @@ digits) so that other engines can be compared with them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +24,18 @@ from buzzlens.operators import matching, mentions, paging, snapshot
 from buzzlens.operators.keyed import existing_keys
 from buzzlens.plans import bindings as b
 from buzzlens.plans.signals import alert_messages, signals
-from buzzlens.session import configure
+from buzzlens.session import configure, scratch_path
 from buzzlens.sources import feeds, pages, series
 from buzzlens.sources.quotes import LISTED, OTC, bar_series, parse_quotes
+from buzzlens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Analysis instant and window that suit the 30 days of the sample tables.
-AS_OF = "2024-01-20 00:00:00"
-WINDOW = "2 days"
+AS_OF = "2024-01-19 00:00:00"
+WINDOW = timedelta(days=2)
+SLOT = timedelta(hours=6)
 DECIMALS = 6
 
 
@@ -264,7 +267,7 @@ def mention_delta(spark, directory):
 @query
 def mention_delta_history(spark, directory):
     """Every six-hour window against the one before."""
-    return mentions.mention_delta_history(b.event_mentions(spark, directory), "6 hours")
+    return mentions.mention_delta_history(b.event_mentions(spark, directory), SLOT)
 
 
 # Signals
@@ -630,3 +633,79 @@ def embed_documents(spark, directory):
     matched = hits.select("document_id").distinct()
     vectors = emb.embed_documents(docs, matched, b.embeddings(spark, directory), AS_OF)
     return _vector_facts(vectors)
+
+
+# Streams: the same results from Structured Streaming jobs that run until their
+# input is used up. Tables and checkpoints go to new folders in the shared folder.
+
+
+def _places(spark, name):
+    base = scratch_path(spark, name)
+    return f"{base}/table", f"{base}/checkpoint"
+
+
+@query
+def stream_quotes(spark, directory):
+    """Bars kept by the quote stream, last write wins."""
+    raw = b.raw_quotes(spark, directory, LISTED, read=b.stream_table)
+    path, checkpoint = _places(spark, "quotes")
+    jobs.keep_bars(parse_quotes(raw, LISTED), path, checkpoint).awaitTermination()
+    return jobs.stored_bars(spark, path).select(
+        "stock_code", "trading_date", "close", "volume"
+    )
+
+
+@query
+def stream_documents(spark, directory):
+    """Documents kept by the document stream, each id once."""
+    docs = b.documents(spark, directory, read=b.stream_table)
+    path, checkpoint = _places(spark, "documents")
+    jobs.keep_documents(docs.unionByName(docs), path, checkpoint).awaitTermination()
+    kept = jobs.read_table(spark, path, schemas.DOCUMENTS)
+    return kept.select("document_id", "source_type", "title", "published_at")
+
+
+@query
+def stream_mentions(spark, directory):
+    """Mention points kept by the matching stream."""
+    docs = b.documents(spark, directory, read=b.stream_table)
+    path, checkpoint = _places(spark, "mentions")
+
+    def dictionary():
+        return b.match_aliases(spark, directory), b.match_entities(spark, directory)
+
+    jobs.keep_mentions(docs, dictionary, path, checkpoint).awaitTermination()
+    return jobs.read_table(spark, path, schemas.MENTIONS).drop("batch_id")
+
+
+@query
+def stream_signals(spark, directory):
+    """Alerts kept by the signal stream at the instant after the last event."""
+    points = b.event_mentions(spark, directory, read=b.stream_table)
+    path, checkpoint = _places(spark, "alerts")
+    jobs.keep_alerts(
+        points,
+        lambda: b.event_mentions(spark, directory),
+        lambda: b.event_bars(spark, directory),
+        path,
+        checkpoint,
+        window=WINDOW,
+    ).awaitTermination()
+    return jobs.read_table(spark, path, schemas.ALERTS).drop("batch_id")
+
+
+@query
+def stream_mention_deltas(spark, directory):
+    """Closed six-hour windows against the ones before, from stream state."""
+    points = b.event_mentions(spark, directory, read=b.stream_table)
+    deltas = mentions.mention_delta_history(points.withWatermark("ts", "1 hour"), SLOT)
+    path, checkpoint = _places(spark, "deltas")
+    writer = deltas.writeStream.format("parquet").outputMode("append")
+    running = (
+        writer.option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(deltas.schema).parquet(path)

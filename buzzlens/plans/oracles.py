@@ -10,7 +10,7 @@ from __future__ import annotations
 from buzzlens import schemas
 from buzzlens.plans.bindings import SAMPLE_KEYWORDS
 
-AS_OF = "TIMESTAMP '2024-01-20'"
+AS_OF = "TIMESTAMP '2024-01-19'"
 BLANKS = r"'^\s+|\s+$', '', 'g'"
 
 
@@ -646,3 +646,27 @@ ORACLES: dict[str, str] = {
         "hits", "vectors",
     ),
 }
+
+# Streams give what the batch forms give.
+_LAST_EVENT = "(SELECT date_trunc('second', max(ts)) + INTERVAL 1 SECOND FROM events)"
+
+ORACLES |= {
+    "stream_quotes": _with(
+        f"""
+        SELECT stock_code, {_day('trading_date')} AS trading_date,
+               CAST(price + extra AS DOUBLE) AS close, volume
+        FROM bars QUALIFY row_number() OVER (PARTITION BY stock_code, trading_date
+            ORDER BY volume DESC, price + extra DESC) = 1""",
+        "bars",
+    ),
+    "stream_documents": _with(
+        f"SELECT document_id, source_type, title, {_ts('published_at')} AS published_at FROM docs",
+        "docs",
+    ),
+    "stream_mentions": ORACLES["mentions_series"],
+    "stream_signals": ORACLES["signals"].replace(AS_OF, _LAST_EVENT),
+    "stream_mention_deltas": f"""
+        SELECT * FROM ({ORACLES['mention_delta_history']})
+        WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S.%f') + INTERVAL 6 HOUR
+              <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+}

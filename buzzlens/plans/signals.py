@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def signals(
     bars: DataFrame,
     as_of,
     *,
-    window: str = "15 minutes",
+    window: timedelta = timedelta(minutes=15),
     mention_delta_min: float = 50.0,
     volume_delta_min: float = 50.0,
     resonance_price_min: float = 2.0,
