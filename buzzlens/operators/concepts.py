@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from buzzlens.functions.dates import instant
 from buzzlens.functions.messages import REPLY_FORMATS, review_message
 from buzzlens.functions.text import strip_space
-from buzzlens.operators.keyed import broadcast_if_small, dense_ids, max_id
+from buzzlens.operators.keyed import dense_ids, max_id
 
 REVIEW_SIZE = 5
 
@@ -45,7 +45,7 @@ def upsert_concepts(found: DataFrame, concepts: DataFrame, now) -> DataFrame:
         F.count("*").alias("seen_count"),
         F.min(F.struct("published_at", "document_id")).alias("first_seen"),
     )
-    counted = broadcast_if_small(seen.select("keyword", "seen_count"))
+    counted = seen.select("keyword", "seen_count")
     was_seen = F.col("seen_count").isNotNull()
     kept = concepts.join(counted, "keyword", "left").select(
         "concept_id",
@@ -113,7 +113,7 @@ def _reviewed(commands: DataFrame, concepts: DataFrame) -> DataFrame:
         )
     )
     known = concepts.select("concept_id", "keyword", "approved")
-    return known.join(broadcast_if_small(firsts), "concept_id")
+    return known.join(firsts, "concept_id")
 
 
 def review_outcomes(commands: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -123,7 +123,6 @@ def review_outcomes(commands: DataFrame, concepts: DataFrame) -> DataFrame:
     first rejection of its concept, so no command waits for another and a
     concept with most of the commands needs no ordered group.
     """
-    under_review = broadcast_if_small(_reviewed(commands, concepts))
     seq = F.col("seq")
     gone = F.col("keyword").isNull() | (seq > F.coalesce("first_reject", seq))
     already = F.col("approved") | (seq > F.coalesce("first_approve", seq))
@@ -140,7 +139,7 @@ def review_outcomes(commands: DataFrame, concepts: DataFrame) -> DataFrame:
         filled = F.format_string(text, F.col(value).cast("string"))
         reply = F.when(F.col("outcome") == name, filled).otherwise(reply)
     return (
-        commands.join(under_review, "concept_id", "left")
+        commands.join(_reviewed(commands, concepts), "concept_id", "left")
         .withColumn("outcome", outcome)
         .select("seq", "command", "concept_id", "outcome", reply.alias("reply"))
     )
@@ -163,8 +162,8 @@ def apply_reviews(
     rejected = reviewed.filter(F.col("first_reject").isNotNull()).select("concept_id")
     flags = promoted.select("concept_id", F.lit(True).alias("_promoted"))
     left = (
-        concepts.join(broadcast_if_small(rejected), "concept_id", "left_anti")
-        .join(broadcast_if_small(flags), "concept_id", "left")
+        concepts.join(rejected, "concept_id", "left_anti")
+        .join(flags, "concept_id", "left")
         .withColumn("approved", F.col("approved") | F.coalesce("_promoted", F.lit(False)))
         .drop("_promoted")
     )

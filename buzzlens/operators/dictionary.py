@@ -9,7 +9,6 @@ from buzzlens.functions.text import strip_space
 from buzzlens.operators.keyed import (
     broadcast_if_small,
     dense_ids,
-    existing_keys,
     first_row,
     max_id,
 )
@@ -60,8 +59,8 @@ def sync_dictionary(
     quoted = bars.select("stock_code", "stock_name", "trading_date", rank.alias("market_rank"))
     order = [F.col("market_rank"), F.col("trading_date"), F.col("stock_name")]
     unique = first_row(quoted, ["stock_code"], order)
-    coded = entities.filter(F.col("stock_code").isNotNull())
-    new = unique.join(existing_keys(unique, coded, "stock_code"), "stock_code", "left_anti")
+    known = entities.filter(F.col("stock_code").isNotNull()).select("stock_code")
+    new = unique.join(broadcast_if_small(known), "stock_code", "left_anti")
     numbered = dense_ids(new, F.col("stock_code"), "number").select(
         (F.lit(max_id(entities, "entity_id")) + F.col("number")).alias("entity_id"),
         F.lit("Stock").alias("type"),
@@ -122,7 +121,7 @@ def add_aliases(requests: DataFrame, entities: DataFrame, aliases: DataFrame) ->
 
 def delete_aliases(removals: DataFrame, aliases: DataFrame) -> DataFrame:
     """Aliases left after removals ``(entity_id, alias_id)``; ids of others stay."""
-    gone = broadcast_if_small(removals.select("entity_id", "alias_id"))
+    gone = removals.select("entity_id", "alias_id")
     return aliases.join(gone, ["entity_id", "alias_id"], "left_anti")
 
 
@@ -130,7 +129,7 @@ def delete_entities(
     removals: DataFrame, entities: DataFrame, aliases: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Both tables without the entities in ``removals``; aliases go with them."""
-    gone = broadcast_if_small(removals.select("entity_id"))
+    gone = removals.select("entity_id")
     return (
         entities.join(gone, "entity_id", "left_anti"),
         aliases.join(gone, "entity_id", "left_anti"),

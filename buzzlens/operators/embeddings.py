@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from buzzlens.functions.dates import instant
 from buzzlens.functions.text import full_text
-from buzzlens.operators.keyed import existing_keys, insert_if_absent
+from buzzlens.operators.keyed import insert_if_absent
 
 DIMENSION = 1536
 
@@ -34,10 +34,10 @@ def embed_documents(
     already embedded are removed before it runs. A vector of another dimension
     stops the job.
     """
-    wanted = documents.join(matched.select("document_id"), "document_id", "left_semi")
-    todo = wanted.join(
-        existing_keys(matched, embeddings, "document_id"), "document_id", "left_anti"
+    ids = matched.select("document_id").join(
+        embeddings.select("document_id"), "document_id", "left_anti"
     )
+    todo = documents.join(ids, "document_id", "left_semi")
     vectors = todo.select(
         "document_id", embed(full_text(F.col("title"), F.col("content"))).alias("embedding")
     )

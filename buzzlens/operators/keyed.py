@@ -22,7 +22,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """``df`` marked for broadcast after its size has been checked.
 
     A larger ``df`` comes back as it is, and the join shuffles both sides; AQE
-    splits its hot keys.
+    splits its hot keys. Meant for stored tables, where the count is cheap; a
+    small derived frame is left to AQE, which sees its size at run time.
     """
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
@@ -49,7 +50,8 @@ def existing_keys(batch: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Keys of ``batch`` that ``table`` already holds.
 
     Only the key column of ``table`` is read. A batch of checked size is
-    broadcast, so the large table is scanned once and not shuffled.
+    broadcast, so the large table is scanned once and not shuffled. The check
+    counts the batch: write a batch that is costly to compute first.
     """
     wanted = batch.select(key).distinct()
     return table.select(key).join(broadcast_if_small(wanted), key, "left_semi").distinct()
