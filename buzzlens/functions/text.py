@@ -7,6 +7,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from buzzlens.schemas import MAX_LENGTHS
+
 
 def strip_space(text: Column) -> Column:
     """Remove leading and trailing white space of any kind, line ends included."""
@@ -65,3 +67,10 @@ def file_stem(path: Column) -> Column:
 def first_word(text: Column) -> Column:
     """Text before the first blank: the account in ``account (nick name)``."""
     return F.split_part(text, F.lit(" "), F.lit(1))
+
+
+def too_long(columns: list[str]) -> Column:
+    """Name of the first column whose text exceeds its limit, else NULL."""
+    return F.coalesce(
+        *[F.when(F.length(c) > MAX_LENGTHS[c], F.lit(f"{c} too long")) for c in columns]
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buzzlens.functions.text import strip_space
+from buzzlens.functions.text import strip_space, too_long
 from buzzlens.operators.keyed import (
     broadcast_if_small,
     dense_ids,
@@ -75,18 +75,24 @@ def check_entity_requests(requests: DataFrame) -> DataFrame:
     """Trim requests ``(request_id, type, stock_code, name)`` and add ``error``.
 
     ``error`` is NULL for a request that can be applied, else ``name`` (blank
-    name) or ``code`` (stock without code). Only stocks keep a code.
+    name), ``code`` (stock without code) or the column that is too long. Only
+    stocks keep a code.
     """
     name = strip_space(F.coalesce("name", F.lit("")))
     code = strip_space(F.coalesce("stock_code", F.lit("")))
     is_stock = F.col("type") == "Stock"
-    return requests.select(
+    trimmed = requests.select(
         "request_id",
         "type",
         name.alias("primary_name"),
         F.when(is_stock, code).alias("stock_code"),
-        F.when(name == "", "name").when(is_stock & (code == ""), "code").alias("error"),
     )
+    error = (
+        F.when(F.col("primary_name") == "", "name")
+        .when(F.col("stock_code") == "", "code")
+        .otherwise(too_long(["primary_name", "stock_code"]))
+    )
+    return trimmed.withColumn("error", error)
 
 
 def add_entities(
@@ -103,12 +109,12 @@ def add_entities(
 def add_aliases(requests: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Aliases to add for requests ``(entity_id, keyword)``.
 
-    Blank keywords, unknown entities and keywords the entity already has are
-    refused; another entity may have the same keyword.
+    Blank or too long keywords, unknown entities and keywords the entity already
+    has are refused; another entity may have the same keyword.
     """
     wanted = (
         requests.select("entity_id", strip_space(F.col("keyword")).alias("keyword"))
-        .filter(F.col("keyword") != "")
+        .filter((F.col("keyword") != "") & too_long(["keyword"]).isNull())
         .distinct()
         .join(entities.select("entity_id"), "entity_id", "left_semi")
         .join(aliases.select("entity_id", "keyword"), ["entity_id", "keyword"], "left_anti")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buzzlens import schemas
 from buzzlens.functions.dates import days_before, instant
+from buzzlens.functions.text import too_long
 from buzzlens.operators.keyed import insert_if_absent
 from buzzlens.operators.paging import page_of
 
@@ -28,13 +29,6 @@ def union_documents(*frames: DataFrame) -> DataFrame:
     )
 
 
-def too_long(columns: list[str]) -> Column:
-    """Name of the first column whose text exceeds its limit, else NULL."""
-    return F.coalesce(
-        *[F.when(F.length(c) > schemas.MAX_LENGTHS[c], F.lit(f"{c} too long")) for c in columns]
-    )
-
-
 def check_documents(documents: DataFrame) -> DataFrame:
     """Add ``error``: NULL for a document the table accepts, else the reason."""
     required = ["document_id", "source_type", "title", "content", "published_at"]
@@ -123,7 +117,7 @@ def hot_documents(
 
 def mark_probed(status: DataFrame, probed: DataFrame, now) -> DataFrame:
     """Status table with ``probed_at`` set for the probed ids, found or not."""
-    marked = F.broadcast(probed.select("document_id", F.lit(True).alias("_probed")))
+    marked = probed.select("document_id", F.lit(True).alias("_probed"))
     return status.join(marked, "document_id", "left").select(
         "document_id",
         "processed_at",

@@ -6,7 +6,7 @@ append or the new full table, and the caller writes them to a new version.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # Rows of up to a few hundred bytes each: small enough to send to every executor.
@@ -94,3 +94,19 @@ def dense_ids(df: DataFrame, key: Column, name: str, after: Column | int = 0) ->
 def max_id(table: DataFrame, name: str) -> int:
     """Highest id in use, 0 for an empty table. Runs one aggregate."""
     return table.agg(F.coalesce(F.max(name), F.lit(0)).alias("m")).first()["m"]
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Write ``df`` as a catalog table bucketed and sorted by ``key``.
+
+    Tables with the same key and number of buckets (documents, their status,
+    their embeddings) then join and anti-join without a shuffle.
+    """
+    by_key = df.repartition(buckets, key)
+    by_key.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` and a counter of its rows, filled by whatever action runs first."""
+    counter = Observation(name)
+    return df.observe(counter, F.count("*").alias("rows")), counter

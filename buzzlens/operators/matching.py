@@ -6,8 +6,9 @@ two hits.
 
 The plan, all in the JVM and in one stage:
 
-1. cut a text into pieces of ``PIECE`` start positions, each reaching far
-   enough into the next for the longest keyword (one pass over the text);
+1. cut a text into pieces of ``PIECE`` start positions (more, when a keyword is
+   longer), each reaching far enough into the next for the longest keyword; one
+   pass over the text;
 2. explode the start positions and look up the first two characters (one, for
    keywords of one character) in the broadcast heads of the dictionary, which
    drops most positions and tells which anchor lengths are worth a look;
@@ -34,6 +35,7 @@ ANCHOR_LENGTHS = (1, 2, 4, 8)
 HEAD_LENGTH = 2
 PIECE = 64
 SALTS = 64
+BROADCAST_CHARS = 64_000_000
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,7 @@ class _Dictionary:
     head_lengths: list[int]
     longest: int
     size: int
+    chars: int
 
 
 def _key(text: str, length: str | int) -> Column:
@@ -69,6 +72,7 @@ def _prepare(aliases: DataFrame) -> _Dictionary:
     )
     facts = words.agg(
         F.count("*").alias("size"),
+        F.coalesce(F.sum(F.length("keyword")), F.lit(0)).alias("chars"),
         F.coalesce(F.max(F.length("keyword")), F.lit(1)).alias("longest"),
         F.sort_array(F.collect_set("word_head_len")).alias("head_lengths"),
     ).first()
@@ -79,13 +83,18 @@ def _prepare(aliases: DataFrame) -> _Dictionary:
         _key("keyword", "word_anchor_len").alias("anchor_key"),
     )
     return _Dictionary(
-        rows, heads, facts["head_lengths"] or [1], facts["longest"], facts["size"]
+        rows,
+        heads,
+        facts["head_lengths"] or [1],
+        facts["longest"],
+        facts["size"],
+        facts["chars"],
     )
 
 
-def _pieces(text: Column, overlap: int) -> Column:
-    """Overlapping pieces of a text: ``PIECE`` start positions and ``overlap`` more."""
-    pattern = f"(?s)(?=(.{{1,{PIECE + overlap}}})).{{1,{PIECE}}}"
+def _pieces(text: Column, starts: int, overlap: int) -> Column:
+    """Overlapping pieces of a text: ``starts`` start positions and ``overlap`` more."""
+    pattern = f"(?s)(?=(.{{1,{starts + overlap}}})).{{1,{starts}}}"
     return F.regexp_extract_all(text, F.lit(pattern), 1)
 
 
@@ -100,19 +109,21 @@ def keyword_hits(
 
     ``text`` defaults to title, blank, content. ``keys`` are carried along, so
     whatever the caller groups by later needs no join. Runs one aggregate over
-    the dictionary. A dictionary above ``max_broadcast_rows`` is joined by a
-    shuffle of the positions instead, with hot anchors spread over ``SALTS``
-    keys.
+    the dictionary. A dictionary above ``max_broadcast_rows`` rows or
+    ``BROADCAST_CHARS`` characters is joined by a shuffle of the positions
+    instead, with hot anchors spread over ``SALTS`` keys.
     """
     words = _prepare(aliases)
     text = full_text(F.col("title"), F.col("content")) if text is None else text
     names = list(keys)
-    small = words.size <= max_broadcast_rows
-    pieces = documents.select(*names, F.explode(_pieces(text, words.longest - 1)).alias("piece"))
+    small = words.size <= max_broadcast_rows and words.chars <= BROADCAST_CHARS
+    starts = max(PIECE, words.longest)
+    cut = F.explode(_pieces(text, starts, words.longest - 1))
+    pieces = documents.select(*names, cut.alias("piece"))
     positions = pieces.select(
         *names,
         "piece",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece")))).alias("pos"),
+        F.explode(F.sequence(F.lit(1), F.least(F.lit(starts), F.length("piece")))).alias("pos"),
     ).withColumn("window", F.expr(f"substring(piece, pos, {max(ANCHOR_LENGTHS)})"))
 
     if small:
