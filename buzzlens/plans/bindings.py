@@ -40,33 +40,32 @@ TABLES = {
 }
 
 
-# Tables whose rows take long to work on.
-HEAVY = {"documents", "pages", "lineitem"}
+def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """One sample table with its explicit schema."""
+    return spark.read.schema(TABLES[name]).parquet(f"{directory}/{name}.parquet")
 
 
-def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One sample table with its explicit schema.
+def dealt(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """``table`` for work that takes long per row.
 
-    A heavy table that comes in fewer files than there are cores is dealt out
-    evenly first; a large table has many files and is read where it lies.
+    A table in fewer files than there are cores is dealt out evenly first; a
+    large table has many files and is worked on where it lies.
     """
-    rows = spark.read.schema(TABLES[name]).parquet(f"{directory}/{name}.parquet")
+    rows = table(spark, directory, name)
     cores = spark.sparkContext.defaultParallelism
-    if name in HEAVY and len(rows.inputFiles()) < cores:
-        return rows.repartition(cores)
-    return rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def stream_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
-    files = spark.read.schema(TABLES[name]).parquet(f"{directory}/{name}.parquet").inputFiles()
+    """``dealt`` as a stream of the table's files."""
+    files = table(spark, directory, name).inputFiles()
     reader = spark.readStream.schema(TABLES[name])
     if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
         rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
     else:
         rows = reader.parquet(f"{directory}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name in HEAVY and len(files) < cores else rows
+    return rows.repartition(cores) if len(files) < cores else rows
 
 
 # Activity as mentions and bars
@@ -122,7 +121,7 @@ def _money(column: str) -> Column:
 
 
 def raw_quotes(
-    spark: SparkSession, directory: str, feed: QuoteFeed, read=table
+    spark: SparkSession, directory: str, feed: QuoteFeed, read=dealt
 ) -> DataFrame:
     """Order lines written as text quotes of one exchange.
 
@@ -220,7 +219,7 @@ def documents(spark: SparkSession, directory: str, read=table) -> DataFrame:
 
 def rss_items(spark: SparkSession, directory: str) -> DataFrame:
     """Texts as feed items; some sources lack a title, link, date, guid or id."""
-    docs = documents(spark, directory)
+    docs = documents(spark, directory, dealt)
     source, number = F.col("source"), F.col("document_id")
     local = F.date_format(
         F.col("published_at") + F.expr("INTERVAL 8 HOURS"), "EEE, d MMM yyyy HH:mm:ss"
@@ -271,7 +270,7 @@ def forum_index_pages(spark: SparkSession, directory: str) -> DataFrame:
         ),
     )
     html = F.concat(F.lit("<html><body>"), F.array_join(entry, "\n"), F.lit("</body></html>"))
-    return table(spark, directory, "documents").select("doc_id", html.alias("html"))
+    return dealt(spark, directory, "documents").select("doc_id", html.alias("html"))
 
 
 def forum_article_pages(spark: SparkSession, directory: str) -> DataFrame:
@@ -280,7 +279,7 @@ def forum_article_pages(spark: SparkSession, directory: str) -> DataFrame:
     Pages of source ``src5`` show a wrong weekday and those of ``src6`` have no
     body, so neither gives a document.
     """
-    docs = documents(spark, directory)
+    docs = documents(spark, directory, dealt)
     local = F.col("published_at") + F.expr("INTERVAL 8 HOURS")
     wrong = F.date_format(local + F.expr("INTERVAL 1 DAY"), "EEE")
     weekday = F.when(F.col("source") == "src5", wrong).otherwise(F.date_format(local, "EEE"))

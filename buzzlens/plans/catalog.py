@@ -163,7 +163,7 @@ PAGE_INDEX = pages.IndexLayout(
 def page_links(spark, directory):
     """Links listed on web pages."""
     return pages.index_entries(
-        b.table(spark, directory, "pages"), ["page_id"], PAGE_INDEX
+        b.dealt(spark, directory, "pages"), ["page_id"], PAGE_INDEX
     )
 
 
@@ -171,7 +171,7 @@ def page_links(spark, directory):
 def page_articles(spark, directory):
     """Title and article text of web pages."""
     html = F.col("html")
-    found = b.table(spark, directory, "pages").select(
+    found = b.dealt(spark, directory, "pages").select(
         "page_id",
         "url",
         pages.tagged_text(html, "title").alias("title"),
@@ -199,7 +199,7 @@ def forum_articles(spark, directory):
 def keyword_hits(spark, directory):
     """Occurrences per document, entity and keyword."""
     hits = matching.keyword_hits(
-        b.documents(spark, directory), b.match_aliases(spark, directory)
+        b.documents(spark, directory, b.dealt), b.match_aliases(spark, directory)
     )
     return hits.groupBy("document_id", "entity_id", "keyword").agg(
         F.count("*").alias("hits")
@@ -208,7 +208,7 @@ def keyword_hits(spark, directory):
 
 def _points(spark, directory):
     return mentions.mention_points(
-        b.documents(spark, directory),
+        b.documents(spark, directory, b.dealt),
         b.match_aliases(spark, directory),
         b.match_entities(spark, directory),
     )
@@ -218,13 +218,15 @@ def _points(spark, directory):
 def doc_entity_mentions(spark, directory):
     """Mentions per document and entity with the entity's stock code."""
     counts = matching.entity_counts(
-        matching.keyword_hits(b.documents(spark, directory), b.match_aliases(spark, directory))
+        matching.keyword_hits(
+            b.documents(spark, directory, b.dealt), b.match_aliases(spark, directory)
+        )
     )
     return matching.with_stock_code(counts, b.match_entities(spark, directory))
 
 
 def _status(spark, directory):
-    docs = b.documents(spark, directory)
+    docs = b.documents(spark, directory, b.dealt)
     counts = matching.entity_counts(
         matching.keyword_hits(docs, b.match_aliases(spark, directory))
     )
@@ -525,7 +527,7 @@ def entity_last_page(spark, directory):
 
 
 def _found(spark, directory, stored: bool):
-    docs = b.documents(spark, directory)
+    docs = b.documents(spark, directory, b.dealt)
     english = F.col("lang") == "en"
     return con.found_concepts(docs.filter(english if stored else ~english), b.capital_words)
 
@@ -628,7 +630,7 @@ def existing_embeddings(spark, directory):
 @query
 def embed_documents(spark, directory):
     """Default vectors of matched documents that have none."""
-    docs = b.documents(spark, directory)
+    docs = b.documents(spark, directory, b.dealt)
     hits = matching.keyword_hits(docs, b.match_aliases(spark, directory))
     matched = hits.select("document_id").distinct()
     vectors = emb.embed_documents(docs, matched, b.embeddings(spark, directory), AS_OF)
