@@ -168,7 +168,7 @@ def written_bars(spark: SparkSession, directory: str) -> DataFrame:
     """Every order line as a bar, with the columns that tell the write order."""
     price = _money("l_extendedprice")
     day = F.to_date("l_shipdate")
-    return table(spark, directory, "lineitem").select(
+    return dealt(spark, directory, "lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey")).alias("stock_code"),
         F.lit(LISTED.market).alias("market"),
         day.alias("trading_date"),
