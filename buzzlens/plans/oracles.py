@@ -2,7 +2,7 @@
 
 Written from the rules, not from the Spark plans: dates are computed instead of
 parsed back, numbers are taken from the columns they were formatted from, and
-occurrences are found by comparing every substring. Used to check results.
+keywords are compared with the text at every place. Used to check results.
 """
 
 from __future__ import annotations
@@ -84,14 +84,22 @@ CTES = {
             SELECT document_id, title || ' ' || content AS t,
                    unnest(range(0, (length(title || ' ' || content) - 1) // 200 + 1)) AS i
             FROM docs)""",
-    "substrings": """
-        SELECT document_id, len, substr(block, p, len) AS s FROM (
+    "places": """
+        SELECT document_id, substr(block, p, 100) AS rest FROM (
             SELECT document_id, block, unnest(range(1, least(200, length(block)) + 1)) AS p
-            FROM blocks), (SELECT DISTINCT len FROM words)
-        WHERE p + len - 1 <= length(block)""",
+            FROM blocks)""",
     "hits": """
         SELECT document_id, entity_id, keyword, CAST(count(*) AS BIGINT) AS hits
-        FROM substrings JOIN words ON s = keyword AND substrings.len = words.len
+        FROM (SELECT document_id, entity_id, keyword FROM places JOIN words
+                  ON substr(rest, 1, 4) = substr(keyword, 1, 4)
+              WHERE len >= 4 AND starts_with(rest, keyword)
+              UNION ALL
+              SELECT document_id, entity_id, keyword FROM places JOIN words
+                  ON substr(rest, 1, 2) = substr(keyword, 1, 2)
+              WHERE len IN (2, 3) AND starts_with(rest, keyword)
+              UNION ALL
+              SELECT document_id, entity_id, keyword FROM places JOIN words
+                  ON substr(rest, 1, 1) = keyword)
         GROUP BY ALL""",
     "entity_hits": """
         SELECT document_id, entity_id, CAST(sum(hits) AS BIGINT) AS mention_count
