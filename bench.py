@@ -45,7 +45,7 @@ def main() -> None:
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
-        "sf": os.path.basename(directory.rstrip("/")).removeprefix("sf"),
+        "sf": float(os.path.basename(directory.rstrip("/")).removeprefix("sf")),
     }
     print(json.dumps(result))
     spark.stop()

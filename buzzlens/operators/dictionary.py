@@ -172,13 +172,13 @@ def entity_search(
     """One page of matching entities with the number of their aliases.
 
     Sorted by code (none last), then name. Aliases are counted for the entities
-    on the page only: those rows are broadcast, the alias table is not shuffled.
+    on the page only; Spark knows how few they are and does not shuffle the rest.
     """
     order = [F.asc_nulls_last("stock_code"), F.asc("primary_name"), F.asc("entity_id")]
     shown = page_of(matching_entities(entities, search), order, page, size)
     counts = (
         aliases.select("entity_id")
-        .join(F.broadcast(shown.select("entity_id")), "entity_id", "left_semi")
+        .join(shown.select("entity_id"), "entity_id", "left_semi")
         .groupBy("entity_id")
         .agg(F.count("*").alias("alias_count"))
     )

@@ -70,8 +70,11 @@ def document(documents: DataFrame, document_id: str) -> DataFrame:
 
 
 def _fetch(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Whole rows of a few chosen ids: content is read only here."""
-    return documents.join(F.broadcast(chosen.select("document_id")), "document_id", "left_semi")
+    """Whole rows of a few chosen ids: content is read only here.
+
+    The limit tells Spark how small ``chosen`` is, so it is broadcast.
+    """
+    return documents.join(chosen.select("document_id"), "document_id", "left_semi")
 
 
 def unprocessed_batch(

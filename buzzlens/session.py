@@ -31,13 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only when ``spark.checkpoint.dir`` is unset (tests, laptops) is a local
     temporary folder made and set as the checkpoint folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="buzzlens-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="buzzlens-"))
+    return configured or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

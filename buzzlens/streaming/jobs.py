@@ -61,6 +61,23 @@ def _write_batch(rows: DataFrame, path: str, batch_id: int, columns: Mapping[str
     typed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def compact(
+    spark: SparkSession, path: str, target: str, columns: Mapping[str, str], through: int
+) -> None:
+    """Copy a batch table to ``target`` with batches up to ``through`` in one folder.
+
+    Meant for a table with many small batches: stop its job, compact, and start
+    the job on ``target`` with the same checkpoint. Bars need their last write
+    first: write ``stored_bars`` to the target's folder instead.
+    """
+    create_table(spark, target, columns)
+    rows = read_table(spark, path, columns)
+    old = rows.filter(F.col("batch_id") <= through)
+    _write_batch(old, target, through, columns)
+    recent = rows.filter(F.col("batch_id") > through)
+    recent.write.mode("append").partitionBy("batch_id").parquet(target)
+
+
 def _run(
     stream: DataFrame,
     handle: Callable[[DataFrame, int], None],
@@ -115,8 +132,10 @@ def keep_documents(
     create_table(documents.sparkSession, path, schemas.DOCUMENTS)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # counted, then written
         stored = read_table(batch.sparkSession, path, schemas.DOCUMENTS, before=batch_id)
         _write_batch(new_documents(batch, stored), path, batch_id, schemas.DOCUMENTS)
+        batch.unpersist()
 
     return _run(documents, handle, checkpoint, trigger, name)
 

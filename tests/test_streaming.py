@@ -62,6 +62,22 @@ def test_documents_are_kept_once(spark, tmp_path):
     assert kept == {"1": "a", "2": "b", "3": "c"}
 
 
+def test_compaction_keeps_rows_and_the_job_goes_on(spark, tmp_path):
+    landing, table, target = (str(tmp_path / n) for n in ("in", "docs", "compact"))
+    checkpoint = str(tmp_path / "check")
+    for number in range(4):
+        document_files(spark, landing, [row(number, "a")])
+    jobs.keep_documents(document_stream(spark, landing), table, checkpoint).awaitTermination()
+    assert jobs.read_table(spark, table, schemas.DOCUMENTS).select("batch_id").distinct().count() == 4
+    jobs.compact(spark, table, target, schemas.DOCUMENTS, through=2)
+    document_files(spark, landing, [row(1, "again"), row(9, "new")])
+    jobs.keep_documents(document_stream(spark, landing), target, checkpoint).awaitTermination()
+    kept = jobs.read_table(spark, target, schemas.DOCUMENTS).collect()
+    assert sorted((r["document_id"], r["batch_id"]) for r in kept) == [
+        ("0", 2), ("1", 2), ("2", 2), ("3", 3), ("9", 4),
+    ]
+
+
 def test_a_repeated_batch_gives_the_same_table(spark, tmp_path):
     landing, table = str(tmp_path / "in"), str(tmp_path / "docs")
     document_files(spark, landing, [row(1, "a"), row(2, "b")])
