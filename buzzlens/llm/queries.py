@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzlens.llm import bpe, packing, substrings
+from buzzlens.llm import bpe, packing, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,8 @@ def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, directory, "documents"))

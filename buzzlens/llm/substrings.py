@@ -263,8 +263,7 @@ def remove_repeats(
         F.col(text_col).cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
     ).repartition(n, "part")
-    keyed = dealt.select("part", "doc_id", "text")
-
+    # All three readings of ``dealt`` take the same columns, so that one shuffle serves them.
     def rows(found_rows: Iterator[dict], schema: pa.Schema) -> pa.Table:
         return pa.Table.from_pylist(list(found_rows), schema=schema)
 
@@ -290,11 +289,11 @@ def remove_repeats(
         return _cut(left, right)
 
     shared = (
-        keyed.groupBy("part").applyInArrow(anchors, _LISTS)
+        dealt.groupBy("part").applyInArrow(anchors, _LISTS)
         .groupBy("bucket").applyInArrow(probe, _LISTS)
     )
     answers = (
-        keyed.groupBy("part")
+        dealt.groupBy("part")
         .cogroup(shared.groupBy("part"))
         .applyInArrow(windows, _KEYS)
         .groupBy("bucket")
