@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzlens.llm import bpe, packing, simhash, substrings
+from buzzlens.llm import bpe, language, packing, pages, rules, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,67 @@ def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op8_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, directory, "documents"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
+    docs = read(spark, directory, "documents").select("doc_id", "text")
+    return rules.ledger(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~rules.passes(rules.BASE)).alias("base_failed"),
+        (rules.passes(rules.BASE) & rules.passes(rules.STRICT)).alias("kept"),
+        "failures",
+    )
+
+
+SQL["op3_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+         [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
+  FROM d
+), windows AS (
+  SELECT doc_id, i, ws[i:i + 4] AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)
+), twice AS (SELECT doc_id, g FROM windows GROUP BY doc_id, g HAVING count(*) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n
+  FROM (SELECT doc_id, i, unnest(range(5)) AS k FROM windows JOIN twice USING (doc_id, g))
+  GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words,
+         length(regexp_replace(text, '\P{Lu}', '', 'g')) AS n_upper
+  FROM w LEFT JOIN covered USING (doc_id)
+), f AS (
+  SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END)
+    + (CASE WHEN n_lines > 1 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN 2 * n_upper > word_chars THEN 16 ELSE 0 END)
+    + (CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END)
+    + (CASE WHEN word_chars > 15 * n_words THEN 64 ELSE 0 END) AS BIGINT) AS failures
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures
+FROM f
+"""
+
+
+@query
+def op7_language(spark: SparkSession, directory: str) -> DataFrame:
+    docs = read(spark, directory, "documents")
+    names, logs = language.learn(docs.filter(~language.held_out()))
+    return language.identify(docs.select("doc_id", "text"), names, logs).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op5_html_text(spark: SparkSession, directory: str) -> DataFrame:
+    return pages.extract(read(spark, directory, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
