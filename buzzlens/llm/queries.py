@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzlens.llm import bpe, language, packing, pages, rules, simhash, substrings
+from buzzlens.llm import bpe, language, lines, packing, pages, rules, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,3 +153,11 @@ def op5_html_text(spark: SparkSession, directory: str) -> DataFrame:
     return pages.extract(read(spark, directory, "pages")).select(
         "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
     )
+
+
+@query
+def op6_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    docs = read(spark, directory, "documents").select("doc_id", "text")
+    return lines.remove_common_blocks(docs).select(
+        "doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256")
+    )

@@ -249,3 +249,21 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_first(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    distance: int = DISTANCE,
+) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the one with the smallest id.
+
+    Of rows with equal ids any one stays; rows with a null id count as having
+    equal ids, and go if their group has another document.
+    """
+    groups = near_duplicates(docs, id_col, text_col, shingle, distance)
+    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay"))
+    kept = docs.join(stay.distinct(), F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    return kept.dropDuplicates([id_col])
