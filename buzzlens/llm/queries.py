@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzlens.llm import bpe, language, lines, packing, pages, rules, simhash, substrings
+from buzzlens.llm import bpe, cotraining, language, lines, packing, pages, rules, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,3 +161,10 @@ def op6_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return lines.remove_common_blocks(docs).select(
         "doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
+    docs = read(spark, directory, "documents")
+    model = cotraining.train(docs, read(spark, directory, "labels"))
+    return cotraining.score(docs, model)
