@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzlens.llm import bpe, cotraining, language, lines, packing, pages, rules, simhash, substrings
+from buzzlens.llm import bpe, cotraining, language, lines, packing, pages, rules, search, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +168,9 @@ def op9_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
     docs = read(spark, directory, "documents")
     model = cotraining.train(docs, read(spark, directory, "labels"))
     return cotraining.score(docs, model)
+
+
+@query
+def op4_bm25_search(spark: SparkSession, directory: str) -> DataFrame:
+    docs = read(spark, directory, "documents").select("doc_id", "text")
+    return search.search(docs, docs.filter("doc_id % 20 = 0"))
