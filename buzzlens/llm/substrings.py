@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ from buzzlens.llm.words import Words, kept_texts, split_words, window_hashes
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
 LOW = np.uint64(0xFFFFFFFF)
+SLICE = 4 << 20  # bytes of text a task has split into words at one time
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: later than every other document
 
 _LISTS = "bucket int, part int, hashes binary"
@@ -40,6 +42,16 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(NO_ID).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _slices(table: pa.Table) -> Iterator[pa.Table]:
+    """The documents of a part in groups of about ``SLICE`` bytes of text."""
+    size = pc.fill_null(pc.binary_length(table["text"].cast(pa.large_binary())), 0)
+    group = (np.cumsum(size.to_numpy()) - 1) // SLICE if table.num_rows else np.zeros(0, np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), table.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield table.slice(a, b - a)
+
+
 def _split(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each hash and the 32 bits that tell hashes of a bucket apart."""
     return hashes % np.uint64(buckets), (hashes // np.uint64(buckets)) & LOW
@@ -60,11 +72,16 @@ def _anchor_lists(table: pa.Table, part: int, buckets: int) -> Iterator[dict]:
     Mark 1: it is an aligned block of some document here. Mark 2: it occurs more
     than once here.
     """
-    words = split_words(table["text"])
-    start = words.window_starts(BLOCK)
-    bucket, rest = _split(window_hashes(words.hashes(), start, BLOCK), buckets)
-    aligned = (start - words.first[words.doc[start]]) % BLOCK == 0
-    value = np.sort((bucket << np.uint64(34)) | (rest << np.uint64(2)) | aligned.astype(np.uint64))
+    values = [np.zeros(0, np.uint64)]
+    for some in _slices(table):
+        words = split_words(some["text"])
+        start = words.window_starts(BLOCK)
+        bucket, rest = _split(window_hashes(words.hashes(), start, BLOCK), buckets)
+        aligned = (start - words.first[words.doc[start]]) % BLOCK == 0
+        values.append((bucket << np.uint64(34)) | (rest << np.uint64(2)) | aligned.astype(np.uint64))
+    value = np.concatenate(values)
+    values.clear()
+    value.sort()
     runs = _runs(value >> np.uint64(2))
     if not len(runs):
         return
@@ -99,13 +116,17 @@ def _shared(table: pa.Table) -> Iterator[dict]:
         yield {"bucket": bucket, "part": parts[k], "hashes": pack_sorted(mine)}
 
 
-def _near_hits(words: Words, hashed: np.ndarray, shared: pa.Table, buckets: int) -> np.ndarray:
+def _known(shared: pa.Table) -> np.ndarray:
+    """The shared block hashes of a part, ascending, under their bucket."""
+    lists = [
+        unpack_sorted(h.as_py()) | (np.uint64(b.as_py()) << np.uint64(32))
+        for b, h in zip(shared["bucket"], shared["hashes"])
+    ]
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *lists]))
+
+
+def _near_hits(words: Words, hashed: np.ndarray, known: np.ndarray, buckets: int) -> np.ndarray:
     """Start words of the 13-word windows around a block hit."""
-    tables = {b.as_py(): unpack_sorted(h.as_py()) for b, h in zip(shared["bucket"], shared["hashes"])}
-    known = np.sort(
-        np.concatenate([np.zeros(0, np.uint64)]
-        + [h | (np.uint64(b) << np.uint64(32)) for b, h in tables.items()])
-    )
     start = words.window_starts(BLOCK)
     bucket, rest = _split(window_hashes(hashed, start, BLOCK), buckets)
     hit = found(rest | (bucket << np.uint64(32)), known) >= 0
@@ -135,13 +156,15 @@ def _grouped(key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _window_lists(table: pa.Table, shared: pa.Table, part: int, buckets: int) -> Iterator[dict]:
     """Per bucket the windows around hits with the first and last document here."""
-    words = split_words(table["text"])
-    hashed = words.hashes()
-    at = _near_hits(words, hashed, shared, buckets)
-    if not len(at):
+    known, found_here = _known(shared), []
+    for some in _slices(table):
+        words = split_words(some["text"])
+        hashed = words.hashes()
+        at = _near_hits(words, hashed, known, buckets)
+        found_here.append((*_window_keys(hashed, at), _ids(some["doc_id"])[words.doc[at]]))
+    if not sum(len(x[0]) for x in found_here):
         return
-    key, more = _window_keys(hashed, at)
-    doc = _ids(table["doc_id"])[words.doc[at]]
+    key, more, doc = (np.concatenate(x) for x in zip(*found_here))
     order, runs, _ = _grouped(key, more)
     first, last = np.minimum.reduceat(doc[order], runs), np.maximum.reduceat(doc[order], runs)
     key, more = key[order[runs]], more[order[runs]]
@@ -189,14 +212,20 @@ def _earliest(table: pa.Table) -> Iterator[dict]:
         yield _key_row(bucket, parts[k], key[mine], more[mine], least[mine], least[mine])
 
 
-def _cut(table: pa.Table, earliest: pa.Table) -> pa.Table:
+def _cut(table: pa.Table, earliest: pa.Table) -> Iterator[pa.Table]:
     """The documents of one part without words that repeat an earlier document."""
-    words, ids = split_words(table["text"]), _ids(table["doc_id"])
-    hashed, at = words.hashes(), words.window_starts(WINDOW)
     key, more, least, _, _ = _read_keys(earliest)
     order = np.argsort(key, kind="stable")
+    key, more, least = key[order], more[order], least[order]
+    for some in _slices(table):
+        yield _cut_slice(some, key, more, least)
+
+
+def _cut_slice(table: pa.Table, key: np.ndarray, more: np.ndarray, least: np.ndarray) -> pa.Table:
+    words, ids = split_words(table["text"]), _ids(table["doc_id"])
+    hashed, at = words.hashes(), words.window_starts(WINDOW)
     asked = window_hashes(hashed, at, WINDOW)
-    hit = found(asked, key[order]) >= 0
+    hit = found(asked, key) >= 0
     at, asked = at[hit], asked[hit]
     # Windows whose first 64 bits are known meet the table under all 96 bits.
     _, runs, place = _grouped(
@@ -286,7 +315,7 @@ def remove_repeats(
         return rows(_earliest(table), keys)
 
     def cut(key, left, right):
-        return _cut(left, right)
+        return pa.concat_tables(_cut(left, right))
 
     shared = (
         dealt.groupBy("part").applyInArrow(anchors, _LISTS)
