@@ -15,9 +15,13 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+# A tag starts with a name: a lone "<" is text.
+TAGS = r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>"
+
+
 def strip_tags(html: Column) -> Column:
     """Inner text of a fragment: comments and tags removed, entities kept."""
-    return F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", "")
+    return F.regexp_replace(html, TAGS, "")
 
 
 def decode_entities(text: Column) -> Column:

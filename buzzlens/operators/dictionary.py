@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buzzlens import schemas
 from buzzlens.functions.text import strip_space, too_long
 from buzzlens.operators.keyed import (
     broadcast_if_small,
@@ -75,8 +76,8 @@ def check_entity_requests(requests: DataFrame) -> DataFrame:
     """Trim requests ``(request_id, type, stock_code, name)`` and add ``error``.
 
     ``error`` is NULL for a request that can be applied, else ``name`` (blank
-    name), ``code`` (stock without code) or the column that is too long. Only
-    stocks keep a code.
+    name), ``type`` (not an entity type), ``code`` (stock without code) or the
+    column that is too long. Only stocks keep a code.
     """
     name = strip_space(F.coalesce("name", F.lit("")))
     code = strip_space(F.coalesce("stock_code", F.lit("")))
@@ -89,6 +90,7 @@ def check_entity_requests(requests: DataFrame) -> DataFrame:
     )
     error = (
         F.when(F.col("primary_name") == "", "name")
+        .when(~F.coalesce(F.col("type").isin(*schemas.ENTITY_TYPES), F.lit(False)), "type")
         .when(F.col("stock_code") == "", "code")
         .otherwise(too_long(["primary_name", "stock_code"]))
     )

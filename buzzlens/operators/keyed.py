@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 
 # Rows of up to a few hundred bytes each: small enough to send to every executor.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 24  # of a row besides its texts
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows. Runs one count."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes.
+
+    Runs one aggregate, to which each task adds one row.
+    """
+    texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, k in df.dtypes if k == "string"]
+    wide = sum(texts, F.lit(ROW_BYTES * max(1, len(df.columns))).cast("bigint"))
+    size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(wide), F.lit(0)).alias("bytes")).first()
+    return size["rows"] <= max_rows and size["bytes"] <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,9 +79,9 @@ def dense_ids(df: DataFrame, key: Column, name: str, after: Column | int = 0) ->
     ``key`` must be unique. Rows are numbered inside 4,096 hash buckets in
     parallel and shifted by the sizes of the buckets before; only those sizes
     (4,096 rows at most) meet in one place. The numbers depend on the rows
-    alone, so a retried job gives the same ones.
+    alone, so a retried job gives the same ones. A null key is numbered too.
     """
-    hashed = df.withColumn("_hash", F.md5(key.cast("string"))).withColumn(
+    hashed = df.withColumn("_hash", F.md5(F.coalesce(key.cast("string"), F.lit("")))).withColumn(
         "_bucket", F.substring("_hash", 1, 3)
     )
     sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))

@@ -27,7 +27,7 @@ def _strip(expression: str) -> str:
 
 
 def _untag(expression: str) -> str:
-    return f"regexp_replace({expression}, '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
+    return f"regexp_replace({expression}, '(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>', '', 'g')"
 
 
 def _decode(expression: str) -> str:

@@ -28,12 +28,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests, laptops) is a local
-    temporary folder made and set as the checkpoint folder.
+    Only when ``spark.checkpoint.dir`` is unset and the session runs in one
+    process (tests, laptops) is a local temporary folder made and set as the
+    checkpoint folder; a cluster without the setting is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        local = context.master.startswith("local") and not context.master.startswith("local-")
+        if configured is None and not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="buzzlens-"))
     return configured or context.getCheckpointDir()
 

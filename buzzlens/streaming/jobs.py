@@ -68,9 +68,12 @@ def compact(
 
     Meant for a table with many small batches: stop its job, compact, and start
     the job on ``target`` with the same checkpoint. Bars need their last write
-    first: write ``stored_bars`` to the target's folder instead.
+    first: write ``stored_bars`` to the target's folder instead. A target that
+    holds rows is refused, so that running it again never doubles them.
     """
     create_table(spark, target, columns)
+    if read_table(spark, target, columns).limit(1).count():
+        raise ValueError(f"{target} already holds rows; compact into a new folder")
     rows = read_table(spark, path, columns)
     old = rows.filter(F.col("batch_id") <= through)
     _write_batch(old, target, through, columns)
@@ -133,9 +136,11 @@ def keep_documents(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # counted, then written
-        stored = read_table(batch.sparkSession, path, schemas.DOCUMENTS, before=batch_id)
-        _write_batch(new_documents(batch, stored), path, batch_id, schemas.DOCUMENTS)
-        batch.unpersist()
+        try:
+            stored = read_table(batch.sparkSession, path, schemas.DOCUMENTS, before=batch_id)
+            _write_batch(new_documents(batch, stored), path, batch_id, schemas.DOCUMENTS)
+        finally:
+            batch.unpersist()
 
     return _run(documents, handle, checkpoint, trigger, name)
 

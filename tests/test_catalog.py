@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__
 from oracle_check import connect, differences
 
+from buzzlens.plans.catalog import QUERIES
+from buzzlens.plans.oracles import ORACLES
+
 DIRECTORY = "/root/testdata/sf0.001"
-QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIRECTORY), reason="no sample tables")
 
@@ -18,6 +20,8 @@ def database():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

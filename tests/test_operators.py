@@ -381,3 +381,36 @@ def test_processing_then_probing(spark):
     probed = probe_documents(docs, done.status, empty, NOW, words)
     assert {r["keyword"] for r in probed.concepts.collect()} == {"AI", "起飛"}
     assert probed.status.filter("probed_at IS NOT NULL").count() == 1
+
+
+def test_null_keys_are_numbered(spark):
+    from buzzlens.operators.keyed import dense_ids
+
+    rows = spark.createDataFrame([(None,), ("a",), ("b",)], "k string")
+    assert sorted(r.n for r in dense_ids(rows, F.col("k"), "n").collect()) == [1, 2, 3]
+
+
+def test_unknown_entity_types_are_refused(spark):
+    from buzzlens.operators.dictionary import check_entity_requests
+
+    rows = spark.createDataFrame(
+        [(1, "Foo", None, "x"), (2, "Person", None, "y"), (3, None, None, "z")],
+        "request_id long, type string, stock_code string, name string",
+    )
+    errors = {r.request_id: r.error for r in check_entity_requests(rows).collect()}
+    assert errors == {1: "type", 2: None, 3: "type"}
+
+
+def test_lone_angle_brackets_are_text(spark):
+    from buzzlens.functions.text import strip_tags
+
+    rows = spark.createDataFrame([("price < 30 and EPS > 5 <b>good</b><!-- x -->",)], "t string")
+    assert rows.select(strip_tags(F.col("t"))).first()[0] == "price < 30 and EPS > 5 good"
+
+
+def test_broadcast_check_counts_bytes(spark):
+    from buzzlens.operators.keyed import fits_broadcast
+
+    wide = spark.range(100).selectExpr("repeat('x', 1000000) AS t")
+    assert not fits_broadcast(wide) and fits_broadcast(spark.range(100).toDF("n"))
+    assert not fits_broadcast(spark.range(100).toDF("n"), 99)
