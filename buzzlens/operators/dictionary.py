@@ -145,13 +145,13 @@ def delete_entities(
 
 
 def entity_aliases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Each entity with its aliases, one row per alias, sorted by keyword.
+    """Each entity with its aliases, one row per alias; without any, one with NULLs.
 
-    Entities without alias appear once with NULLs.
+    An entity's rows are next to each other and sorted by keyword. The entities
+    are in no order: sorting all of them would be a shuffle of its own.
     """
-    return entities.join(aliases, "entity_id", "left").orderBy(
-        "entity_id", "keyword", "alias_id"
-    )
+    rows = entities.join(aliases, "entity_id", "left")
+    return rows.repartition("entity_id").sortWithinPartitions("entity_id", "keyword", "alias_id")
 
 
 def matching_entities(entities: DataFrame, search: str = "") -> DataFrame:

@@ -90,7 +90,7 @@ def unprocessed_batch(
         done, "document_id", "left_anti"
     )
     picked = open_ids.orderBy(*order).limit(size)
-    return _fetch(documents, picked).orderBy(*order)
+    return _fetch(documents, picked).orderBy(*order).limit(size)
 
 
 def hot_documents(
@@ -115,7 +115,7 @@ def hot_documents(
         F.col("upvotes").isNull() | (F.col("upvotes") >= min_upvotes)
     )
     picked = hot.join(ready, "document_id", "left_semi").orderBy(*order).limit(size)
-    return _fetch(documents, picked).orderBy(*order)
+    return _fetch(documents, picked).orderBy(*order).limit(size)
 
 
 def mark_probed(status: DataFrame, probed: DataFrame, now) -> DataFrame:

@@ -40,6 +40,9 @@ TABLES = {
 }
 
 
+SPREAD_BYTES = 64 << 20  # of the largest table that is dealt out
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One sample table with its explicit schema."""
     return spark.read.schema(TABLES[name]).parquet(f"{directory}/{name}.parquet")
@@ -48,24 +51,28 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def dealt(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """``table`` for work that takes long per row.
 
-    A table in fewer files than there are cores is dealt out evenly first; a
-    large table has many files and is worked on where it lies.
+    A table of at most ``SPREAD_BYTES``, which Spark would read in a few splits,
+    is dealt out evenly first. A larger one is worked on where it lies.
     """
     rows = table(spark, directory, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(spark.sparkContext.defaultParallelism) if _is_small(rows) else rows
+
+
+def _is_small(rows: DataFrame) -> bool:
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= SPREAD_BYTES
 
 
 def stream_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """``dealt`` as a stream of the table's files."""
-    files = table(spark, directory, name).inputFiles()
+    stored = table(spark, directory, name)
+    files = stored.inputFiles()
     reader = spark.readStream.schema(TABLES[name])
     if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
         rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
     else:
         rows = reader.parquet(f"{directory}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(files) < cores else rows
+    return rows.repartition(spark.sparkContext.defaultParallelism) if _is_small(stored) else rows
 
 
 # Activity as mentions and bars
