@@ -9,14 +9,19 @@ from buzzlens import schemas
 from buzzlens.functions.dates import rss_timestamp
 from buzzlens.functions.rows import computed_once
 from buzzlens.functions.text import news_id, strip_space, strip_tags
+from buzzlens.sources.quotes import CORRUPT
 
 RSS_ITEM = "title string, link string, description string, pubDate string, guid string"
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """Raw ``item`` elements of the feed files below ``path``."""
-    reader = spark.read.format("xml").schema(RSS_ITEM).option("rowTag", "item")
-    return reader.option("mode", "PERMISSIVE").load(path)
+    """Raw ``item`` elements of the feed files below ``path``.
+
+    An item that is not well formed has its text in ``CORRUPT``
+    (``quotes.unreadable`` picks them).
+    """
+    reader = spark.read.format("xml").schema(f"{RSS_ITEM}, {CORRUPT} string")
+    return reader.option("rowTag", "item").option("columnNameOfCorruptRecord", CORRUPT).load(path)
 
 
 def parse_items(items: DataFrame, source_type: str = schemas.NEWS_SOURCE) -> DataFrame:

@@ -65,6 +65,8 @@ FORUM_ARTICLE = ArticleLayout(
         r""".*?</div>"""
     ),
 )
+# Mark-up in scripts, styles and comments opens and closes nothing.
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
 AUTHOR_LABEL, TITLE_LABEL, TIME_LABEL = "作者", "標題", "時間"
 UP_MARK, DOWN_MARK, ARROW_MARK = "推", "噓", "→"
 
@@ -76,7 +78,7 @@ def index_entries(
 
     Entries without an anchor (deleted posts) or with an empty id are dropped.
     """
-    parts = F.split("html", layout.entry)
+    parts = F.split(F.regexp_replace("html", HIDDEN, ""), layout.entry)
     entries = pages.select(*keys, F.posexplode(F.slice(parts, F.lit(2), F.size(parts))))
     href = F.regexp_extract("col", layout.anchor, 1)
     title = decode_entities(strip_space(strip_tags(F.regexp_extract("col", layout.anchor, 2))))
@@ -124,7 +126,8 @@ def article_documents(pages: DataFrame, layout: ArticleLayout = FORUM_ARTICLE) -
     """
     # Nothing follows the opening tag on a page without one. Exploding also keeps
     # the body from being worked out again for every column and the filter.
-    after_open = F.slice(F.split("html", layout.body, 2), 2, 1)
+    visible = F.regexp_replace("html", HIDDEN, "")
+    after_open = F.slice(F.split(visible, layout.body, 2), 2, 1)
     bodies = pages.select(
         "document_id", "url", F.explode(F.transform(after_open, _inside_div)).alias("body")
     )

@@ -13,6 +13,9 @@ from buzzlens.functions.numbers import price, quantity
 from buzzlens.functions.rows import computed_once
 
 
+CORRUPT = "_corrupt_record"
+
+
 @dataclass(frozen=True)
 class QuoteFeed:
     """Names one exchange uses: fields of a quote, market and data source.
@@ -63,12 +66,26 @@ def read_quotes(
     """Raw quotes below ``path``: one JSON array per file, or one object per line.
 
     Files are read in parallel; one array file holds one poll of one exchange,
-    a few thousand quotes.
+    a few thousand quotes. What is not JSON comes as a row with its text in
+    ``CORRUPT``: see ``unreadable``.
     """
-    reader = spark.read.schema(feed.schema).option("mode", "PERMISSIVE")
+    reader = spark.read.schema(kept_schema(feed)).option("columnNameOfCorruptRecord", CORRUPT)
     return reader.option("multiLine", json_array).json(path)
 
 
+def kept_schema(feed: QuoteFeed) -> T.StructType:
+    """Fields of a feed and the text of what could not be read."""
+    return feed.schema.add(CORRUPT, T.StringType())
+
+
+def unreadable(raw: DataFrame) -> DataFrame:
+    """Rows of a raw feed that could not be read, with their text in ``CORRUPT``.
+
+    Spark wants the other columns of a file read too: write the rows, don't count them.
+    """
+    return raw.filter(F.col(CORRUPT).isNotNull())
+
+
 def parse_quotes(raw: DataFrame, feed: QuoteFeed) -> DataFrame:
     """Bars of a raw feed; a quote with any unreadable number or date is dropped."""
     parsed = computed_once(
