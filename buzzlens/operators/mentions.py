@@ -68,19 +68,19 @@ def mention_deltas(mentions: DataFrame, as_of, window: timedelta) -> DataFrame:
     )
 
 
-def mention_delta_history(mentions: DataFrame, window: timedelta) -> DataFrame:
-    """``mention_deltas`` for every window of a fixed grid at once.
+def window_sums(mentions: DataFrame, window: timedelta) -> DataFrame:
+    """Mentions of each stock in each window of a fixed grid and in the one before.
 
     A sliding window of twice the width holds a window and the one before it,
     so one grouped sum does it: no dense grid and no ordering per stock, and a
-    stock with a third of all points is still summed before the shuffle. The
-    same plan runs on a stream with a watermark on ``ts``.
+    stock with a third of all points is still summed before the shuffle. Sums of
+    parts of the points can be added up.
     """
     seconds = int(window.total_seconds())
     both = F.window("ts", f"{2 * seconds} seconds", f"{seconds} seconds")
     middle = F.col("both.end") - F.lit(window)
     own, count = F.col("ts") >= middle, F.col("mention_count")
-    sums = (
+    return (
         mentions.filter(_named(F.col("stock_code")))
         .select("stock_code", "ts", "mention_count", both.alias("both"))
         .groupBy("stock_code", "both")
@@ -88,11 +88,21 @@ def mention_delta_history(mentions: DataFrame, window: timedelta) -> DataFrame:
             F.coalesce(F.sum(F.when(own, count)), F.lit(0)).alias("current_count"),
             F.coalesce(F.sum(F.when(~own, count)), F.lit(0)).alias("previous_count"),
         )
+        .select("stock_code", middle.alias("window_start"), "current_count", "previous_count")
     )
+
+
+def deltas_of_sums(sums: DataFrame) -> DataFrame:
+    """Change of each window with a mention against the one before."""
     return sums.filter(F.col("current_count") != 0).select(
         "stock_code",
-        middle.alias("window_start"),
+        "window_start",
         "current_count",
         "previous_count",
         pct_change(F.col("current_count"), F.col("previous_count"), 100).alias("mention_delta"),
     )
+
+
+def mention_delta_history(mentions: DataFrame, window: timedelta) -> DataFrame:
+    """``mention_deltas`` for every window of a fixed grid at once."""
+    return deltas_of_sums(window_sums(mentions, window))

@@ -698,16 +698,8 @@ def stream_signals(spark, directory):
 
 @query
 def stream_mention_deltas(spark, directory):
-    """Closed six-hour windows against the ones before, from stream state."""
+    """All six-hour windows against the ones before, late points included."""
     points = b.event_mentions(spark, directory, read=b.stream_table)
-    deltas = mentions.mention_delta_history(points.withWatermark("ts", "1 hour"), SLOT)
     path, checkpoint = _places(spark, "deltas")
-    writer = deltas.writeStream.format("parquet").outputMode("append")
-    running = (
-        writer.option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    running.awaitTermination()
-    return spark.read.schema(deltas.schema).parquet(path)
+    jobs.keep_window_sums(points, SLOT, path, checkpoint).awaitTermination()
+    return jobs.stored_deltas(spark, path)

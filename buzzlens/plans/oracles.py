@@ -673,8 +673,5 @@ ORACLES |= {
     ),
     "stream_mentions": ORACLES["mentions_series"],
     "stream_signals": ORACLES["signals"].replace(AS_OF, _LAST_EVENT),
-    "stream_mention_deltas": f"""
-        SELECT * FROM ({ORACLES['mention_delta_history']})
-        WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S.%f') + INTERVAL 6 HOUR
-              <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    "stream_mention_deltas": ORACLES["mention_delta_history"],
 }

@@ -100,6 +100,13 @@ ALERTS = {
     "sentiment_avg": "float",
     "summary": "string",
 }
+WINDOW_SUMS = {
+    "stock_code": "string",
+    "window_start": "timestamp",
+    "current_count": "bigint",
+    "previous_count": "bigint",
+}
+UNREADABLE = {"_corrupt_record": "string"}
 
 # Names stored in the tables.
 SOURCE_TYPES = ("PttStock", "NewsYahoo", "NewsCnyes", "NewsUdn", "Mops", "Threads")

@@ -9,6 +9,7 @@ document lands in the window it belongs to and counts when that window is read.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from buzzlens import schemas
 from buzzlens.operators.documents import new_documents
-from buzzlens.operators.mentions import mention_points
+from buzzlens.operators.mentions import deltas_of_sums, mention_points, window_sums
 from buzzlens.plans.signals import signals
-from buzzlens.sources.quotes import QuoteFeed, parse_quotes
+from buzzlens.sources.quotes import CORRUPT, QuoteFeed, kept_schema, parse_quotes, unreadable
 from buzzlens.sources.series import latest_bars
 
 # How often each job runs.
@@ -34,8 +35,6 @@ INTERVALS = {
 AVAILABLE_NOW = {"availableNow": True}
 
 
-
-
 def every(job: str) -> dict[str, str]:
     """Trigger of a job that keeps running."""
     return {"processingTime": INTERVALS[job]}
@@ -95,9 +94,33 @@ def _run(
 def quote_stream(
     spark: SparkSession, landing: str, feed: QuoteFeed, *, json_array: bool = True
 ) -> DataFrame:
-    """Bars of the quote files that arrive in ``landing``."""
-    reader = spark.readStream.schema(feed.schema).option("mode", "PERMISSIVE")
-    return parse_quotes(reader.option("multiLine", json_array).json(landing), feed)
+    """Raw quotes of the files that arrive in ``landing``, for ``keep_quotes``."""
+    reader = spark.readStream.schema(kept_schema(feed)).option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.option("multiLine", json_array).json(landing)
+
+
+def keep_quotes(
+    raw: DataFrame,
+    feed: QuoteFeed,
+    path: str,
+    rejected: str,
+    checkpoint: str,
+    trigger=AVAILABLE_NOW,
+    name: str = "quotes",
+) -> StreamingQuery:
+    """Append the bars of raw quotes to one table and what is not JSON to another."""
+    create_table(raw.sparkSession, path, schemas.BARS)
+    create_table(raw.sparkSession, rejected, schemas.UNREADABLE)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # written twice
+        try:
+            _write_batch(parse_quotes(batch, feed), path, batch_id, schemas.BARS)
+            _write_batch(unreadable(batch), rejected, batch_id, schemas.UNREADABLE)
+        finally:
+            batch.unpersist()
+
+    return _run(raw, handle, checkpoint, trigger, name)
 
 
 def keep_bars(
@@ -168,6 +191,34 @@ def keep_mentions(
     return _run(documents, handle, checkpoint, trigger, name)
 
 
+def keep_window_sums(
+    mentions: DataFrame,
+    window: timedelta,
+    path: str,
+    checkpoint: str,
+    trigger=AVAILABLE_NOW,
+    name: str = "window_sums",
+) -> StreamingQuery:
+    """Append what each batch adds to the sums of its windows; ``stored_deltas`` reads them.
+
+    There is no watermark: a late point counts in its window whenever it comes,
+    and the last windows are there too. No state is kept between batches.
+    """
+    create_table(mentions.sparkSession, path, schemas.WINDOW_SUMS)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(window_sums(batch, window), path, batch_id, schemas.WINDOW_SUMS)
+
+    return _run(mentions, handle, checkpoint, trigger, name)
+
+
+def stored_deltas(spark: SparkSession, path: str) -> DataFrame:
+    """Each window against the one before, as far as points have come."""
+    parts = read_table(spark, path, schemas.WINDOW_SUMS).groupBy("stock_code", "window_start")
+    counts = ("current_count", "previous_count")
+    return deltas_of_sums(parts.agg(*[F.sum(c).alias(c) for c in counts]))
+
+
 def keep_alerts(
     mentions: DataFrame,
     history: Callable[[], DataFrame],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from buzzlens import schemas
 from buzzlens.operators.mentions import mention_delta_history, mention_points
 from buzzlens.plans.signals import signals
-from buzzlens.sources.quotes import LISTED
+from buzzlens.sources.quotes import LISTED, parse_quotes
 from buzzlens.streaming import jobs
 
 
@@ -18,7 +18,7 @@ def quote(code, volume, close="10.5"):
 
 
 def test_quotes_last_poll_wins_and_restart_adds_nothing(spark, tmp_path):
-    landing, table, checkpoint = (str(tmp_path / n) for n in ("in", "bars", "check"))
+    landing, table, rejected, checkpoint = (str(tmp_path / n) for n in ("in", "bars", "bad", "check"))
     (tmp_path / "in").mkdir()
 
     def poll(name, rows):
@@ -26,15 +26,32 @@ def test_quotes_last_poll_wins_and_restart_adds_nothing(spark, tmp_path):
 
     def run():
         stream = jobs.quote_stream(spark, landing, LISTED)
-        jobs.keep_bars(stream, table, checkpoint).awaitTermination()
+        jobs.keep_quotes(stream, LISTED, table, rejected, checkpoint).awaitTermination()
         stored = jobs.stored_bars(spark, table).collect()
         return {r["stock_code"]: (r["volume"], float(r["close"])) for r in stored}
 
     poll("1.json", [quote("2330", "2,000"), quote("9999", "--")])
     assert run() == {"2330": (2000, 10.5)}
     poll("2.json", [quote("2330", "1,000", "11"), quote("2454", "5")])
+    (tmp_path / "in" / "3.json").write_text('[{"Code": "cut')
     expected = {"2330": (1000, 11.0), "2454": (5, 10.5)}
     assert run() == expected and run() == expected
+    [bad] = jobs.read_table(spark, rejected, schemas.UNREADABLE).collect()
+    assert "cut" in bad["_corrupt_record"]
+
+
+def test_window_sums_keep_late_points_and_the_last_window(spark, tmp_path):
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("in", "sums", "check"))
+    window, columns = timedelta(minutes=10), "stock_code string, ts timestamp, mention_count bigint"
+    old, new = datetime(2025, 7, 1), datetime(2025, 7, 11)
+    polls = [[("a", new, 3), ("b", new, 1)], [("a", old, 2), ("a", new + window, 6), (None, new, 9)]]
+    for rows in polls:
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(columns).parquet(landing)
+        jobs.keep_window_sums(stream, window, table, checkpoint).awaitTermination()
+    found = jobs.stored_deltas(spark, table).collect()
+    assert sorted(found) == sorted(mention_delta_history(spark.read.parquet(landing), window).collect())
+    assert {r["window_start"] for r in found} == {old, new, new + window}
 
 
 def document_files(spark, path, rows):
@@ -193,7 +210,9 @@ def test_one_failing_source_does_not_stop_the_others(spark, tmp_path):
             "broken": broken,
             "later": failing_later,
             "good": lambda: jobs.keep_bars(
-                jobs.quote_stream(spark, place("in"), LISTED), place("bars"), place("c1")
+                parse_quotes(jobs.quote_stream(spark, place("in"), LISTED), LISTED),
+                place("bars"),
+                place("c1"),
             ),
         }
     )
