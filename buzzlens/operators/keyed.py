@@ -68,9 +68,16 @@ def existing_keys(batch: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def insert_if_absent(
     batch: DataFrame, table: DataFrame, key: str, order: list[Column]
 ) -> DataFrame:
-    """Rows of ``batch`` to append: first row per new key, stored rows win."""
-    fresh = first_row(batch, [key], order)
-    return fresh.join(existing_keys(batch, table, key), key, "left_anti")
+    """Rows of ``batch`` to append: first row per new key, stored rows win.
+
+    Known keys leave first, and of a batch of checked size without a shuffle,
+    so only rows with new keys are shuffled whole. Counts the keys of the batch.
+    """
+    wanted = batch.select(key).distinct()
+    small = fits_broadcast(wanted)
+    known = table.select(key).join(F.broadcast(wanted) if small else wanted, key, "left_semi").distinct()
+    fresh = batch.join(F.broadcast(known) if small else known, key, "left_anti")
+    return first_row(fresh, [key], order)
 
 
 def dense_ids(df: DataFrame, key: Column, name: str, after: Column | int = 0) -> DataFrame:

@@ -4,21 +4,23 @@ A keyword matches anywhere in the text, case counts, and overlapping hits all
 count: ``aa`` occurs three times in ``aaaa``. Two aliases with one keyword give
 two hits.
 
-The plan, all in the JVM and in one stage:
+The plan, all in the JVM:
 
-1. cut a text into pieces of ``PIECE`` start positions (more, when a keyword is
-   longer), each reaching far enough into the next for the longest keyword; one
-   pass over the text;
+1. cut a text into pieces of ``PIECE`` start positions, each reaching a few
+   characters into the next; texts are first cut into sections when a keyword
+   is longer than a piece, so that no step scans far;
 2. explode the start positions and look up the first two characters (one, for
    keywords of one character) in the broadcast heads of the dictionary, which
    drops most positions and tells which anchor lengths are worth a look;
-3. join the first 1, 2, 4 or 8 characters (the anchor) with the broadcast
-   dictionary and keep candidates whose whole keyword is there.
+3. join the first 1, 2, 4 or 8 characters (the anchor) with the dictionary and
+   keep candidates whose whole keyword is there.
 
 Both joins use 64-bit hashes as keys; the comparison of the whole keyword makes
 the result exact. The work per position does not depend on the size of the
-dictionary, and texts are not shuffled: the first exchange is the one of the
-partly counted (document, entity) pairs.
+dictionary. A small dictionary is broadcast and nothing is shuffled before the
+partly counted (document, entity) pairs. A large one meets, in a shuffle on the
+anchor, what the heads let through: narrow rows of at most 7 characters, or as
+many as the longest keyword for anchors of 8.
 """
 
 from __future__ import annotations
@@ -29,12 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buzzlens.functions.text import full_text
-from buzzlens.operators.keyed import BROADCAST_ROWS, broadcast_if_small
+from buzzlens.operators.keyed import BROADCAST_ROWS, broadcast_if_small, fits_broadcast
 
 ANCHOR_LENGTHS = (1, 2, 4, 8)
 HEAD_LENGTH = 2
 PIECE = 64
-SALTS = 64
 BROADCAST_CHARS = 64_000_000
 
 
@@ -98,6 +99,30 @@ def _pieces(text: Column, starts: int, overlap: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 1)
 
 
+def _positions(documents: DataFrame, text: Column, names: list[str], longest: int) -> DataFrame:
+    """``(*names, section, at, window)``: every start position of every text.
+
+    The text from the position on, as far as any keyword reaches, starts at
+    character ``at`` of ``section``; ``window`` is the start of it.
+    """
+    reach = max(ANCHOR_LENGTHS)
+    if longest <= PIECE:
+        cut = documents.select(*names, F.explode(_pieces(text, PIECE, max(longest, reach) - 1)).alias("section"))
+        pieces = cut.select("*", F.lit(0).alias("_start"), F.col("section").alias("_piece"))
+    else:
+        count = -(-longest // PIECE)  # pieces of a section that start in it
+        cut = documents.select(*names, F.explode(_pieces(text, count * PIECE, longest - 1)).alias("section"))
+        pieces = cut.select("*", F.posexplode(_pieces(F.col("section"), PIECE, reach - 1)).alias("_k", "_piece"))
+        pieces = pieces.filter(F.col("_k") < count).withColumn("_start", F.col("_k") * PIECE)
+    places = F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("_piece")))
+    return pieces.select("*", F.explode(places).alias("_pos")).select(
+        *names,
+        "section",
+        (F.col("_start") + F.col("_pos")).alias("at"),
+        F.expr(f"substring(_piece, _pos, {reach})").alias("window"),
+    )
+
+
 def keyword_hits(
     documents: DataFrame,
     aliases: DataFrame,
@@ -110,50 +135,41 @@ def keyword_hits(
     ``text`` defaults to title, blank, content. ``keys`` are carried along, so
     whatever the caller groups by later needs no join. Runs one aggregate over
     the dictionary. A dictionary above ``max_broadcast_rows`` rows or
-    ``BROADCAST_CHARS`` characters is joined by a shuffle of the positions
-    instead, with hot anchors spread over ``SALTS`` keys.
+    ``BROADCAST_CHARS`` characters is joined by a shuffle instead (and the size
+    of its heads is checked by another aggregate); AQE splits hot anchors there.
     """
     words = _prepare(aliases)
     text = full_text(F.col("title"), F.col("content")) if text is None else text
     names = list(keys)
     small = words.size <= max_broadcast_rows and words.chars <= BROADCAST_CHARS
-    starts = max(PIECE, words.longest)
-    cut = F.explode(_pieces(text, starts, words.longest - 1))
-    pieces = documents.select(*names, cut.alias("piece"))
-    positions = pieces.select(
-        *names,
-        "piece",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(starts), F.length("piece")))).alias("pos"),
-    ).withColumn("window", F.expr(f"substring(piece, pos, {max(ANCHOR_LENGTHS)})"))
-
-    if small:
-        head_lengths = F.array(*[F.lit(n) for n in words.head_lengths])
-        candidates = (
-            positions.withColumn("head_len", F.explode(head_lengths))
-            .withColumn("head_key", _key("window", "head_len"))
-            .join(F.broadcast(words.heads), "head_key")
-            # Written as a difference so that the hash alone stays the join key.
-            .filter(F.col("head_len") - F.col("word_head_len") == 0)
-            .select(*names, "piece", "pos", "window", F.explode("anchor_lens").alias("anchor_len"))
-        )
-    else:
-        lengths = F.array(*[F.lit(n) for n in ANCHOR_LENGTHS])
-        candidates = positions.withColumn("anchor_len", F.explode(lengths))
+    heads = F.broadcast(words.heads) if small or fits_broadcast(words.heads) else words.heads
+    head_lengths = F.array(*[F.lit(n) for n in words.head_lengths])
+    candidates = (
+        _positions(documents, text, names, words.longest)
+        .withColumn("head_len", F.explode(head_lengths))
+        .withColumn("head_key", _key("window", "head_len"))
+        .join(heads, "head_key")
+        # Written as a difference so that the hash alone stays the join key.
+        .filter(F.col("head_len") - F.col("word_head_len") == 0)
+        .select(*names, "section", "at", "window", F.explode("anchor_lens").alias("anchor_len"))
+    )
     probes = candidates.withColumn("anchor_key", _key("window", "anchor_len"))
-
     if small:
         joined = probes.join(F.broadcast(words.rows), "anchor_key")
-        found = F.expr("substring(piece, pos, length(keyword))")
+        found = F.expr(
+            "if(word_anchor_len < 8, substring(window, 1, length(keyword)), "
+            "substring(section, at, length(keyword)))"
+        )
     else:
-        salted = words.rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = probes.select(
-            *names,
-            "anchor_len",
-            "anchor_key",
-            F.expr(f"substring(piece, pos, {words.longest})").alias("window"),
-            F.pmod("pos", F.lit(SALTS)).alias("salt"),
-        ).join(salted, ["anchor_key", "salt"])
-        found = F.expr("substring(window, 1, length(keyword))")
+        # A keyword is shorter than twice its anchor, unless the anchor is the longest.
+        rest = F.expr(
+            f"if(anchor_len < 8, substring(window, 1, 2 * anchor_len - 1), "
+            f"substring(section, at, {words.longest}))"
+        )
+        joined = probes.select(*names, "anchor_len", "anchor_key", rest.alias("rest")).join(
+            words.rows, "anchor_key"
+        )
+        found = F.expr("substring(rest, 1, length(keyword))")
     exact = (F.col("anchor_len") - F.col("word_anchor_len") == 0) & (found == F.col("keyword"))
     return joined.filter(exact).select(*names, "entity_id", "keyword")
 

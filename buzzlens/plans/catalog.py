@@ -206,6 +206,19 @@ def keyword_hits(spark, directory):
     )
 
 
+@query
+def keyword_hits_large(spark, directory):
+    """The same hits on the way a dictionary takes that is too large to broadcast."""
+    hits = matching.keyword_hits(
+        b.documents(spark, directory, b.dealt),
+        b.match_aliases(spark, directory),
+        max_broadcast_rows=0,
+    )
+    return hits.groupBy("document_id", "entity_id", "keyword").agg(
+        F.count("*").alias("hits")
+    )
+
+
 def _points(spark, directory):
     return mentions.mention_points(
         b.documents(spark, directory, b.dealt),

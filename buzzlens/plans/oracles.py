@@ -675,3 +675,4 @@ ORACLES |= {
     "stream_signals": ORACLES["signals"].replace(AS_OF, _LAST_EVENT),
     "stream_mention_deltas": ORACLES["mention_delta_history"],
 }
+ORACLES["keyword_hits_large"] = ORACLES["keyword_hits"]

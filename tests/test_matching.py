@@ -104,3 +104,24 @@ def test_texts_are_not_shuffled(spark):
     assert plan.count("BroadcastHashJoin") == 2
     first = plan.index("BroadcastHashJoin")
     assert "Exchange hashpartitioning(document_id" in plan[:first]
+
+
+@pytest.mark.parametrize("limit", [1_000, 0], ids=["broadcast", "shuffle"])
+def test_keywords_longer_than_a_piece(spark, limit):
+    rng = random.Random(11)
+    body = "".join(rng.choice("abc") for _ in range(900))
+    words = [(1, body[100:400]), (2, body[330:400]), (3, body[63:129]), (4, "ab"), (5, "a"), (6, body[500:509])]
+    texts = [body, body[:399], body[100:400], "c" * 200 + body[100:400] + "a" * 63]
+    assert hits(spark, words, texts, max_broadcast_rows=limit) == brute_force(words, texts)
+
+
+def test_large_dictionary_shuffles_what_the_heads_let_through(spark):
+    documents, aliases = frames(spark, [(1, "ab"), (2, "abcdefghij")], ["abab"])
+    plan = (
+        keyword_hits(documents, aliases, F.col("text"), max_broadcast_rows=0)
+        ._jdf.queryExecution().executedPlan().toString()
+    )
+    heads = plan.index("BroadcastHashJoin")
+    assert plan.index("Exchange hashpartitioning(anchor_key") < heads  # the head filter is below the exchange
+    exchanged = plan[plan.index("Exchange hashpartitioning(anchor_key"):heads]
+    assert "section" not in exchanged.split("Project")[0]
