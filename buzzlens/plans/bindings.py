@@ -164,6 +164,40 @@ def raw_quotes(
     )
 
 
+def quote_texts(spark: SparkSession, directory: str, feed: QuoteFeed) -> DataFrame:
+    """Every order line as one poll of an exchange: a JSON array of its quote.
+
+    Fifth lines show their quote twice, sixth lines are empty polls and seventh
+    lines are cut in the middle.
+    """
+    raw = raw_quotes(spark, directory, feed)
+    quote = F.to_json(F.struct(*[n for n in feed.schema.fieldNames() if n in raw.columns]))
+    line = F.col("l_linenumber")
+    text = (
+        F.when(line == 5, F.concat(F.lit("["), quote, F.lit(", "), quote, F.lit("]")))
+        .when(line == 6, F.lit("[]"))
+        .when(line == 7, F.concat(F.lit("["), F.substr(quote, F.lit(1), F.lit(40))))
+        .otherwise(F.concat(F.lit("["), quote, F.lit("]")))
+    )
+    return raw.select("l_orderkey", "l_linenumber", text.alias("value"))
+
+
+def item_texts(spark: SparkSession, directory: str) -> DataFrame:
+    """``rss_items`` as XML elements; each fiftieth document lost its end."""
+    items = rss_items(spark, directory)
+    fields = [n for n in items.columns if n != "document_id"]
+    parts = [
+        F.when(F.col(n).isNull(), F.lit("")).otherwise(
+            F.concat(F.lit(f"<{n}>"), _escaped(F.col(n)), F.lit(f"</{n}>"))
+        )
+        for n in fields
+    ]
+    whole = F.concat(F.lit("<item>"), *parts, F.lit("</item>"))
+    cut = F.concat(F.lit("<item>"), *parts[:1], F.lit("<link>"))
+    text = F.when(F.col("document_id").cast("bigint") % 50 == 0, cut).otherwise(whole)
+    return items.select("document_id", text.alias("value"))
+
+
 def quote_bars(spark: SparkSession, directory: str) -> DataFrame:
     """Bars of both exchanges: returned lines are listed, the others OTC."""
     listed = raw_quotes(spark, directory, LISTED).filter(F.col("l_returnflag") == "R")
@@ -244,6 +278,7 @@ def rss_items(spark: SparkSession, directory: str) -> DataFrame:
         .otherwise(F.concat(local, F.lit(" +0800")))
         .alias("pubDate"),
         F.when(source != "src3", address).alias("guid"),
+        "document_id",
     )
 
 
@@ -412,7 +447,7 @@ def capital_words(title: Column, content: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[A-Z][a-z]{5,}"), 0)
 
 
-def review_texts(spark: SparkSession, directory: str) -> DataFrame:
+def review_texts(spark: SparkSession, directory: str, read=table) -> DataFrame:
     """Order lines as chat messages that approve or reject concepts, or neither."""
     verb = (
         F.when(F.col("o_orderstatus") == "F", F.lit(" /Approve "))
@@ -422,7 +457,7 @@ def review_texts(spark: SparkSession, directory: str) -> DataFrame:
     number = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("soon")).otherwise(
         F.col("o_custkey").cast("string")
     )
-    return table(spark, directory, "orders").select(
+    return read(spark, directory, "orders").select(
         F.col("o_orderkey").alias("seq"), F.concat(verb, number).alias("text")
     )
 

@@ -26,7 +26,9 @@ from buzzlens.plans import bindings as b
 from buzzlens.plans.signals import alert_messages, signals
 from buzzlens.session import configure, scratch_path
 from buzzlens.sources import feeds, pages, series
-from buzzlens.sources.quotes import LISTED, OTC, bar_series, parse_quotes
+from buzzlens.sources.quotes import (
+    CORRUPT, LISTED, OTC, bar_series, decode_quotes, parse_quotes, unreadable,
+)
 from buzzlens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +39,7 @@ AS_OF = "2024-01-19 00:00:00"
 WINDOW = timedelta(days=2)
 SLOT = timedelta(hours=6)
 DECIMALS = 6
+READ_FROM, REWRITTEN_DAY = "2024-01-05 12:00:00", "2024-01-10"
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -84,6 +87,63 @@ def quotes_tpex(spark, directory):
     return parse_quotes(raw, OTC)
 
 
+@query
+def feed_listed_json(spark, directory):
+    """Bars of listed quotes decoded from JSON polls."""
+    raw = decode_quotes(b.quote_texts(spark, directory, LISTED), LISTED)
+    return parse_quotes(raw, LISTED)
+
+
+@query
+def feed_otc_json(spark, directory):
+    """Bars of OTC quotes decoded from JSON polls."""
+    raw = decode_quotes(b.quote_texts(spark, directory, OTC), OTC)
+    return parse_quotes(raw, OTC)
+
+
+@query
+def feed_rejected(spark, directory):
+    """What could not be read in the JSON polls and the XML items."""
+
+    def polls(feed):
+        bad = unreadable(decode_quotes(b.quote_texts(spark, directory, feed), feed))
+        key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+        return bad.select(F.lit(feed.market).alias("feed"), key.alias("key"), CORRUPT)
+
+    items = unreadable(feeds.decode_items(b.item_texts(spark, directory))).select(
+        F.lit("rss").alias("feed"), F.col("document_id").alias("key"), CORRUPT
+    )
+    rows = polls(LISTED).unionByName(polls(OTC)).unionByName(items)
+    return rows.select("feed", "key", F.substring(CORRUPT, 1, 2).alias("begin"))
+
+
+@query
+def bars_round_trip(spark, directory):
+    """Bars written by day, one day written again, and a range read back."""
+    bars = b.event_bars(spark, directory)
+    path = scratch_path(spark, "bar-series")
+    series.write_series(bars, path, day=F.col("trading_date"))
+    again = bars.filter(F.col("trading_date") == F.lit(REWRITTEN_DAY).cast("date"))
+    again = again.withColumn("volume", F.col("volume") + 1)
+    series.write_series(again, path, day=F.col("trading_date"), mode="overwrite")
+    columns = {c: k for c, k in bars.dtypes}
+    return series.read_series(spark, path, READ_FROM, AS_OF, columns)
+
+
+@query
+def mentions_round_trip(spark, directory):
+    """Mentions written by day, one day written again, and a range read back."""
+    points = b.event_mentions(spark, directory)
+    path = scratch_path(spark, "mention-series")
+    day = F.to_date("ts")
+    series.write_series(points, path, day=day)
+    again = points.filter(day == F.lit(REWRITTEN_DAY).cast("date"))
+    again = again.withColumn("mention_count", F.col("mention_count") + 1)
+    series.write_series(again, path, day=day, mode="overwrite")
+    columns = {c: k for c, k in points.dtypes}
+    return series.read_series(spark, path, READ_FROM, AS_OF, columns)
+
+
 @query
 def bars_series(spark, directory):
     """Bars of both exchanges as points of the price series."""
@@ -159,6 +219,12 @@ PAGE_INDEX = pages.IndexLayout(
 )
 
 
+@query
+def feed_rss_xml(spark, directory):
+    """Documents of feed items decoded from XML."""
+    return feeds.parse_items(feeds.decode_items(b.item_texts(spark, directory)))
+
+
 @query
 def page_links(spark, directory):
     """Links listed on web pages."""
@@ -352,10 +418,10 @@ def recent_ids(spark, directory):
     return doc.recent_ids(b.documents(spark, directory), schemas.FORUM_SOURCE, AS_OF)
 
 
-def _part_status(spark, directory):
+def _part_status(spark, directory, read=b.table):
     """Status in which English documents are processed and French ones probed."""
     at = F.lit(AS_OF).cast("timestamp")
-    return b.documents(spark, directory).select(
+    return b.documents(spark, directory, read).select(
         "document_id",
         F.when(F.col("lang") != "es", at).alias("processed_at"),
         F.when(F.col("lang") == "de", 0).otherwise(1).alias("entity_match_count"),
@@ -716,3 +782,63 @@ def stream_mention_deltas(spark, directory):
     path, checkpoint = _places(spark, "deltas")
     jobs.keep_window_sums(points, SLOT, path, checkpoint).awaitTermination()
     return jobs.stored_deltas(spark, path)
+
+
+def _processed(spark, directory):
+    """Folder of the tables that the processing stream fills."""
+    path, checkpoint = _places(spark, "processed")
+    stored = b.embeddings(spark, directory).drop("label")
+    jobs.create_table(spark, f"{path}/embeddings", schemas.EMBEDDINGS)
+    stored.write.mode("overwrite").parquet(f"{path}/embeddings/batch_id=-1")
+
+    def dictionary():
+        return b.match_aliases(spark, directory), b.match_entities(spark, directory)
+
+    docs = b.documents(spark, directory, read=b.stream_table)
+    jobs.keep_processed(docs, dictionary, path, checkpoint, lambda n: AS_OF).awaitTermination()
+    return path
+
+
+@query
+def stream_process_status(spark, directory):
+    """Status rows that the processing stream writes last."""
+    path = _processed(spark, directory)
+    return jobs.read_table(spark, f"{path}/status", schemas.DOC_STATUS).drop("batch_id")
+
+
+@query
+def stream_process_embeddings(spark, directory):
+    """Vectors that the processing stream adds to the stored ones."""
+    path = _processed(spark, directory)
+    rows = jobs.read_table(spark, f"{path}/embeddings", schemas.EMBEDDINGS)
+    return _vector_facts(rows.filter(F.col("batch_id") >= 0))
+
+
+@query
+def stream_probe_concepts(spark, directory):
+    """Concepts that the probe stream finds in the hottest documents."""
+    path, checkpoint = _places(spark, "probed")
+    jobs.keep_probed(
+        _part_status(spark, directory, b.stream_table),
+        lambda: b.documents(spark, directory),
+        path,
+        checkpoint,
+        lambda n: "2024-02-01 00:00:00",
+        b.capital_words,
+    ).awaitTermination()
+    return jobs.stored_concepts(spark, path)
+
+
+@query
+def stream_reviews(spark, directory):
+    """Concept table after the review stream."""
+    path, checkpoint = _places(spark, "reviews")
+    jobs.keep_reviews(
+        b.review_texts(spark, directory, b.stream_table),
+        _stored_concepts(spark, directory),
+        lambda: (b.aliases(spark, directory), b.entities(spark, directory)),
+        path,
+        checkpoint,
+    ).awaitTermination()
+    concepts = jobs.stored_concepts(spark, path)
+    return concepts.select("concept_id", "keyword", "appearance_count", "approved")

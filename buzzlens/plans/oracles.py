@@ -136,7 +136,7 @@ CTES = {
                CAST(l_extendedprice AS DECIMAL(18, 2)) AS price,
                CAST(l_quantity AS DECIMAL(18, 2)) AS spread,
                CAST(l_discount AS DECIMAL(18, 2)) AS extra,
-               CAST(l_quantity * 1000 AS BIGINT) AS volume
+               CAST(l_quantity * 1000 AS BIGINT) AS volume, l_linenumber
         FROM lineitem WHERE l_discount <> 0 AND l_tax <> 0.08""",
     "ents": """
         SELECT p_partkey + 1 AS entity_id, 'Stock' AS type, p_name AS primary_name,
@@ -676,3 +676,49 @@ ORACLES |= {
     "stream_mention_deltas": ORACLES["mention_delta_history"],
 }
 ORACLES["keyword_hits_large"] = ORACLES["keyword_hits"]
+
+# Decoded feeds: fifth lines come twice, sixth and seventh lines not at all.
+_TIMES = (
+    "FROM bars, unnest(range(CASE WHEN l_linenumber > 5 THEN 0 WHEN l_linenumber = 5 THEN 2 "
+    "ELSE 1 END)) AS times(i)"
+)
+_ROUND_TRIP = f"ts >= TIMESTAMP '2024-01-05 12:00:00' AND ts < {AS_OF}"
+_AGAIN = "CASE WHEN date_trunc('day', ts) = DATE '2024-01-10' THEN 1 ELSE 0 END"
+
+ORACLES |= {
+    "feed_listed_json": _with(_quotes("TWSE", "TwseApi").replace("FROM bars", _TIMES), "bars"),
+    "feed_otc_json": _with(_quotes("TPEX", "TpexApi").replace("FROM bars", _TIMES), "bars"),
+    "feed_rss_xml": _with(f"{_NEWS} AND doc_id % 50 <> 0", "docs"),
+    "feed_rejected": """
+        SELECT feed, l_orderkey || '-' || l_linenumber AS key, '[{' AS "begin"
+        FROM lineitem, (VALUES ('TWSE'), ('TPEX')) AS feeds(feed) WHERE l_linenumber = 7
+        UNION ALL SELECT 'rss', CAST(doc_id AS VARCHAR), '<i' FROM documents WHERE doc_id % 50 = 0""",
+    "bars_round_trip": f"""
+        SELECT stock_code, 'TWSE' AS market, {_day('day')} AS trading_date, {_ts('ts')} AS ts,
+               open, high, low, close, CAST(volume + {_AGAIN} AS BIGINT) AS volume
+        FROM (SELECT CAST(user_id AS VARCHAR) AS stock_code, date_trunc('day', ts) AS day,
+                     date_trunc('day', ts) + INTERVAL 330 MINUTE AS ts,
+                     arg_min(amount, ROW(ts, event_id)) AS open, max(amount) AS high,
+                     min(amount) AS low, arg_max(amount, ROW(ts, event_id)) AS close,
+                     floor(sum(CAST(amount AS DECIMAL(18, 4)))) AS volume
+              FROM (SELECT *, CAST(CAST(value AS DECIMAL(18, 4)) AS DOUBLE) AS amount FROM events)
+              GROUP BY user_id, date_trunc('day', ts))
+        WHERE {_ROUND_TRIP}""",
+    "mentions_round_trip": f"""
+        SELECT CAST(user_id AS VARCHAR) AS stock_code, event_type AS source_type, {_ts('ts')} AS ts,
+               CAST(1 + {_AGAIN} AS BIGINT) AS mention_count, event_id
+        FROM events WHERE {_ROUND_TRIP}""",
+    "stream_process_status": ORACLES["doc_match_count"],
+    "stream_process_embeddings": ORACLES["embed_documents"],
+    "stream_probe_concepts": _with(
+        f"""
+        SELECT row_number() OVER (ORDER BY md5(keyword)) AS concept_id,
+               arg_min(document_id, ROW(published_at, document_id)) AS source_document_id,
+               CAST(NULL AS VARCHAR) AS associated_stock_code, keyword,
+               count(*) AS appearance_count, '{_EARLY}' AS first_discovered_at,
+               '{_EARLY}' AS last_seen_at, false AS approved
+        FROM capitals WHERE document_id IN (SELECT document_id FROM hot) GROUP BY keyword""",
+        "capitals", "hot",
+    ),
+    "stream_reviews": ORACLES["apply_reviews"],
+}

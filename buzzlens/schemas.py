@@ -106,6 +106,8 @@ WINDOW_SUMS = {
     "current_count": "bigint",
     "previous_count": "bigint",
 }
+PROBED = {"document_id": "string", "probed_at": "timestamp"}
+VERSIONS = {"version": "bigint"}
 UNREADABLE = {"_corrupt_record": "string"}
 
 # Names stored in the tables.

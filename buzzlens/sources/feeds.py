@@ -24,6 +24,17 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("rowTag", "item").option("columnNameOfCorruptRecord", CORRUPT).load(path)
 
 
+def decode_items(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Raw items of texts that hold one ``item`` element each; other columns are kept.
+
+    A text that is not well formed has itself in ``CORRUPT``.
+    """
+    others = [F.col(c) for c in texts.columns if c != column]
+    options = {"columnNameOfCorruptRecord": CORRUPT}
+    item = F.from_xml(column, f"{RSS_ITEM}, {CORRUPT} string", options)
+    return texts.select(*others, item.alias("_item")).select(*others, "_item.*")
+
+
 def parse_items(items: DataFrame, source_type: str = schemas.NEWS_SOURCE) -> DataFrame:
     """Documents of raw items.
 

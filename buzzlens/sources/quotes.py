@@ -73,6 +73,24 @@ def read_quotes(
     return reader.option("multiLine", json_array).json(path)
 
 
+def decode_quotes(texts: DataFrame, feed: QuoteFeed, column: str = "value") -> DataFrame:
+    """Raw quotes of texts that hold one JSON array each; other columns are repeated.
+
+    For polls that arrive as table rows. A text that is no such array comes as
+    one row with it in ``CORRUPT`` (a null text as an empty one); an empty array
+    gives no row.
+    """
+    others = [F.col(c) for c in texts.columns if c != column]
+    text = F.coalesce(F.col(column), F.lit(""))
+    none = F.array(F.lit(None).cast(feed.schema))
+    parsed = texts.withColumn("_quotes", F.from_json(text, T.ArrayType(feed.schema)))
+    return parsed.select(
+        *others,
+        F.when(F.col("_quotes").isNull(), text).alias(CORRUPT),
+        F.explode(F.coalesce("_quotes", none)).alias("_quote"),
+    ).select(*others, "_quote.*", CORRUPT)
+
+
 def kept_schema(feed: QuoteFeed) -> T.StructType:
     """Fields of a feed and the text of what could not be read."""
     return feed.schema.add(CORRUPT, T.StringType())

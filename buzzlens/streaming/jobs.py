@@ -11,13 +11,16 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from buzzlens import schemas
+from buzzlens.operators.concepts import apply_reviews, no_concepts, parse_commands
 from buzzlens.operators.documents import new_documents
+from buzzlens.operators.embeddings import DIMENSION, zero_vector
 from buzzlens.operators.mentions import deltas_of_sums, mention_points, window_sums
+from buzzlens.plans.processing import probe_documents, process_documents
 from buzzlens.plans.signals import signals
 from buzzlens.sources.quotes import CORRUPT, QuoteFeed, kept_schema, parse_quotes, unreadable
 from buzzlens.sources.series import latest_bars
@@ -191,6 +194,152 @@ def keep_mentions(
     return _run(documents, handle, checkpoint, trigger, name)
 
 
+def keep_processed(
+    documents: DataFrame,
+    dictionary: Callable[[], tuple[DataFrame, DataFrame]],
+    path: str,
+    checkpoint: str,
+    now: Callable[[int], str],
+    embed: Callable[[Column], Column] = zero_vector,
+    dimension: int = DIMENSION,
+    trigger=AVAILABLE_NOW,
+    name: str = "processing",
+) -> StreamingQuery:
+    """Match a stream of documents; append mentions, then vectors, then status.
+
+    The tables are ``mentions``, ``embeddings`` and ``status`` below ``path``. A
+    document has a status row only when its mentions and its vector are stored.
+    ``now`` gives the instant of a batch by its number, so that a repeated batch
+    writes the same rows.
+    """
+    tables = {"mentions": schemas.MENTIONS, "embeddings": schemas.EMBEDDINGS, "status": schemas.DOC_STATUS}
+    for table, columns in tables.items():
+        create_table(documents.sparkSession, f"{path}/{table}", columns)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read by each of the three
+        try:
+            vectors = read_table(
+                batch.sparkSession, f"{path}/embeddings", schemas.EMBEDDINGS, before=batch_id
+            )
+            aliases, entities = dictionary()
+            done = process_documents(
+                batch, aliases, entities, vectors, now(batch_id), embed, dimension
+            )
+            for table, columns in tables.items():
+                _write_batch(getattr(done, table), f"{path}/{table}", batch_id, columns)
+        finally:
+            batch.unpersist()
+
+    return _run(documents, handle, checkpoint, trigger, name)
+
+
+def _next_version(concepts: DataFrame, path: str, batch_id: int) -> None:
+    """Write the concept table after a batch, and then that it is whole."""
+    _write_batch(concepts, f"{path}/concepts", batch_id, schemas.CONCEPTS)
+    number = concepts.sparkSession.createDataFrame([(batch_id,)], schemas.ddl(schemas.VERSIONS))
+    _write_batch(number, f"{path}/versions", batch_id, schemas.VERSIONS)
+
+
+def _version(spark: SparkSession, path: str, version: int) -> DataFrame:
+    rows = read_table(spark, f"{path}/concepts", schemas.CONCEPTS)
+    return rows.filter(F.col("batch_id") == version).drop("batch_id")
+
+
+def stored_concepts(spark: SparkSession, path: str) -> DataFrame:
+    """Newest whole version of a concept table that a job keeps."""
+    newest = read_table(spark, f"{path}/versions", schemas.VERSIONS).agg(F.max("version")).first()[0]
+    return _version(spark, path, -1 if newest is None else newest)
+
+
+def keep_probed(
+    status: DataFrame,
+    documents: Callable[[], DataFrame],
+    path: str,
+    checkpoint: str,
+    now: Callable[[int], str],
+    extract: Callable[[Column, Column], Column] = no_concepts,
+    size: int = 10,
+    min_upvotes: int = 10,
+    trigger=AVAILABLE_NOW,
+    name: str = "probe",
+) -> StreamingQuery:
+    """Probe the hottest documents whenever status rows arrive and keep the concepts.
+
+    ``status`` is a stream of status rows. Below ``path``, ``waiting`` keeps
+    them, ``probed`` what was probed and ``concepts`` one version of the table
+    per batch. A batch works on rows of the batches up to itself, so a repeat
+    gives the same.
+    """
+    spark = status.sparkSession
+    create_table(spark, f"{path}/waiting", schemas.DOC_STATUS)
+    create_table(spark, f"{path}/probed", schemas.PROBED)
+    create_table(spark, f"{path}/concepts", schemas.CONCEPTS)
+    create_table(spark, f"{path}/versions", schemas.VERSIONS)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        _write_batch(batch, f"{path}/waiting", batch_id, schemas.DOC_STATUS)
+        waiting = read_table(session, f"{path}/waiting", schemas.DOC_STATUS, before=batch_id + 1)
+        probed = read_table(session, f"{path}/probed", schemas.PROBED, before=batch_id)
+        still = waiting.filter(F.col("probed_at").isNull()).drop("batch_id")
+        still = still.join(probed.select("document_id"), "document_id", "left_anti")
+        done = probe_documents(
+            documents(), still, _version(session, path, batch_id - 1), now(batch_id),
+            extract, size, min_upvotes,
+        )
+        marked = done.status.filter(F.col("probed_at").isNotNull())
+        _write_batch(marked, f"{path}/probed", batch_id, schemas.PROBED)
+        _next_version(done.concepts, path, batch_id)
+
+    return _run(status, handle, checkpoint, trigger, name)
+
+
+def keep_reviews(
+    messages: DataFrame,
+    concepts: DataFrame,
+    dictionary: Callable[[], tuple[DataFrame, DataFrame]],
+    path: str,
+    checkpoint: str,
+    trigger=AVAILABLE_NOW,
+    name: str = "review",
+) -> StreamingQuery:
+    """Apply a stream of review messages ``(seq, text)`` batch by batch.
+
+    ``concepts`` is the table to start from, written once; ``dictionary``
+    returns the stored ``(aliases, entities)``. Below ``path``, ``concepts``
+    has a version of the table per batch, ``entities`` and ``aliases`` the rows
+    that approvals add.
+    """
+    spark = messages.sparkSession
+    typed = concepts.select(*[F.col(n).cast(k).alias(n) for n, k in schemas.CONCEPTS.items()])
+    typed.write.mode("ignore").parquet(f"{path}/concepts/batch_id=-1")
+    create_table(spark, f"{path}/versions", schemas.VERSIONS)
+    create_table(spark, f"{path}/entities", schemas.ENTITIES)
+    create_table(spark, f"{path}/aliases", schemas.ALIASES)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        aliases, entities = dictionary()
+        added = read_table(session, f"{path}/entities", schemas.ENTITIES, before=batch_id)
+        named = read_table(session, f"{path}/aliases", schemas.ALIASES, before=batch_id)
+        commands = parse_commands(batch).persist()  # read by each of the three
+        try:
+            left, new_entities, new_aliases = apply_reviews(
+                commands,
+                _version(session, path, batch_id - 1),
+                entities.select("entity_id").unionByName(added.select("entity_id")),
+                aliases.select("alias_id").unionByName(named.select("alias_id")),
+            )
+            _write_batch(new_entities, f"{path}/entities", batch_id, schemas.ENTITIES)
+            _write_batch(new_aliases, f"{path}/aliases", batch_id, schemas.ALIASES)
+            _next_version(left, path, batch_id)
+        finally:
+            commands.unpersist()
+
+    return _run(messages, handle, checkpoint, trigger, name)
+
+
 def keep_window_sums(
     mentions: DataFrame,
     window: timedelta,
