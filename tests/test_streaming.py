@@ -224,3 +224,43 @@ def test_one_failing_source_does_not_stop_the_others(spark, tmp_path):
 @pytest.mark.parametrize("job", sorted(jobs.INTERVALS))
 def test_triggers(job):
     assert jobs.every(job)["processingTime"].split()[1] in ("seconds", "minutes")
+
+
+def test_reviews_go_on_from_the_version_before(spark, tmp_path):
+    landing, path = str(tmp_path / "in"), str(tmp_path / "reviews")
+    concepts = spark.createDataFrame(
+        [(n, "d", None, f"word{n}", n, None, None, False) for n in (1, 2, 3)], schemas.ddl(schemas.CONCEPTS)
+    )
+    aliases = spark.createDataFrame([(40, 7, "x")], "alias_id long, entity_id long, keyword string")
+    entities = spark.createDataFrame([(7, "Stock", "x", "1")], schemas.ddl(schemas.ENTITIES))
+
+    def run(rows):
+        messages = spark.createDataFrame(rows, "seq long, text string")
+        messages.coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema("seq long, text string").parquet(landing)
+        jobs.keep_reviews(
+            stream, concepts, lambda: (aliases, entities), path, str(tmp_path / "check")
+        ).awaitTermination()
+        return {r["concept_id"]: r["approved"] for r in jobs.stored_concepts(spark, path).collect()}
+
+    assert run([(1, "/approve 1"), (2, "hello")]) == {1: True, 2: False, 3: False}
+    assert run([(3, "/reject 1"), (4, "/approve 2"), (5, "/approve 9")]) == {2: True, 3: False}
+    added = jobs.read_table(spark, f"{path}/entities", schemas.ENTITIES).collect()
+    assert {(r["entity_id"], r["primary_name"]) for r in added} == {(8, "word1"), (9, "word2")}
+    named = jobs.read_table(spark, f"{path}/aliases", schemas.ALIASES).collect()
+    assert {(r["alias_id"], r["entity_id"]) for r in named} == {(41, 8), (42, 9)}
+
+
+def test_processing_writes_status_of_matched_documents_last(spark, tmp_path):
+    landing, path = str(tmp_path / "in"), str(tmp_path / "processed")
+    aliases = spark.createDataFrame([(1, "AI")], "entity_id long, keyword string")
+    entities = spark.createDataFrame([(1, "2330")], "entity_id long, stock_code string")
+    document_files(spark, landing, [row(1, "AI AI"), row(2, "none")])
+    jobs.keep_processed(
+        document_stream(spark, landing), lambda: (aliases, entities), path,
+        str(tmp_path / "check"), lambda n: "2026-03-24 06:00:00", dimension=1536,
+    ).awaitTermination()
+    status = jobs.read_table(spark, f"{path}/status", schemas.DOC_STATUS).collect()
+    assert {(r["document_id"], r["entity_match_count"]) for r in status} == {("1", 1), ("2", 0)}
+    vectors = jobs.read_table(spark, f"{path}/embeddings", schemas.EMBEDDINGS).collect()
+    assert [(r["document_id"], len(r["embedding"])) for r in vectors] == [("1", 1536)]
