@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzlens.llm import bpe, cotraining, language, lines, packing, pages, rules, search, simhash, substrings
+from buzzlens.llm import bpe, cotraining, idfiles, language, lines, packing, pages, rules, search, simhash, substrings
+from buzzlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,3 +175,10 @@ def op9_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
 def op4_bm25_search(spark: SparkSession, directory: str) -> DataFrame:
     docs = read(spark, directory, "documents").select("doc_id", "text")
     return search.search(docs, docs.filter("doc_id % 20 = 0"))
+
+
+@query
+def op13_id_files(spark: SparkSession, directory: str) -> DataFrame:
+    path = scratch_path(spark, "id-files")
+    idfiles.write(read(spark, directory, "documents"), path, tokenizer("word_bpe_49k.json"))
+    return idfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
