@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzlens.llm import bpe, cotraining, idfiles, language, lines, packing, pages, rules, search, simhash, substrings
+from buzzlens.llm import bpe, cotraining, idfiles, language, lines, packing, pages, ranked, rules, search, simhash, substrings
 from buzzlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +182,43 @@ def op13_id_files(spark: SparkSession, directory: str) -> DataFrame:
     path = scratch_path(spark, "id-files")
     idfiles.write(read(spark, directory, "documents"), path, tokenizer("word_bpe_49k.json"))
     return idfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, directory: str) -> DataFrame:
+    path = scratch_path(spark, "ranked-index")
+    ranked.build(read(spark, directory, "documents"), path)
+    return ranked.search(spark, path, read(spark, directory, "benchmark"))
+
+
+SQL["op11_ranked_search"] = r"""
+WITH terms AS (
+  SELECT rowid AS r, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
+), sizes AS (SELECT r, doc_id, count(*) AS n FROM terms GROUP BY r, doc_id
+), corpus AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes
+), tfs AS (SELECT r, t, count(*) AS tf FROM terms GROUP BY r, t
+), dfs AS (SELECT t, count(*) AS df FROM tfs GROUP BY t
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM dfs, corpus
+), asked AS (
+  SELECT item_id, t, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark)
+  GROUP BY item_id, t
+), scored AS (
+  SELECT item_id, r, doc_id, CAST(sum(q * w * ((1000000000 * tf) //
+    (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l))))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN tfs USING (t) JOIN sizes USING (r), corpus
+  GROUP BY item_id, r, doc_id
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM numbered WHERE rank <= 10
+"""
