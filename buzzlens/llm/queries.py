@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzlens.llm import bpe, cotraining, idfiles, language, lines, packing, pages, ranked, rules, search, simhash, substrings
+from buzzlens.llm import bpe, cotraining, idfiles, language, lines, negatives, packing, pages, ranked, rules, search, simhash, substrings
 from buzzlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,3 +222,40 @@ WITH terms AS (
 )
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM numbered WHERE rank <= 10
 """
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, directory, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    path = scratch_path(spark, "slices")
+    negatives.store(rows, path)
+    return negatives.mine(spark, path)
+
+
+SQL["op12_hard_negatives"] = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings
+), kept AS (
+  SELECT r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM rows
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, x.r AS xr, x.vec_id, a.label = x.label AS same,
+         CAST(list_dot_product(a.v, x.v) AS BIGINT) AS score
+  FROM kept a JOIN kept x ON a.r <> x.r WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS p FROM pairs WHERE same)
+  WHERE p <= 5
+), fitting AS (
+  SELECT n.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id,
+         p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.xr ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN pairs n ON p.ar = n.ar AND NOT n.same
+  WHERE 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM fitting WHERE rank <= 10
+"""
