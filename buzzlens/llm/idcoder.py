@@ -29,13 +29,14 @@ BLOCK = 4095  # ids in a block; places in an alphabet need 12 bits
 MAGIC = b"IDB1"
 HEAD = "<4sIIII"  # magic, ids, alphabet bytes, words, CRC-32 of the ids
 HEAD_SIZE = struct.calcsize(HEAD)
-LANES = 3072  # blocks coded side by side
+LANES = 2048  # blocks coded side by side
 PREPARED = 256  # blocks whose alphabets are made at once
 STEP = 12  # order-0 weight of one occurrence; an id that has not come yet weighs 1
 RENEW = 128  # ids after which order-0 shares are summed anew, sooner at the start
 SURE = 3  # highest confidence
 ONE, MOST = 65_536, 64_512  # mixing weights are parts of ONE and together at most MOST
 RATE = 4  # a weight moves by 1/16 of its error
+PAIRS = 2048  # places for pairs of ids in order 2
 PLACE = 12  # bits of an alphabet place
 CODE_LOW = np.uint64(1 << 32)
 WORD = np.uint64(32)
@@ -73,16 +74,17 @@ class _Model:
         n = len(sizes)
         self.width = -(-(int(sizes.max()) + 1) // 256) * 256
         self.counts = (np.arange(self.width) < sizes[:, None]).astype(np.uint16)
-        self.shares = np.zeros((n, self.width), np.int32)  # summed counts of the places before
-        self.middle = np.zeros((n, self.width // 16), np.int32)  # every 16th of them
-        self.coarse = np.full((n, 16), 2**31 - 1, np.int32)  # every 256th
+        # Summed counts of the places before; a block's sum stays below 2 ** 16.
+        self.shares = np.zeros((n, self.width), np.uint16)
+        self.middle = np.zeros((n, self.width // 16), np.uint16)  # every 16th of them
+        self.coarse = np.full((n, 16), 2**16 - 1, np.uint16)  # every 256th
         lane = np.arange(n)
         self.base = lane * self.width
         self.base16 = lane * (self.width // 16)
         self.base256 = lane * (self.width // 256)
         # What followed each place, then what followed each pair of places: place | confidence << PLACE.
-        self.after = np.zeros(n * self.width + (n << PLACE), np.uint16)
-        self.base_pair = (lane << PLACE) + n * self.width
+        self.after = np.zeros(n * (self.width + PAIRS), np.uint16)
+        self.base_pair = lane * PAIRS + n * self.width
         self.at = np.empty((2, n), np.int64)
         kept = np.arange(32)
         first = np.where(kept < 16, (kept & 3) * (ONE // 10), 0)
@@ -94,7 +96,7 @@ class _Model:
         self.renew(n)
 
     def renew(self, m: int) -> None:
-        np.cumsum(self.counts[:m, :-1], axis=1, dtype=np.int32, out=self.shares[:m, 1:])
+        np.cumsum(self.counts[:m, :-1], axis=1, dtype=np.uint16, out=self.shares[:m, 1:])
         self.total = self.shares[:m, -1].astype(np.int64)
         self.middle[:m] = self.shares[:m, ::16]
         self.coarse[:m, : self.width // 256] = self.middle[:m, ::16]
@@ -104,7 +106,7 @@ class _Model:
         at = self.at[:, :m]
         last1, last2 = self.last1[:m], self.last2[:m]
         np.add(self.base[:m], last1, out=at[0])
-        np.add(self.base_pair[:m], (last1 * 31 + last2 * 1021) & 4095, out=at[1])
+        np.add(self.base_pair[:m], (last1 * 31 + last2 * 1021) & (PAIRS - 1), out=at[1])
         self.found = self.after.take(at)
         self.named = self.found & 4095
         sure = self.found >> PLACE
@@ -120,7 +122,7 @@ class _Model:
         """Start and width of each lane's ``place`` within ``whole``."""
         at = self.base[:m] + place
         flat = self.shares.reshape(-1)
-        low = flat.take(at)
+        low = flat.take(at).astype(np.int64)
         self.hit = self.named == place
         before = self.extra * (self.named < place)
         own = self.extra * self.hit
@@ -132,12 +134,12 @@ class _Model:
         first, second = self.named
         swap = first >= second
         extra_a, extra_b = np.where(swap, self.extra[::-1], self.extra)
-        end_a = flat.take(base + np.where(swap, second, first) + 1)
-        end_b = flat.take(base + np.where(swap, first, second) + 1)
+        end_a = flat.take(base + np.where(swap, second, first) + 1).astype(np.int64)
+        end_b = flat.take(base + np.where(swap, first, second) + 1).astype(np.int64)
         # Take the extra widths out of the line, then look up the order-0 shares.
         value = np.where(value < end_a + extra_a, np.minimum(value, end_a - 1), value - extra_a)
         value = np.where(value < end_b + extra_b, np.minimum(value, end_b - 1), value - extra_b)
-        value = value.astype(np.int32)[:, None]
+        value = value.astype(np.uint16)[:, None]
 
         def upto(rows: np.ndarray) -> np.ndarray:
             """How many of 16 ascending numbers are at most ``value``, less 1."""

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from buzzlens.llm.bpe import _byte_symbols, load
 STRIPE = 1 << 20  # ids of a stripe; a longer document has a stripe of its own
 PART_BYTES = 32 << 20  # text of a part
 PARTS = 100_000  # most parts; their sums are broadcast
-SLICE = 16 << 20  # bytes of text tokenised at once
-CACHED = 400_000  # words a task remembers
+SLICE = 4 << 20  # bytes of text tokenised at once
+CACHED = 250_000  # words and pieces a task remembers between slices
 SCHEMA = "part int, stripe int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, data binary"
 
 # Fixed value: how the lower-casing word vocabulary splits texts. Its words do not depend on
@@ -58,53 +59,51 @@ class Tokens:
         self.by_word = (steps[0].get("pattern") or {}).get("Regex") == WORD_SPLIT
         self.symbols = {b: c for c, b in _byte_symbols().items()}
         self.model = self.library.model
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
         if ids is None:
             symbols = "".join(map(self.symbols.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(symbols)]
+            ids = self.known[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
         return ids
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of ``words``."""
-        if len(self.words) + len(words) > CACHED:
-            self.words.clear()
-            self.pieces.clear()
-        rest = []
-        for word in words:
-            plain = PLAIN(word)
-            if plain is None:
-                rest.append(word)
-                continue
-            letters, mark = plain.groups()
-            ids = self._piece(letters.lower())
-            self.words[word] = np.array(ids + self._piece(mark) if mark else ids, np.uint32)
-        self.words.update(zip(rest, self._encoded(rest)))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word."""
+        if len(self.known) > CACHED:
+            self.known.clear()
+        plain = [PLAIN(w) for w in words]
+        rest = [w for w, p in zip(words, plain) if p is None and w not in self.known]
+        self.known.update(zip(rest, self._encoded(rest)))
+        out = []
+        for word, match in zip(words, plain):
+            if match is None:
+                out.append(self.known[word])
+            else:
+                letters, mark = match.groups()
+                ids = self._piece(letters.lower())
+                out.append(ids + self._piece(mark) if mark else ids)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text."""
         if not self.by_word:
             found = self._encoded(texts.to_pylist())
-            return np.concatenate([*found, np.zeros(0, np.uint32)]), np.array([len(x) for x in found], np.int64)
+            return np.frombuffer(b"".join(found), np.uint32), np.array([len(x) // 4 for x in found], np.int64)
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        words = coded.dictionary.to_pylist()
-        self._learn([w for w in words if w not in self.words])
-        known = [self.words[w] if w in self.words else self._encoded([w])[0] for w in words]
-        size = np.array([len(x) for x in known], np.int64)
-        flat = np.concatenate([*known, np.zeros(0, np.uint32)])
+        known = self._words(coded.dictionary.to_pylist())
+        size = np.array([len(x) // 4 for x in known], np.int32)
+        flat = np.frombuffer(b"".join(known), np.uint32)
         index = coded.indices.to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(size[index])])
-        place = np.arange(ends[-1]) - np.repeat(ends[:-1] - (np.cumsum(size) - size)[index], size[index])
+        size_at = size[index]
+        ends = np.concatenate([[0], np.cumsum(size_at)])
+        shift = (np.cumsum(size) - size)[index] - ends[:-1]
+        place = np.arange(ends[-1]) + np.repeat(shift, size_at)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return flat[place], np.diff(ends[offsets])
 
