@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buzzlens import schemas
 from buzzlens.functions.dates import instant
 from buzzlens.functions.messages import REPLY_FORMATS, review_message
-from buzzlens.functions.text import strip_space
+from buzzlens.functions.text import strip_space, too_long
 from buzzlens.operators.keyed import dense_ids, max_id
+from buzzlens.session import shared_dir
 
 REVIEW_SIZE = 5
 
@@ -32,47 +34,81 @@ def found_concepts(
     return documents.select("document_id", "published_at", words.alias("keyword"))
 
 
-def upsert_concepts(found: DataFrame, concepts: DataFrame, now) -> DataFrame:
-    """Concept table after the words in ``found`` were seen at ``now``.
+def check_words() -> Column:
+    """Why a ``keyword`` cannot be a concept, NULL when it can."""
+    word = F.col("keyword")
+    return F.when(word.isNull() | (strip_space(word) == ""), "keyword missing").otherwise(too_long(["keyword"]))
 
-    A known word gains its appearances and ``last_seen_at``; a new one starts
-    with them and remembers its earliest document. Words are counted before the
-    merge, so one word never gives two rows. ``found`` is read more than once:
-    write it to a table first when extraction is costly.
+
+def concept_changes(found: DataFrame, concepts: DataFrame, now) -> DataFrame:
+    """What the words in ``found``, seen at ``now``, do to the concept table.
+
+    One row per stored concept and per new or refused word, with the columns of
+    the table, the ``action`` (``keep``, ``update``, ``insert`` or ``refuse``),
+    ``reason`` of a refusal and, for words, ``seen_count``. Both inputs are read
+    once: stored rows and words meet in one aggregate. The result is
+    checkpointed, so all tables made from it agree.
     """
+    shared_dir(found.sparkSession)
     at = instant(now)
-    seen = found.groupBy("keyword").agg(
-        F.count("*").alias("seen_count"),
-        F.min(F.struct("published_at", "document_id")).alias("first_seen"),
+    stored = F.struct(*[F.col(c) for c in schemas.CONCEPTS])
+    first = F.struct("published_at", "document_id")
+    # A stored row that could not be stored today is left alone, each for itself.
+    tagged = concepts.select(
+        "keyword", F.when(check_words().isNotNull(), F.col("concept_id")).alias("own"), stored.alias("stored")
+    ).unionByName(
+        found.select("keyword", F.lit(None).cast("bigint").alias("own"), first.alias("seen")), allowMissingColumns=True
     )
-    counted = seen.select("keyword", "seen_count")
-    was_seen = F.col("seen_count").isNotNull()
-    kept = concepts.join(counted, "keyword", "left").select(
-        "concept_id",
-        "source_document_id",
-        "associated_stock_code",
-        "keyword",
-        (F.col("appearance_count") + F.coalesce("seen_count", F.lit(0)))
-        .cast("int")
-        .alias("appearance_count"),
-        "first_discovered_at",
-        F.when(was_seen, at).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
-        "approved",
+    merged = tagged.groupBy("keyword", "own").agg(
+        F.collect_list("stored").alias("rows"), F.count("seen").alias("seen_count"), F.min("seen").alias("first_seen")
     )
-    fresh = seen.join(concepts.select("keyword"), "keyword", "left_anti")
-    added = dense_ids(
-        fresh, F.col("keyword"), "concept_id", max_id(concepts, "concept_id")
-    ).select(
-        "concept_id",
-        F.col("first_seen.document_id").alias("source_document_id"),
-        F.lit(None).cast("string").alias("associated_stock_code"),
-        "keyword",
-        F.col("seen_count").cast("int").alias("appearance_count"),
-        at.alias("first_discovered_at"),
-        at.alias("last_seen_at"),
-        F.lit(False).alias("approved"),
+    # A stored word is one row; a table that holds it twice keeps both.
+    each = merged.select(
+        "keyword", "seen_count", "first_seen",
+        F.explode(F.when(F.size("rows") > 0, F.col("rows")).otherwise(F.array(F.lit(None).cast(merged.schema["rows"].dataType.elementType)))).alias("row"),
+    )
+    known, seen = F.col("row").isNotNull(), F.col("seen_count") > 0
+    action = (
+        F.when(known & ~seen, "keep").when(known, "update").when(check_words().isNotNull(), "refuse").otherwise("insert")
     )
-    return kept.unionByName(added)
+    return each.select(
+        F.col("row.concept_id").alias("concept_id"),
+        F.coalesce("row.source_document_id", "first_seen.document_id").alias("source_document_id"),
+        "row.associated_stock_code",
+        "keyword",
+        (F.coalesce("row.appearance_count", F.lit(0)) + F.col("seen_count")).cast("int").alias("appearance_count"),
+        F.when(known, F.col("row.first_discovered_at")).otherwise(at).alias("first_discovered_at"),
+        F.when(seen, at).otherwise(F.col("row.last_seen_at")).alias("last_seen_at"),
+        F.when(known, F.col("row.approved")).otherwise(F.lit(False)).alias("approved"),
+        action.alias("action"),
+        F.when(action == "refuse", check_words()).alias("reason"),
+        "seen_count",
+    ).checkpoint()
+
+
+def after_changes(changes: DataFrame) -> DataFrame:
+    """The concept table after ``concept_changes``; new words get the next ids."""
+    table = list(schemas.CONCEPTS)
+    stays = changes.filter(F.col("action").isin("keep", "update")).select(*table)
+    fresh = changes.filter(F.col("action") == "insert").drop("concept_id")
+    added = dense_ids(fresh, F.col("keyword"), "concept_id", max_id(stays, "concept_id"))
+    return stays.unionByName(added.select(*table))
+
+
+def refused_words(changes: DataFrame) -> DataFrame:
+    """Words that cannot be concepts, with the reason and how often they came."""
+    return changes.filter(F.col("action") == "refuse").select("keyword", "reason", "seen_count")
+
+
+def upsert_concepts(found: DataFrame, concepts: DataFrame, now) -> DataFrame:
+    """Concept table after the words in ``found`` were seen at ``now``.
+
+    A known word gains its appearances and ``last_seen_at``; a new one starts
+    with them and remembers its earliest document. Words are counted before the
+    merge, so one word never gives two rows. Missing, blank and too long words
+    are left out (``concept_changes`` tells them). Runs the merge at once.
+    """
+    return after_changes(concept_changes(found, concepts, now))
 
 
 def pending_concepts(concepts: DataFrame, size: int = REVIEW_SIZE) -> DataFrame:

@@ -14,6 +14,7 @@ from buzzlens.operators.keyed import (
     max_id,
 )
 from buzzlens.operators.paging import page_of
+from buzzlens.session import shared_dir
 
 ENTITY_PAGE = 20
 
@@ -42,18 +43,17 @@ def _with_aliases(
     return entities, aliases
 
 
-def sync_dictionary(
-    bars: DataFrame,
-    entities: DataFrame,
-    aliases: DataFrame,
-    markets: tuple[str, ...] = ("TWSE", "TPEX"),
-) -> tuple[DataFrame, DataFrame]:
-    """Entities and aliases to add for stocks that are not in the dictionary.
+def dictionary_changes(
+    bars: DataFrame, entities: DataFrame, markets: tuple[str, ...] = ("TWSE", "TPEX")
+) -> DataFrame:
+    """Quoted stocks that are not in the dictionary: ``stock_code``, ``primary_name``, ``error``.
 
     A code quoted more than once is taken from the first market in ``markets``,
-    its earliest day and smallest name. Known codes are skipped and keep their
-    name. Runs one aggregate per table to find the highest ids.
+    its earliest day and smallest name. ``error`` is NULL for a stock that can
+    be added, else the column that is missing or too long. Checkpointed: the
+    quotes are read and parsed once, whatever is made from the result.
     """
+    shared_dir(bars.sparkSession)
     rank = F.lit(len(markets))
     for place, market in enumerate(markets):
         rank = F.when(F.col("market") == market, place).otherwise(rank)
@@ -62,10 +62,32 @@ def sync_dictionary(
     unique = first_row(quoted, ["stock_code"], order)
     known = entities.filter(F.col("stock_code").isNotNull()).select("stock_code")
     new = unique.join(broadcast_if_small(known), "stock_code", "left_anti")
-    numbered = dense_ids(new, F.col("stock_code"), "number").select(
+    named = new.select("stock_code", F.col("stock_name").alias("primary_name"))
+    missing = [
+        F.when(F.coalesce(strip_space(F.col(c)), F.lit("")) == "", F.lit(f"{c} missing"))
+        for c in ("stock_code", "primary_name")
+    ]
+    return named.withColumn("error", F.coalesce(*missing, too_long(["primary_name", "stock_code"]))).checkpoint()
+
+
+def sync_dictionary(
+    bars: DataFrame,
+    entities: DataFrame,
+    aliases: DataFrame,
+    markets: tuple[str, ...] = ("TWSE", "TPEX"),
+) -> tuple[DataFrame, DataFrame]:
+    """Entities and aliases to add for stocks that are not in the dictionary.
+
+    Known codes are skipped and keep their name; stocks without a code or name,
+    or with one that is too long, are left out (``dictionary_changes`` tells
+    them). Reads the quotes at once, and the highest ids.
+    """
+    changes = dictionary_changes(bars, entities, markets)
+    valid = changes.filter(F.col("error").isNull()).drop("error")
+    numbered = dense_ids(valid, F.col("stock_code"), "number").select(
         (F.lit(max_id(entities, "entity_id")) + F.col("number")).alias("entity_id"),
         F.lit("Stock").alias("type"),
-        F.col("stock_name").alias("primary_name"),
+        "primary_name",
         "stock_code",
         "number",
     )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from buzzlens import schemas
 from buzzlens.functions.dates import days_before, instant
 from buzzlens.functions.text import too_long
-from buzzlens.operators.keyed import insert_if_absent
+from buzzlens.operators.ids import IdIndex
+from buzzlens.operators.keyed import first_row, insert_if_absent
 from buzzlens.operators.paging import page_of
 
 BATCH_SIZE = 50
@@ -50,6 +51,17 @@ def split_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def insert_new(batch: DataFrame, index: IdIndex, before: int | None = None) -> DataFrame:
+    """Documents of ``batch`` whose id ``index`` does not hold, the first of each id.
+
+    The stored documents are not read: the index answers from the folders that
+    the ids of the batch fall into. Rows without an id are left out.
+    """
+    order = [F.col("published_at"), F.col("title"), F.col("content")]
+    named = batch.filter(F.col("document_id").isNotNull())
+    return first_row(index.absent(named, "document_id", before), ["document_id"], order)
+
+
 def new_documents(batch: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents of ``batch`` to append. Stored ones win, so votes stay frozen."""
     order = [F.col("published_at"), F.col("title"), F.col("content")]
@@ -69,12 +81,28 @@ def document(documents: DataFrame, document_id: str) -> DataFrame:
     return documents.filter(F.col("document_id") == document_id)
 
 
+DAY = "series_day"  # the folder of a document in a table by day
+
+
+def _picked(documents: DataFrame, *more: str) -> DataFrame:
+    """The narrow columns that a pick works on."""
+    day = [DAY] if DAY in documents.columns else []
+    return documents.select("document_id", "published_at", *more, *day)
+
+
 def _fetch(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """Whole rows of a few chosen ids: content is read only here.
 
-    The limit tells Spark how small ``chosen`` is, so it is broadcast.
+    The limit tells Spark how small ``chosen`` is, so it is broadcast. In a
+    table by day (``sources.days``) the chosen days prune the folders while the
+    query runs: texts of other days are not read. A document always has a day.
     """
-    return documents.join(chosen.select("document_id"), "document_id", "left_semi")
+    keys = ["document_id"]
+    if DAY in documents.columns:
+        keys.append(DAY)
+        # Spark prunes by a side that has a filter of its own.
+        chosen = chosen.filter(F.col(DAY) >= F.lit("0001-01-01").cast("date"))
+    return documents.join(chosen.select(*keys), keys, "left_semi")
 
 
 def unprocessed_batch(
@@ -86,9 +114,7 @@ def unprocessed_batch(
     """
     done = status.filter(F.col("processed_at").isNotNull()).select("document_id")
     order = [F.asc("published_at"), F.asc("document_id")]
-    open_ids = documents.select("document_id", "published_at").join(
-        done, "document_id", "left_anti"
-    )
+    open_ids = _picked(documents).join(done, "document_id", "left_anti")
     picked = open_ids.orderBy(*order).limit(size)
     return _fetch(documents, picked).orderBy(*order).limit(size)
 
@@ -111,7 +137,7 @@ def hot_documents(
         F.asc("published_at"),
         F.asc("document_id"),
     ]
-    hot = documents.select("document_id", "published_at", "upvotes").filter(
+    hot = _picked(documents, "upvotes").filter(
         F.col("upvotes").isNull() | (F.col("upvotes") >= min_upvotes)
     )
     picked = hot.join(ready, "document_id", "left_semi").orderBy(*order).limit(size)

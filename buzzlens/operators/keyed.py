@@ -88,7 +88,8 @@ def dense_ids(df: DataFrame, key: Column, name: str, after: Column | int = 0) ->
     (4,096 rows at most) meet in one place. The numbers depend on the rows
     alone, so a retried job gives the same ones. A null key is numbered too.
     """
-    hashed = df.withColumn("_hash", F.md5(F.coalesce(key.cast("string"), F.lit("")))).withColumn(
+    # A null key goes before all others, an empty one by its own hash.
+    hashed = df.withColumn("_hash", F.coalesce(F.md5(key.cast("string")), F.lit("000"))).withColumn(
         "_bucket", F.substring("_hash", 1, 3)
     )
     sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))

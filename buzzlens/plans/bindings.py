@@ -315,8 +315,26 @@ def forum_index_pages(spark: SparkSession, directory: str) -> DataFrame:
     return dealt(spark, directory, "documents").select("doc_id", html.alias("html"))
 
 
+def forum_listing_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """Index pages that list ten documents each by their ids, one of them deleted."""
+    number = F.col("document_id").cast("bigint")
+    entry = F.concat(
+        F.lit('<div class="r-ent"><div class="title">'),
+        F.when(number % 10 == 3, F.lit("(deleted)")).otherwise(
+            F.concat(F.lit('<a href="/bbs/Stock/'), F.col("document_id"), F.lit('.html">x</a>'))
+        ),
+        F.lit('</div><div class="author">y</div></div>'),
+    )
+    page = F.floor(number / 10).alias("page")
+    listed = documents(spark, directory).select(page, entry.alias("entry"))
+    return listed.groupBy("page").agg(F.array_join(F.sort_array(F.collect_list("entry")), "").alias("html"))
+
+
 def forum_article_pages(spark: SparkSession, directory: str) -> DataFrame:
-    """Documents as article pages with labels, votes and a nested block.
+    """Documents as article pages with labels, votes and nested blocks.
+
+    The title comes twice, the last one counts; a ``span`` of a removed class
+    holds another one, and votes hold blocks of their own.
 
     Pages of source ``src5`` show a wrong weekday and those of ``src6`` have no
     body, so neither gives a document.
@@ -337,8 +355,8 @@ def forum_article_pages(spark: SparkSession, directory: str) -> DataFrame:
 
     def votes(mark: str, count: Column) -> Column:
         row = F.lit(
-            f'<div class="push"><span class="hl push-tag">{mark} </span>'
-            '<span class="push-content">: 推</span></div>'
+            f'<div class="push"><div>3.</div><span class="hl push-tag">{mark} </span>'
+            '<span class="push-content">: 推<div>!</div></span></div>'
         )
         return F.array_join(F.array_repeat(row, F.coalesce(count, F.lit(0))), "")
 
@@ -349,6 +367,8 @@ def forum_article_pages(spark: SparkSession, directory: str) -> DataFrame:
         F.lit('" class="bbs-screen">'),
         label("article-metaline", "作者", F.concat(F.coalesce("author", F.lit("anon")), F.lit(" (x)"))),
         label("article-metaline-right", "看板", F.lit("Stock")),
+        label("article-metaline", "標題", F.lit("Draft")),
+        F.lit('<span class="old article-metaline-note">no <span>text</span> here</span>'),
         label("article-metaline", "標題", _escaped(F.col("title"))),
         label("article-metaline", "時間", time),
         _escaped(F.col("content")),

@@ -21,15 +21,18 @@ from buzzlens.operators import dictionary as dic
 from buzzlens.operators import documents as doc
 from buzzlens.operators import embeddings as emb
 from buzzlens.operators import matching, mentions, paging, snapshot
+from buzzlens.operators.ids import IdIndex
 from buzzlens.operators.keyed import existing_keys
 from buzzlens.plans import bindings as b
 from buzzlens.plans.signals import alert_messages, signals
 from buzzlens.session import configure, scratch_path
 from buzzlens.sources import feeds, pages, series
+from buzzlens.sources.days import keep_days, read_days
 from buzzlens.sources.quotes import (
     CORRUPT, LISTED, OTC, bar_series, decode_quotes, parse_quotes, unreadable,
 )
 from buzzlens.streaming import jobs
+from buzzlens.streaming.supervise import supervise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,7 +117,7 @@ def feed_rejected(spark, directory):
         F.lit("rss").alias("feed"), F.col("document_id").alias("key"), CORRUPT
     )
     rows = polls(LISTED).unionByName(polls(OTC)).unionByName(items)
-    return rows.select("feed", "key", F.substring(CORRUPT, 1, 2).alias("begin"))
+    return rows.select("feed", "key", F.sha2(CORRUPT, 256).alias("text_sha256"))
 
 
 @query
@@ -407,9 +410,10 @@ def doc_validate(spark, directory):
 def doc_insert_if_absent(spark, directory):
     """Documents to append when the English ones are stored already."""
     docs = b.documents(spark, directory)
-    stored = docs.filter(F.col("lang") == "en")
+    index = IdIndex(spark, scratch_path(spark, "ids"))
+    index.add(docs.filter(F.col("lang") == "en"), "document_id", 0)
     batch = docs.unionByName(docs.withColumn("published_at", F.lit(AS_OF).cast("timestamp")))
-    return doc.new_documents(batch, stored).select("document_id", "title", "published_at")
+    return doc.insert_new(batch, index).select("document_id", "title", "published_at")
 
 
 @query
@@ -429,11 +433,18 @@ def _part_status(spark, directory, read=b.table):
     )
 
 
+def _documents_by_day(spark, directory):
+    """The documents as a job stores them: by day."""
+    path = scratch_path(spark, "documents-by-day")
+    keep_days(b.documents(spark, directory), path, 0, F.to_date("published_at"), schemas.DOCUMENTS)
+    return read_days(spark, path, schemas.DOCUMENTS)
+
+
 @query
 def unprocessed_batch(spark, directory):
     """Oldest 50 documents without a processed mark."""
     batch = doc.unprocessed_batch(
-        b.documents(spark, directory), _part_status(spark, directory)
+        _documents_by_day(spark, directory), _part_status(spark, directory)
     )
     return batch.select("document_id", "source_type", "title", "published_at")
 
@@ -441,7 +452,7 @@ def unprocessed_batch(spark, directory):
 @query
 def hot_documents(spark, directory):
     """Top 10 documents for concept extraction."""
-    hot = doc.hot_documents(b.documents(spark, directory), _part_status(spark, directory))
+    hot = doc.hot_documents(_documents_by_day(spark, directory), _part_status(spark, directory))
     return hot.select("document_id", "source_type", "published_at", "upvotes")
 
 
@@ -630,6 +641,15 @@ def concept_upsert(spark, directory):
     )
 
 
+@query
+def concept_refused(spark, directory):
+    """Lines of the documents that are missing or too long as concepts."""
+    lines = lambda title, content: F.split(F.concat(title, F.lit("\n"), content), "\n")
+    found = con.found_concepts(b.documents(spark, directory, b.dealt), lines)
+    refused = con.refused_words(con.concept_changes(found, _no_concepts_yet(spark), AS_OF))
+    return refused.select(F.sha2("keyword", 256).alias("keyword_sha256"), "reason", "seen_count")
+
+
 @query
 def pending_concepts(spark, directory):
     """Top five concepts waiting for a verdict."""
@@ -725,6 +745,25 @@ def _places(spark, name):
     return f"{base}/table", f"{base}/checkpoint"
 
 
+def _in_turns(spark, parts, start):
+    """Let parts of a table arrive one after another; a job starts again for each.
+
+    ``start`` gets the stream of all files so far and returns the running job,
+    which goes on from its checkpoint: every part is a micro-batch of its own.
+    """
+    landing = scratch_path(spark, "landing")
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        files = len(spark.read.schema(part.schema).parquet(landing).inputFiles())
+        stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", files).parquet(landing)
+        start(stream).awaitTermination()
+
+
+def _half(number, odd):
+    """Whether a document is of the odd or of the even half."""
+    return (number.cast("bigint") % 2 == 1) if odd else (number.cast("bigint") % 2 == 0)
+
+
 @query
 def stream_quotes(spark, directory):
     """Bars kept by the quote stream, last write wins."""
@@ -736,16 +775,108 @@ def stream_quotes(spark, directory):
     )
 
 
+def _quote_files(spark, directory):
+    """Folder of a quote job that has read JSON files in three turns, one per return flag."""
+    texts = b.quote_texts(spark, directory, LISTED).withColumn("flag", F.col("l_linenumber") % 3)
+    base = scratch_path(spark, "quote-files")
+    for flag in range(3):
+        polls = texts.filter(F.col("flag") == flag).select("value")
+        polls.write.mode("append").text(f"{base}/landing")
+        stream = jobs.quote_stream(spark, f"{base}/landing", LISTED, json_array=False)
+        jobs.keep_quotes(
+            stream, LISTED, f"{base}/bars", f"{base}/rejected", f"{base}/checkpoint", counters=f"{base}/counters"
+        ).awaitTermination()
+    return base
+
+
+@query
+def stream_quote_files(spark, directory):
+    """Bars of a quote job that has read JSON files in three turns, and what it could not read."""
+    base = _quote_files(spark, directory)
+    bars = jobs.stored_bars(spark, f"{base}/bars").select("stock_code", "trading_date", "close", "volume")
+    bad = jobs.read_table(spark, f"{base}/rejected", schemas.UNREADABLE)
+    return bars.withColumn("text_sha256", F.lit(None).cast("string")).unionByName(
+        bad.select(F.sha2(CORRUPT, 256).alias("text_sha256")), allowMissingColumns=True
+    )
+
+
+@query
+def stream_counters(spark, directory):
+    """Run counters of that job: bars kept and texts not read, by batch."""
+    base = _quote_files(spark, directory)
+    return jobs.stored_counters(spark, f"{base}/counters", "quotes")
+
+
+@query
+def stream_supervised(spark, directory):
+    """Bars of two exchanges; the second one's job dies once and is started again."""
+    base = scratch_path(spark, "supervised")
+    trouble = iter((True, False))
+
+    def job(feed):
+        def start():
+            raw = b.raw_quotes(spark, directory, feed, read=b.stream_table)
+            if feed is OTC and next(trouble):
+                raw = raw.withColumn(feed.name, F.raise_error(F.lit("exchange is down")).cast("string"))
+            place = f"{base}/{feed.market}"
+            return jobs.keep_bars(parse_quotes(raw, feed), place, f"{place}-checkpoint", name=feed.market)
+
+        return start
+
+    outcomes = supervise(spark, {feed.market: job(feed) for feed in (LISTED, OTC)}, restarts=1, pause=0.1)
+    kept = [
+        jobs.stored_bars(spark, f"{base}/{market}").withColumn("starts", F.lit(outcome.starts))
+        for market, outcome in outcomes.items()
+    ]
+    return kept[0].unionByName(kept[1]).select("market", "stock_code", "trading_date", "close", "volume", "starts")
+
+
 @query
 def stream_documents(spark, directory):
-    """Documents kept by the document stream, each id once."""
+    """Documents kept by the document stream, each id once, those too long refused."""
     docs = b.documents(spark, directory, read=b.stream_table)
     path, checkpoint = _places(spark, "documents")
     jobs.keep_documents(docs.unionByName(docs), path, checkpoint).awaitTermination()
-    kept = jobs.read_table(spark, path, schemas.DOCUMENTS)
+    kept = jobs.stored_documents(spark, path)
     return kept.select("document_id", "source_type", "title", "published_at")
 
 
+@query
+def stream_seen_ids(spark, directory):
+    """What the memory of ids lets through: even documents, then all, published 60 days earlier."""
+    docs = b.documents(spark, directory)
+    early = docs.withColumn("published_at", F.col("published_at") - F.expr("INTERVAL 60 DAYS"))
+    path, checkpoint = _places(spark, "seen")
+    even = docs.filter(_half(F.col("document_id"), odd=False))
+    _in_turns(spark, [even, early, docs], lambda stream: jobs.keep_seen(stream, path, checkpoint))
+    kept = jobs.read_table(spark, path, schemas.DOCUMENTS)
+    return kept.select("document_id", "published_at")
+
+
+@query
+def stream_forum(spark, directory):
+    """Documents that the forum job stores: index pages, unseen entries, article pages."""
+    pages_of = b.forum_article_pages(spark, directory)
+    index_pages = b.forum_listing_pages(spark, directory)
+    path, checkpoint = _places(spark, "forum")
+
+    def articles(entries):
+        return pages_of.join(entries.select(F.col("article_id").alias("document_id")), "document_id", "left_semi")
+
+    even = index_pages.filter(F.col("page") % 2 == 0)
+    _in_turns(spark, [even, index_pages], lambda stream: jobs.keep_forum(stream, articles, path, checkpoint))
+    return jobs.stored_documents(spark, path).drop("series_day")
+
+
+@query
+def stream_news(spark, directory):
+    """Documents that the news job stores from feed items that come twice."""
+    items = b.rss_items(spark, directory).drop("document_id")
+    path, checkpoint = _places(spark, "news")
+    _in_turns(spark, [items, items], lambda stream: jobs.keep_news(stream, path, checkpoint))
+    return jobs.stored_documents(spark, path).drop("series_day")
+
+
 @query
 def stream_mentions(spark, directory):
     """Mention points kept by the matching stream."""
@@ -756,7 +887,34 @@ def stream_mentions(spark, directory):
         return b.match_aliases(spark, directory), b.match_entities(spark, directory)
 
     jobs.keep_mentions(docs, dictionary, path, checkpoint).awaitTermination()
-    return jobs.read_table(spark, path, schemas.MENTIONS).drop("batch_id")
+    return jobs.stored_mentions(spark, path).drop("dictionary_version")
+
+
+@query
+def stream_mentions_refreshed(spark, directory):
+    """Mention points of two batches; entity 6 and the parts enter the dictionary between them."""
+    docs = b.documents(spark, directory)
+    path, checkpoint = _places(spark, "refreshed")
+    versions = iter((1, 2))
+
+    def dictionary():
+        version = next(versions)
+        aliases = b.match_aliases(spark, directory)
+        if version == 1:
+            late = (F.col("entity_id") == 6) | (F.col("entity_id") >= b.FIRST_PART_ENTITY)
+            aliases = aliases.filter(~late)
+        return aliases, b.match_entities(spark, directory), version
+
+    halves = [docs.filter(_half(F.col("document_id"), odd)) for odd in (False, True)]
+    _in_turns(spark, halves, lambda stream: jobs.keep_mentions(stream, dictionary, path, checkpoint))
+    return jobs.stored_mentions(spark, path)
+
+
+def _bars_between(spark, directory):
+    def bars(start, stop):
+        return series.time_range(b.event_bars(spark, directory), start, stop)
+
+    return bars
 
 
 @query
@@ -764,15 +922,60 @@ def stream_signals(spark, directory):
     """Alerts kept by the signal stream at the instant after the last event."""
     points = b.event_mentions(spark, directory, read=b.stream_table)
     path, checkpoint = _places(spark, "alerts")
+    jobs.keep_alerts(points, _bars_between(spark, directory), path, checkpoint, window=WINDOW).awaitTermination()
+    return jobs.stored_alerts(spark, path).drop("batch_id")
+
+
+@query
+def stream_signals_in_turns(spark, directory):
+    """Alerts of two batches, handed over once although the second comes again."""
+    events = b.event_mentions(spark, directory)
+    path, checkpoint = _places(spark, "alerts-in-turns")
+    cut = F.lit(AS_OF).cast("timestamp")
+    told = []
+
+    def start(stream):
+        return jobs.keep_alerts(
+            stream, _bars_between(spark, directory), path, checkpoint,
+            notify=lambda alerts, batch_id: told.append(alerts), window=WINDOW,
+        )
+
+    _in_turns(spark, [events.filter(F.col("ts") < cut), events.filter(F.col("ts") >= cut)], start)
+    again = scratch_path(spark, "lost-checkpoint")  # both batches as one, under the number of the first
+    stream = b.event_mentions(spark, directory, read=b.stream_table)
     jobs.keep_alerts(
-        points,
-        lambda: b.event_mentions(spark, directory),
-        lambda: b.event_bars(spark, directory),
-        path,
-        checkpoint,
-        window=WINDOW,
-    ).awaitTermination()
-    return jobs.read_table(spark, path, schemas.ALERTS).drop("batch_id")
+        stream, _bars_between(spark, directory), path, again,
+        notify=lambda alerts, batch_id: told.append(alerts), window=WINDOW,
+    ).awaitTermination()
+    handed = told[0]
+    for more in told[1:]:
+        handed = handed.unionByName(more)
+    return handed
+
+
+@query
+def stream_review_messages(spark, directory):
+    """Review messages handed over in three pushes; the last comes again and is not repeated."""
+    ticks = b.review_texts(spark, directory)
+    concepts = _stored_concepts(spark, directory).checkpoint()
+    path, checkpoint = _places(spark, "pushed")
+    told = []
+
+    def start(stream):
+        return jobs.keep_review_messages(
+            stream, lambda: concepts, path, checkpoint, lambda n: f"2024-02-01 0{n}:30:00",
+            send=lambda messages, batch_id: told.append(messages),
+        )
+
+    _in_turns(spark, [ticks.filter(F.col("seq") % 3 == n) for n in range(3)], start)
+    jobs.keep_review_messages(
+        b.review_texts(spark, directory, b.stream_table), lambda: concepts, path, scratch_path(spark, "lost"),
+        lambda n: "2024-02-01 02:30:00", send=lambda messages, batch_id: told.append(messages),
+    ).awaitTermination()
+    handed = told[0]
+    for more in told[1:]:
+        handed = handed.unionByName(more)
+    return handed.select("concept_id", "keyword", "message", "pushed_at")
 
 
 @query
@@ -787,9 +990,7 @@ def stream_mention_deltas(spark, directory):
 def _processed(spark, directory):
     """Folder of the tables that the processing stream fills."""
     path, checkpoint = _places(spark, "processed")
-    stored = b.embeddings(spark, directory).drop("label")
-    jobs.create_table(spark, f"{path}/embeddings", schemas.EMBEDDINGS)
-    stored.write.mode("overwrite").parquet(f"{path}/embeddings/batch_id=-1")
+    jobs.store_vectors(b.embeddings(spark, directory).drop("label"), path)
 
     def dictionary():
         return b.match_aliases(spark, directory), b.match_entities(spark, directory)

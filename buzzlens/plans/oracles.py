@@ -298,6 +298,10 @@ _NEWS = f"""
            CASE WHEN source = 'src4' THEN 'https://example.org/story-' || document_id
                 ELSE 'https://example.org/news/id/' || document_id END AS url
     FROM docs WHERE source NOT IN ('src0', 'src1', 'src2')"""
+_NO_VOTES = (
+    "CAST(NULL AS VARCHAR) AS author, CAST(NULL AS BIGINT) AS upvotes, "
+    "CAST(NULL AS BIGINT) AS downvotes, CAST(NULL AS BIGINT) AS arrows"
+)
 _LATEST_MENTION = (
     "PARTITION BY stock_code, source_type, ts ORDER BY CAST(document_id AS BIGINT) DESC, "
     "entity_id DESC"
@@ -593,6 +597,12 @@ ORACLES: dict[str, str] = {
         FROM ({_PENDING})""",
         "stored_concepts",
     ),
+    "concept_refused": f"""
+        SELECT sha256(line) AS keyword_sha256, count(*) AS seen_count,
+               CASE WHEN {_strip('line')} = '' THEN 'keyword missing' ELSE 'keyword too long' END AS reason
+        FROM (SELECT unnest(string_split(split_part(text, chr(10), 1) || chr(10)
+                  || substr(text, length(split_part(text, chr(10), 1)) + 2), chr(10))) AS line FROM documents)
+        WHERE {_strip('line')} = '' OR length(line) > 100 GROUP BY line""",
     "concept_review_messages": _with(
         f"""
         SELECT concept_id, keyword,
@@ -667,10 +677,41 @@ ORACLES |= {
             ORDER BY volume DESC, price + extra DESC) = 1""",
         "bars",
     ),
+    "stream_supervised": _with(
+        f"""
+        SELECT m AS market, stock_code, {_day('trading_date')} AS trading_date,
+               CAST(price + extra AS DOUBLE) AS close, volume, starts
+        FROM bars, (VALUES ('TWSE', 1), ('TPEX', 2)) AS exchanges(m, starts)
+        QUALIFY row_number() OVER (PARTITION BY m, stock_code, trading_date
+            ORDER BY volume DESC, price + extra DESC) = 1""",
+        "bars",
+    ),
     "stream_documents": _with(
-        f"SELECT document_id, source_type, title, {_ts('published_at')} AS published_at FROM docs",
+        f"SELECT document_id, source_type, title, {_ts('published_at')} AS published_at FROM docs "
+        "WHERE length(title) <= 500",
+        "docs",
+    ),
+    "stream_seen_ids": _with(
+        f"""
+        SELECT document_id, {_ts('published_at - to_days(CAST(60 * (doc_id % 2) AS INTEGER))')} AS published_at FROM docs""",
         "docs",
     ),
+    "stream_forum": _with(
+        f"SELECT * FROM ({_FORUM}) WHERE CAST(document_id AS BIGINT) % 10 <> 3 AND length(title) <= 500", "docs"
+    ),
+    "stream_news": _with(f"SELECT *, {_NO_VOTES} FROM ({_NEWS}) WHERE length(title) <= 500", "docs"),
+    "stream_mentions_refreshed": _with(
+        f"""
+        SELECT * REPLACE ({_ts('ts')} AS ts), 1 + CAST(document_id AS BIGINT) % 2 AS dictionary_version
+        FROM doc_points WHERE CAST(document_id AS BIGINT) % 2 = 1 OR (entity_id <> 6 AND entity_id < 100000)""",
+        "doc_points",
+    ),
+    "stream_signals_in_turns": "SELECT * FROM ("
+    + ORACLES["signals"].replace(AS_OF, f"{_LAST_EVENT[:-1]} WHERE ts < {AS_OF})")
+    + ") UNION ALL BY NAME SELECT * FROM (" + ORACLES["signals"].replace(AS_OF, _LAST_EVENT) + ")",
+    "stream_review_messages": f"""
+        SELECT m.*, '2024-02-01 0' || n || ':30:00.000000' AS pushed_at
+        FROM ({ORACLES['concept_review_messages']}) AS m, range(3) AS r(n)""",
     "stream_mentions": ORACLES["mentions_series"],
     "stream_signals": ORACLES["signals"].replace(AS_OF, _LAST_EVENT),
     "stream_mention_deltas": ORACLES["mention_delta_history"],
@@ -685,14 +726,34 @@ _TIMES = (
 _ROUND_TRIP = f"ts >= TIMESTAMP '2024-01-05 12:00:00' AND ts < {AS_OF}"
 _AGAIN = "CASE WHEN date_trunc('day', ts) = DATE '2024-01-10' THEN 1 ELSE 0 END"
 
+
+def _cut_quote(market: str) -> str:
+    """Seventh lines as polls, cut after 40 characters: a date, a code, the start of a name."""
+    code = {"TWSE": "Code", "TPEX": "SecuritiesCompanyCode"}[market]
+    date = (
+        "CASE WHEN l_tax = 0.08 THEN '12345' ELSE lpad(CAST(year(l_shipdate) - 1911 AS VARCHAR), 3, '0') "
+        "|| strftime(l_shipdate, '%m%d') END"
+    )
+    return (
+        f"""SELECT l_orderkey || '-' || l_linenumber AS key, '[' || substr('{{"Date":"' || {date} || '","{code}":"P' """
+        f"""|| l_partkey || '","Name":"Supplier ' || l_suppkey || '"', 1, 40) AS text """
+        "FROM lineitem WHERE l_linenumber = 7"
+    )
+
+
 ORACLES |= {
     "feed_listed_json": _with(_quotes("TWSE", "TwseApi").replace("FROM bars", _TIMES), "bars"),
     "feed_otc_json": _with(_quotes("TPEX", "TpexApi").replace("FROM bars", _TIMES), "bars"),
     "feed_rss_xml": _with(f"{_NEWS} AND doc_id % 50 <> 0", "docs"),
-    "feed_rejected": """
-        SELECT feed, l_orderkey || '-' || l_linenumber AS key, '[{' AS "begin"
-        FROM lineitem, (VALUES ('TWSE'), ('TPEX')) AS feeds(feed) WHERE l_linenumber = 7
-        UNION ALL SELECT 'rss', CAST(doc_id AS VARCHAR), '<i' FROM documents WHERE doc_id % 50 = 0""",
+    "feed_rejected": _with(
+        f"""
+        SELECT 'TWSE' AS feed, key, sha256(text) AS text_sha256 FROM ({_cut_quote('TWSE')})
+        UNION ALL SELECT 'TPEX', key, sha256(text) FROM ({_cut_quote('TPEX')})
+        UNION ALL SELECT 'rss', document_id, sha256('<item>' || CASE WHEN source = 'src0'
+            THEN '<title> </title>' ELSE '<title> Story ' || document_id || chr(10) || '</title>' END || '<link>')
+        FROM docs WHERE doc_id % 50 = 0""",
+        "docs",
+    ),
     "bars_round_trip": f"""
         SELECT stock_code, 'TWSE' AS market, {_day('day')} AS trading_date, {_ts('ts')} AS ts,
                open, high, low, close, CAST(volume + {_AGAIN} AS BIGINT) AS volume
@@ -708,6 +769,26 @@ ORACLES |= {
         SELECT CAST(user_id AS VARCHAR) AS stock_code, event_type AS source_type, {_ts('ts')} AS ts,
                CAST(1 + {_AGAIN} AS BIGINT) AS mention_count, event_id
         FROM events WHERE {_ROUND_TRIP}""",
+    "stream_quote_files": _with(
+        f"""
+        SELECT stock_code, {_day('trading_date')} AS trading_date, CAST(price + extra AS DOUBLE) AS close,
+               volume, NULL AS text_sha256
+        FROM (SELECT * FROM bars WHERE l_linenumber <= 5
+              QUALIFY row_number() OVER (PARTITION BY stock_code, trading_date
+                  ORDER BY l_linenumber % 3 DESC, volume DESC, price + extra DESC) = 1)
+        UNION ALL SELECT NULL, NULL, NULL, NULL, sha256(text) FROM ({_cut_quote('TWSE')})""",
+        "bars",
+    ),
+    "stream_counters": _with(
+        """
+        SELECT 'quotes' AS job, metric, CAST(sum(n) AS BIGINT) AS rows, batch_id FROM (
+            SELECT 'kept' AS metric, l_linenumber % 3 AS batch_id,
+                   CASE WHEN l_linenumber = 5 THEN 2 WHEN l_linenumber < 5 THEN 1 ELSE 0 END AS n FROM bars
+            UNION ALL SELECT 'unreadable', l_linenumber % 3, CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END
+            FROM lineitem)
+        GROUP BY metric, batch_id""",
+        "bars",
+    ),
     "stream_process_status": ORACLES["doc_match_count"],
     "stream_process_embeddings": ORACLES["embed_documents"],
     "stream_probe_concepts": _with(

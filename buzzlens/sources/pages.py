@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from buzzlens import schemas
 from buzzlens.functions.dates import forum_timestamp
+from buzzlens.functions.elements import marks, outside, pieces, within
 from buzzlens.functions.rows import computed_once
 from buzzlens.functions.text import (
     decode_entities,
@@ -34,10 +35,17 @@ class IndexLayout:
 
 @dataclass(frozen=True)
 class ArticleLayout:
-    """How an article page marks its body, labelled values, votes and removals."""
+    """How an article page marks its body and the start tags in it.
+
+    ``labels`` and ``vote`` are blocks that are read and removed, ``removed``
+    other elements that are removed. A block of ``labels`` holds a label and its
+    value, one of ``vote`` a mark.
+    """
 
     body: str
+    labels: str
     label: str
+    value: str
     vote: str
     vote_tag: str
     removed: str
@@ -52,18 +60,16 @@ FORUM_INDEX = IndexLayout(
     ),
     author=r"""(?is)<div\b[^>]*\bclass\s*=\s*["']author["'][^>]*>(.*?)</div>""",
 )
+_CLASS = r"""\b[^>]*?\sclass\s*=\s*["']%s["'][^>]*>"""
+_METALINE, _PUSH = _CLASS % "[^\"']*article-metaline[^\"']*", _CLASS % "push"
 FORUM_ARTICLE = ArticleLayout(
     body=r"""(?i)<div\b[^>]*\bid\s*=\s*["']main-content["'][^>]*>""",
-    label=(
-        r"""(?is)<span\b[^>]*\bclass\s*=\s*["']article-meta-tag["'][^>]*>\s*%s\s*</span>\s*"""
-        r"""<span\b[^>]*\bclass\s*=\s*["']article-meta-value["'][^>]*>(.*?)</span>"""
-    ),
-    vote=r"""(?is)<div\b[^>]*\bclass\s*=\s*["']push["'][^>]*>.*?</div>""",
-    vote_tag=r"""(?is)<span\b[^>]*\bclass\s*=\s*["'][^"']*push-tag[^"']*["'][^>]*>(.*?)</span>""",
-    removed=(
-        r"""(?is)<div\b[^>]*\bclass\s*=\s*["'](?:[^"']*article-metaline[^"']*|push)["'][^>]*>"""
-        r""".*?</div>"""
-    ),
+    labels=f"(?i)^<div{_METALINE}",
+    label=f"(?is)<span{_CLASS % 'article-meta-tag'}(.*?)</span>",
+    value=f"(?is)<span{_CLASS % 'article-meta-value'}(.*?)</span>",
+    vote=f"(?i)^<div{_PUSH}",
+    vote_tag=f"(?is)<span{_CLASS % '[^\"\']*push-tag[^\"\']*'}(.*?)</span>",
+    removed=f"(?i)^<[a-z][a-z0-9]*(?:{_METALINE}|{_PUSH})",
 )
 # Mark-up in scripts, styles and comments opens and closes nothing.
 HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
@@ -115,14 +121,12 @@ def _inside_div(after_open: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), kept), "")
 
 
-def _labelled(body: Column, layout: ArticleLayout, label: str) -> Column:
-    return strip_space(strip_tags(F.regexp_extract(body, layout.label % label, 1)))
-
-
 def article_documents(pages: DataFrame, layout: ArticleLayout = FORUM_ARTICLE) -> DataFrame:
     """Documents of article pages ``(document_id, url, html)``.
 
-    A page without a body or without a readable time gives no row.
+    A page without a body or without a readable time gives no row. Of several
+    blocks with one label the last counts; an element of any name is removed
+    when its class says so, with all it holds.
     """
     # Nothing follows the opening tag on a page without one. Exploding also keeps
     # the body from being worked out again for every column and the filter.
@@ -131,21 +135,37 @@ def article_documents(pages: DataFrame, layout: ArticleLayout = FORUM_ARTICLE) -
     bodies = pages.select(
         "document_id", "url", F.explode(F.transform(after_open, _inside_div)).alias("body")
     )
-    body = F.col("body")
-    votes = F.transform(
-        F.regexp_extract_all(body, F.lit(layout.vote), 0),
-        lambda v: strip_space(strip_tags(F.regexp_extract(v, layout.vote_tag, 1))),
+    keys = {"document_id": F.col("document_id"), "url": F.col("url")}
+    cut = computed_once(bodies, **keys, tags=pieces(F.col("body")))
+    kinds = {"m": layout.labels, "p": layout.vote, "x": layout.removed}
+    marked = computed_once(cut, **keys, marked=marks(F.col("tags"), kinds))
+
+    def inner(block: Column, pattern: str) -> Column:
+        return strip_space(strip_tags(F.regexp_extract(block, pattern, 1)))
+
+    blocks = computed_once(
+        marked,
+        **keys,
+        labels=F.transform(
+            within(F.col("marked"), "m"),
+            lambda m: F.struct(inner(m, layout.label).alias("label"), inner(m, layout.value).alias("value")),
+        ),
+        votes=F.transform(within(F.col("marked"), "p"), lambda v: inner(v, layout.vote_tag)),
+        content=strip_space(decode_entities(strip_tags(outside(F.col("marked"))))),
     )
-    text = strip_tags(F.regexp_replace(body, layout.removed, ""))
+
+    def labelled(label: str) -> Column:
+        named = F.filter("labels", lambda x: x["label"] == label)
+        return F.coalesce(F.get(F.reverse(named), F.lit(0))["value"], F.lit(""))
+
     found = computed_once(
-        bodies,
-        document_id=F.col("document_id"),
-        url=F.col("url"),
-        author=first_word(_labelled(body, layout, AUTHOR_LABEL)),
-        title=_labelled(body, layout, TITLE_LABEL),
-        published_at=forum_timestamp(_labelled(body, layout, TIME_LABEL)),
-        votes=votes,
-        content=strip_space(decode_entities(text)),
+        blocks,
+        **keys,
+        author=first_word(labelled(AUTHOR_LABEL)),
+        title=labelled(TITLE_LABEL),
+        published_at=forum_timestamp(labelled(TIME_LABEL)),
+        votes=F.col("votes"),
+        content=F.col("content"),
     ).filter(F.col("published_at").isNotNull())
 
     def count(mark: str) -> Column:

@@ -1,29 +1,39 @@
 """Streaming jobs.
 
-Every job appends one folder ``batch_id=N`` per micro-batch and overwrites that
-folder when a batch is repeated, so a restart after lost executors or a lost
-driver leaves each row once. Late data is not dropped by the table jobs: a late
-document lands in the window it belongs to and counts when that window is read.
+Series and documents go to tables by day (``sources.days``), ids to an index
+(``operators.ids``) and messages to a ledger (``outbox``); each of them takes a
+batch as a whole or not at all, and a second time not at all. The other tables
+get one folder ``batch_id=N`` per micro-batch, which a repeated batch overwrites.
+So a restart after lost executors or a lost driver leaves each row once. Late
+data is never dropped: it changes the day or window it belongs to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from buzzlens import schemas
-from buzzlens.operators.concepts import apply_reviews, no_concepts, parse_commands
-from buzzlens.operators.documents import new_documents
+from buzzlens.operators.concepts import (
+    apply_reviews, no_concepts, parse_commands, pending_concepts, review_messages,
+)
+from buzzlens.operators.documents import insert_new, split_documents, union_documents
 from buzzlens.operators.embeddings import DIMENSION, zero_vector
+from buzzlens.operators.ids import IdIndex
+from buzzlens.operators.keyed import counted
 from buzzlens.operators.mentions import deltas_of_sums, mention_points, window_sums
 from buzzlens.plans.processing import probe_documents, process_documents
 from buzzlens.plans.signals import signals
+from buzzlens.sources.days import is_done, keep_days, read_days
+from buzzlens.sources.feeds import parse_items
+from buzzlens.sources.pages import article_documents, index_entries
 from buzzlens.sources.quotes import CORRUPT, QuoteFeed, kept_schema, parse_quotes, unreadable
-from buzzlens.sources.series import latest_bars
+from buzzlens.sources.series import BAR_IDENTITY
+from buzzlens.streaming.outbox import deliver, delivered
 
 # How often each job runs.
 INTERVALS = {
@@ -36,6 +46,9 @@ INTERVALS = {
     "review": "30 minutes",
 }
 AVAILABLE_NOW = {"availableNow": True}
+SECOND_SUMS = {"stock_code": "string", "ts": "timestamp", "mention_count": "bigint"}
+SECOND_FORMAT = "yyyy-MM-dd HH:mm:ss"
+PRICE_DAYS = 11  # days of bars a price snapshot can look back on
 
 
 def every(job: str) -> dict[str, str]:
@@ -102,6 +115,29 @@ def quote_stream(
     return reader.option("multiLine", json_array).json(landing)
 
 
+COUNTERS = {"job": "string", "metric": "string", "rows": "bigint"}
+
+
+def _keep_counters(spark: SparkSession, path: str | None, batch_id: int, job: str, counts: Mapping[str, int]) -> None:
+    if path is not None:
+        rows = spark.createDataFrame([(job, k, n) for k, n in counts.items()], schemas.ddl(COUNTERS))
+        _write_batch(rows.coalesce(1), f"{path}/{job}", batch_id, COUNTERS)
+
+
+def stored_counters(spark: SparkSession, path: str, job: str) -> DataFrame:
+    """Run counters of a job: one row per batch and metric."""
+    return read_table(spark, f"{path}/{job}", COUNTERS)
+
+
+def _keep_bar_days(bars: DataFrame, path: str, batch_id: int) -> None:
+    """One bar per stock, market and day: of the last batch, within a batch of the highest volume.
+
+    All bars of a day are a few thousand small rows, so a folder holds a month.
+    """
+    order = [F.col(c) for c in ("volume", "turnover", "close", "stock_name")]
+    keep_days(bars, path, batch_id, F.trunc("trading_date", "month"), schemas.BARS, BAR_IDENTITY, order)
+
+
 def keep_quotes(
     raw: DataFrame,
     feed: QuoteFeed,
@@ -110,16 +146,26 @@ def keep_quotes(
     checkpoint: str,
     trigger=AVAILABLE_NOW,
     name: str = "quotes",
+    counters: str | None = None,
 ) -> StreamingQuery:
-    """Append the bars of raw quotes to one table and what is not JSON to another."""
-    create_table(raw.sparkSession, path, schemas.BARS)
+    """Keep the bars of raw quotes by day and what is not JSON in another table.
+
+    ``counters`` names a table for the rows each batch kept and rejected;
+    they are counted as they are written.
+    """
     create_table(raw.sparkSession, rejected, schemas.UNREADABLE)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # written twice
         try:
-            _write_batch(parse_quotes(batch, feed), path, batch_id, schemas.BARS)
-            _write_batch(unreadable(batch), rejected, batch_id, schemas.UNREADABLE)
+            bad, n_bad = counted(unreadable(batch), f"unreadable-{batch_id}")
+            _write_batch(bad, rejected, batch_id, schemas.UNREADABLE)
+            bars, n_bars = counted(parse_quotes(batch, feed), f"bars-{batch_id}")
+            if is_done(batch.sparkSession, path, batch_id):
+                return
+            _keep_bar_days(bars, path, batch_id)
+            counts = {"kept": n_bars.get["rows"], "unreadable": n_bad.get["rows"]}
+            _keep_counters(batch.sparkSession, counters, batch_id, name, counts)
         finally:
             batch.unpersist()
 
@@ -129,25 +175,57 @@ def keep_quotes(
 def keep_bars(
     bars: DataFrame, path: str, checkpoint: str, trigger=AVAILABLE_NOW, name: str = "bars"
 ) -> StreamingQuery:
-    """Append a stream of bars to a table; ``stored_bars`` reads it."""
-    create_table(bars.sparkSession, path, schemas.BARS)
-    return _run(bars, lambda df, n: _write_batch(df, path, n, schemas.BARS), checkpoint, trigger, name)
+    """Keep a stream of bars by day; ``stored_bars`` reads it."""
+    return _run(bars, lambda df, n: _keep_bar_days(df, path, n), checkpoint, trigger, name)
 
 
-def stored_bars(spark: SparkSession, path: str) -> DataFrame:
-    """One bar per stock, market and day: of the last batch, then highest volume."""
-    order = [F.col(c) for c in ("batch_id", "volume", "turnover", "close", "stock_name")]
-    return latest_bars(read_table(spark, path, schemas.BARS), order).drop("batch_id")
+def stored_bars(spark: SparkSession, path: str, start=None, stop=None) -> DataFrame:
+    """One bar per stock, market and day, optionally of ``[start, stop)`` only.
+
+    Bars are stored merged, so nothing is compared here, and other months are not read.
+    """
+    return read_days(spark, path, schemas.BARS, start, stop, span=timedelta(days=32)).drop("series_day")
 
 
-def drop_repeats(documents: DataFrame, memory: str = "7 days") -> DataFrame:
-    """Drop ids seen within ``memory``, in state.
+def drop_seen(documents: DataFrame, memory: str = "7 days") -> DataFrame:
+    """Drop ids that arrived within ``memory`` before, in state.
 
-    Cheap when a source shows the same items at every poll. Documents older
-    than the watermark are dropped too, so leave it out where those must enter.
+    The memory runs on the time of arrival, so a document is never too old to
+    enter, whatever its publish time; ids are forgotten ``memory`` after their
+    last arrival that counted. Cheap when a source shows the same items at every
+    poll. Rows without an id are one id. Use the RocksDB state store for many ids.
     """
-    marked = documents.withWatermark("published_at", memory)
-    return marked.dropDuplicatesWithinWatermark(["document_id"])
+    arrived = documents.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", memory)
+    return arrived.dropDuplicatesWithinWatermark(["document_id"]).drop("_arrived")
+
+
+def keep_seen(
+    documents: DataFrame, path: str, checkpoint: str, trigger=AVAILABLE_NOW, name: str = "seen"
+) -> StreamingQuery:
+    """Append what ``drop_seen`` lets through."""
+    create_table(documents.sparkSession, path, schemas.DOCUMENTS)
+    handle = lambda df, n: _write_batch(df, path, n, schemas.DOCUMENTS)
+    return _run(drop_seen(documents), handle, checkpoint, trigger, name)
+
+
+def _insert(batch: DataFrame, path: str, batch_id: int) -> dict[str, int]:
+    """Store the documents of a batch whose id is new, and count them."""
+    spark = batch.sparkSession
+    index = IdIndex(spark, f"{path}/ids")
+    if index.commits.is_done(batch_id):
+        return {}
+    valid, refused = split_documents(batch.persist())
+    try:
+        fresh = insert_new(valid, index, batch_id).persist()  # written, then indexed
+        try:
+            keep_days(fresh, f"{path}/rows", batch_id, F.to_date("published_at"), schemas.DOCUMENTS)
+            index.add(fresh, "document_id", batch_id)
+            counts = {"read": batch.count(), "added": fresh.count(), "refused": refused.count()}
+        finally:
+            fresh.unpersist()
+    finally:
+        batch.unpersist()
+    return counts
 
 
 def keep_documents(
@@ -156,44 +234,107 @@ def keep_documents(
     checkpoint: str,
     trigger=AVAILABLE_NOW,
     name: str = "documents",
+    counters: str | None = None,
 ) -> StreamingQuery:
-    """Append documents whose id the table does not hold; stored ones win."""
-    create_table(documents.sparkSession, path, schemas.DOCUMENTS)
+    """Keep valid documents whose id the table does not hold; stored ones win.
+
+    A batch looks its ids up in the index and writes into the days it touches.
+    What the table does not accept (``documents.check_documents``) is left out
+    and counted as refused.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # counted, then written
+        counts = _insert(batch, path, batch_id)
+        if counts:
+            _keep_counters(batch.sparkSession, counters, batch_id, name, counts)
+
+    return _run(documents, handle, checkpoint, trigger, name)
+
+
+def stored_documents(spark: SparkSession, path: str, start=None, stop=None) -> DataFrame:
+    """Documents kept so far with their ``series_day``, optionally published in ``[start, stop)``."""
+    return read_days(spark, f"{path}/rows", schemas.DOCUMENTS, start, stop, "published_at")
+
+
+def keep_forum(
+    index_pages: DataFrame,
+    articles: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    trigger=AVAILABLE_NOW,
+    name: str = "forum",
+    counters: str | None = None,
+) -> StreamingQuery:
+    """Ingest a forum: index pages ``html``, their unseen entries, the articles behind, new documents.
+
+    ``articles`` gets the unseen entries ``(article_id, href)``, each once, and
+    returns the pages it has of them as ``(document_id, url, html)``. A page that
+    is no article gives no document, and its entry is asked for again when an
+    index page shows it next.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        index = IdIndex(batch.sparkSession, f"{path}/ids")
+        entries = index_entries(batch, []).select("article_id", "href")
+        entries = entries.groupBy("article_id").agg(F.min("href").alias("href")).persist()
         try:
-            stored = read_table(batch.sparkSession, path, schemas.DOCUMENTS, before=batch_id)
-            _write_batch(new_documents(batch, stored), path, batch_id, schemas.DOCUMENTS)
+            unseen = index.absent(entries, "article_id", batch_id)
+            counts = _insert(article_documents(articles(unseen)), path, batch_id)
+            if counts:
+                counts = {"entries": entries.count(), **counts}
+                _keep_counters(batch.sparkSession, counters, batch_id, name, counts)
         finally:
-            batch.unpersist()
+            entries.unpersist()
+
+    return _run(index_pages, handle, checkpoint, trigger, name)
 
-    return _run(documents, handle, checkpoint, trigger, name)
+
+def keep_news(
+    items: DataFrame,
+    path: str,
+    checkpoint: str,
+    source_type: str = schemas.NEWS_SOURCE,
+    trigger=AVAILABLE_NOW,
+    name: str = "news",
+    counters: str | None = None,
+) -> StreamingQuery:
+    """Ingest a stream of raw feed items: documents whose id is new."""
+    documents = union_documents(parse_items(items, source_type))
+    return keep_documents(documents, path, checkpoint, trigger, name, counters)
+
+
+STAMPED = {**schemas.MENTIONS, "dictionary_version": "bigint"}
 
 
 def keep_mentions(
     documents: DataFrame,
-    dictionary: Callable[[], tuple[DataFrame, DataFrame]],
+    dictionary: Callable[[], tuple],
     path: str,
     checkpoint: str,
     trigger=AVAILABLE_NOW,
     name: str = "mentions",
 ) -> StreamingQuery:
-    """Match a stream of documents and append their mention points.
+    """Match a stream of documents and keep their mention points by day.
 
-    ``dictionary`` returns ``(aliases, entities)`` and is called per batch, so
-    new entities match from the next batch on.
+    ``dictionary`` returns ``(aliases, entities)`` or ``(aliases, entities,
+    version)`` and is called per batch, so new entities match from the next
+    batch on; each point is stamped with the version that matched.
     """
-    create_table(documents.sparkSession, path, schemas.MENTIONS)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        aliases, entities = dictionary()
+        aliases, entities, *version = dictionary()
         points = mention_points(batch, aliases, entities)
-        _write_batch(points, path, batch_id, schemas.MENTIONS)
+        stamped = points.withColumn("dictionary_version", F.lit(version[0] if version else None).cast("bigint"))
+        keep_days(stamped, path, batch_id, F.to_date("ts"), STAMPED)
 
     return _run(documents, handle, checkpoint, trigger, name)
 
 
+def stored_mentions(spark: SparkSession, path: str, start=None, stop=None) -> DataFrame:
+    """Mention points kept so far, optionally of ``[start, stop)`` only."""
+    return read_days(spark, path, STAMPED, start, stop).drop("series_day")
+
+
 def keep_processed(
     documents: DataFrame,
     dictionary: Callable[[], tuple[DataFrame, DataFrame]],
@@ -212,28 +353,36 @@ def keep_processed(
     ``now`` gives the instant of a batch by its number, so that a repeated batch
     writes the same rows.
     """
-    tables = {"mentions": schemas.MENTIONS, "embeddings": schemas.EMBEDDINGS, "status": schemas.DOC_STATUS}
-    for table, columns in tables.items():
-        create_table(documents.sparkSession, f"{path}/{table}", columns)
+    spark = documents.sparkSession
+    create_table(spark, f"{path}/embeddings", schemas.EMBEDDINGS)
+    create_table(spark, f"{path}/status", schemas.DOC_STATUS)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read by each of the three
         try:
-            vectors = read_table(
-                batch.sparkSession, f"{path}/embeddings", schemas.EMBEDDINGS, before=batch_id
-            )
+            index = IdIndex(batch.sparkSession, f"{path}/vector_ids")
+            vectors = index.held(batch, "document_id", before=batch_id)
             aliases, entities = dictionary()
             done = process_documents(
                 batch, aliases, entities, vectors, now(batch_id), embed, dimension
             )
-            for table, columns in tables.items():
-                _write_batch(getattr(done, table), f"{path}/{table}", batch_id, columns)
+            keep_days(done.mentions, f"{path}/mentions", batch_id, F.to_date("ts"), schemas.MENTIONS)
+            _write_batch(done.embeddings, f"{path}/embeddings", batch_id, schemas.EMBEDDINGS)
+            written = read_table(batch.sparkSession, f"{path}/embeddings", schemas.EMBEDDINGS)
+            index.add(written.filter(F.col("batch_id") == batch_id), "document_id", batch_id)
+            _write_batch(done.status, f"{path}/status", batch_id, schemas.DOC_STATUS)
         finally:
             batch.unpersist()
 
     return _run(documents, handle, checkpoint, trigger, name)
 
 
+def store_vectors(vectors: DataFrame, path: str) -> None:
+    """Make ``vectors`` the stored ones that ``keep_processed`` starts from."""
+    _write_batch(vectors, f"{path}/embeddings", -1, schemas.EMBEDDINGS)
+    IdIndex(vectors.sparkSession, f"{path}/vector_ids").add(vectors, "document_id", -1)
+
+
 def _next_version(concepts: DataFrame, path: str, batch_id: int) -> None:
     """Write the concept table after a batch, and then that it is whole."""
     _write_batch(concepts, f"{path}/concepts", batch_id, schemas.CONCEPTS)
@@ -370,60 +519,75 @@ def stored_deltas(spark: SparkSession, path: str) -> DataFrame:
 
 def keep_alerts(
     mentions: DataFrame,
-    history: Callable[[], DataFrame],
-    bars: Callable[[], DataFrame],
+    bars: Callable[[str, str], DataFrame],
     path: str,
     checkpoint: str,
     trigger=AVAILABLE_NOW,
     notify: Callable[[DataFrame, int], None] | None = None,
     name: str = "alerts",
+    window: timedelta = timedelta(minutes=15),
     **options,
 ) -> StreamingQuery:
-    """Judge the mentions whenever new ones arrive and append the alerts.
-
-    The analysis instant is the second after the newest mention of the batch.
-    ``history`` and ``bars`` return the tables to judge by, ``notify`` gets the
-    alerts of a batch (again, when the batch is repeated). ``options`` go to
-    ``signals``.
+    """Judge the newest window whenever mentions arrive; store and hand over the alerts.
+
+    The job keeps its own sums per stock and second, by day, as of each batch. A
+    batch is judged at the second after its newest mention, from the days of its
+    two windows alone; what arrives later has no part in it, so a repeated batch
+    gives the same alerts, and the ledger hands none over twice. ``bars`` returns
+    the bars of ``[start, stop)``; ``notify`` gets the new alerts of a batch;
+    ``options`` go to ``signals``.
     """
-    create_table(mentions.sparkSession, path, schemas.ALERTS)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(
-            (F.date_trunc("second", F.max("ts")) + F.expr("INTERVAL 1 SECOND")).alias("at")
-        ).select(F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
-        at = newest.first()["at"]
-        if at is None:
+        spark = batch.sparkSession
+        second = F.date_trunc("second", "ts").alias("ts")
+        sums = batch.groupBy("stock_code", second).agg(F.sum("mention_count").alias("mention_count"))
+        keep_days(sums, f"{path}/sums", batch_id, F.to_date("ts"), SECOND_SUMS)
+        newest = batch.agg(F.date_format(F.date_trunc("second", F.max("ts")), SECOND_FORMAT)).first()[0]
+        if newest is None:
             return
-        alerts = signals(history(), bars(), at, **options)
-        _write_batch(alerts, path, batch_id, schemas.ALERTS)
-        if notify is not None:
-            written = read_table(batch.sparkSession, path, schemas.ALERTS)
-            notify(written.filter(F.col("batch_id") == batch_id).drop("batch_id"), batch_id)
+        at = datetime.fromisoformat(newest) + timedelta(seconds=1)
+        points = read_days(spark, f"{path}/sums", SECOND_SUMS, at - 2 * window, at)
+        start = at - timedelta(days=PRICE_DAYS)
+        alerts = signals(points, bars(str(start), str(at)), str(at), window=window, **options)
+        deliver(alerts, f"{path}/outbox", batch_id, schemas.ALERTS, "alert_id", notify)
 
     return _run(mentions, handle, checkpoint, trigger, name)
 
 
-def start_all(
-    jobs: Mapping[str, Callable[[], StreamingQuery]],
-) -> tuple[dict[str, StreamingQuery], dict[str, Exception]]:
-    """Start one query per source; a source that cannot start stops no other."""
-    started: dict[str, StreamingQuery] = {}
-    failed: dict[str, Exception] = {}
-    for name, start in jobs.items():
-        try:
-            started[name] = start()
-        except Exception as error:  # noqa: BLE001 - reported to the caller
-            failed[name] = error
-    return started, failed
+def stored_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Alerts of all batches with their ``batch_id``."""
+    return delivered(spark, f"{path}/outbox", schemas.ALERTS)
 
 
-def await_all(queries: Mapping[str, StreamingQuery]) -> dict[str, Exception]:
-    """Wait for all queries and return the errors of those that failed."""
-    failed: dict[str, Exception] = {}
-    for name, query in queries.items():
-        try:
-            query.awaitTermination()
-        except Exception as error:  # noqa: BLE001 - reported to the caller
-            failed[name] = error
-    return failed
+REVIEW_MESSAGES = {
+    "message_id": "string", "concept_id": "bigint", "keyword": "string", "message": "string", "pushed_at": "timestamp",
+}
+
+
+def keep_review_messages(
+    ticks: DataFrame,
+    concepts: Callable[[], DataFrame],
+    path: str,
+    checkpoint: str,
+    now: Callable[[int], str],
+    send: Callable[[DataFrame, int], None] | None = None,
+    size: int = 5,
+    trigger=AVAILABLE_NOW,
+    name: str = "review_messages",
+) -> StreamingQuery:
+    """Push the most frequent pending concepts for review, once per micro-batch of ``ticks``.
+
+    Run it with the trigger of ``every("review")`` on any stream whose rows show
+    that time passes. ``now`` gives the instant of a batch by its number; a
+    concept is pushed again at a later instant until it has a verdict.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        waiting = pending_concepts(concepts(), size)
+        at = F.lit(now(batch_id)).cast("timestamp")
+        pushed = review_messages(waiting).withColumn("pushed_at", at)
+        identity = F.concat_ws("|", "concept_id", F.date_format("pushed_at", SECOND_FORMAT))
+        deliver(pushed.withColumn("message_id", identity), path, batch_id, REVIEW_MESSAGES, "message_id", send)
+
+    return _run(ticks, handle, checkpoint, trigger, name)

@@ -415,3 +415,82 @@ def test_broadcast_check_counts_bytes(spark):
     wide = spark.range(100).selectExpr("repeat('x', 1000000) AS t")
     assert not fits_broadcast(wide) and fits_broadcast(spark.range(100).toDF("n"))
     assert not fits_broadcast(spark.range(100).toDF("n"), 99)
+
+
+# Merges that read once
+
+
+def test_words_that_cannot_be_concepts_are_refused_with_a_reason(spark):
+    words = [("d1", None), ("d1", " "), ("d2", "x" * 101), ("d2", "AI"), ("d3", "AI"), ("d3", None)]
+    found = spark.createDataFrame(
+        [(d, datetime(2026, 3, 1), w) for d, w in words], "document_id string, published_at timestamp, keyword string"
+    )
+    stored = make(spark, [(7, "d0", None, None, 4, None, None, False), (8, "d0", None, "", 1, None, None, True)], schemas.CONCEPTS)
+    changes = con.concept_changes(found, stored, NOW)
+    refused = {(r["keyword"], r["reason"], r["seen_count"]) for r in con.refused_words(changes).collect()}
+    assert refused == {(None, "keyword missing", 2), (" ", "keyword missing", 1), ("x" * 101, "keyword too long", 1)}
+    once = con.after_changes(changes)
+    again = con.upsert_concepts(found, once, NOW)  # on its own result: counts grow, no row is added
+    for table, count in ((once, 2), (again, 4)):
+        rows = {r["concept_id"]: (r["keyword"], r["appearance_count"], r["approved"]) for r in table.collect()}
+        assert rows == {7: (None, 4, False), 8: ("", 1, True), 9: ("AI", count, False)}
+
+
+def test_a_merge_reads_each_side_once(spark, tmp_path):
+    make(spark, [(1, "d", None, "AI", 1, None, None, False)], schemas.CONCEPTS).write.parquet(str(tmp_path / "c"))
+    columns = "document_id string, published_at timestamp, keyword string"
+    spark.createDataFrame([("d", datetime(2026, 3, 1), "AI")], columns).write.parquet(str(tmp_path / "f"))
+    scans = []
+    found = spark.read.schema(columns).parquet(str(tmp_path / "f"))
+    stored = spark.read.schema(schemas.ddl(schemas.CONCEPTS)).parquet(str(tmp_path / "c"))
+    checkpoint = type(found).checkpoint
+
+    def watched(df, *args, **kwargs):
+        scans.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan"))
+        return checkpoint(df, *args, **kwargs)
+
+    type(found).checkpoint = watched
+    try:
+        table = con.upsert_concepts(found, stored, NOW)
+    finally:
+        type(found).checkpoint = checkpoint
+    assert scans == [2]
+    assert "FileScan" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stocks_with_unusable_codes_or_names_are_left_out(spark):
+    day = datetime(2026, 3, 1).date()
+    rows = [("1", "One", "TWSE", day), ("", "Nameless", "TWSE", day), (None, "None", "TWSE", day),
+            ("2" * 11, "Long code", "TPEX", day), ("3", "n" * 101, "TPEX", day), ("4", " ", "TPEX", day)]
+    bars = spark.createDataFrame(rows, "stock_code string, stock_name string, market string, trading_date date")
+    none = make(spark, [], schemas.ENTITIES), make(spark, [], schemas.ALIASES)
+    errors = {r["stock_code"]: r["error"] for r in dic.dictionary_changes(bars, none[0]).collect()}
+    assert errors == {
+        "1": None, "": "stock_code missing", None: "stock_code missing", "2" * 11: "stock_code too long",
+        "3": "primary_name too long", "4": "primary_name missing",
+    }
+    entities, aliases = dic.sync_dictionary(bars, *none)
+    assert [r["stock_code"] for r in entities.collect()] == ["1"] and aliases.count() == 2
+
+
+def test_picks_read_the_texts_of_picked_days(spark, tmp_path):
+    from buzzlens.sources.days import keep_days, read_days
+
+    docs = documents(spark, *[document(k, day=k, up=20) for k in range(1, 21)])
+    keep_days(docs, str(tmp_path / "d"), 0, F.to_date("published_at"), schemas.DOCUMENTS)
+    stored = read_days(spark, str(tmp_path / "d"), schemas.DOCUMENTS)
+    status = make(spark, [(str(k), datetime(2026, 3, 30), 1, None) for k in range(3, 9)], schemas.DOC_STATUS)
+    for picked, ids in (
+        (doc.unprocessed_batch(stored, status, 2), ["1", "2"]),
+        (doc.hot_documents(stored, status, 2), ["3", "4"]),
+    ):
+        assert [r["document_id"] for r in picked.collect()] == ids
+        assert "dynamicpruning" in picked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_and_empty_keys_are_numbered_alike_on_every_run(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("a",)], "k string")
+    first = {r["k"]: r["n"] for r in keyed.dense_ids(rows, F.col("k"), "n").collect()}
+    assert first[None] == 1
+    for parts in (1, 3):
+        assert {r["k"]: r["n"] for r in keyed.dense_ids(rows.repartition(parts), F.col("k"), "n").collect()} == first

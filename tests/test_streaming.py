@@ -75,24 +75,26 @@ def test_documents_are_kept_once(spark, tmp_path):
     jobs.keep_documents(document_stream(spark, landing), table, checkpoint).awaitTermination()
     document_files(spark, landing, [row(1, "changed", up=99), row(3, "c")])
     jobs.keep_documents(document_stream(spark, landing), table, checkpoint).awaitTermination()
-    kept = {r["document_id"]: r["title"] for r in jobs.read_table(spark, table, schemas.DOCUMENTS).collect()}
+    kept = {r["document_id"]: r["title"] for r in jobs.stored_documents(spark, table).collect()}
     assert kept == {"1": "a", "2": "b", "3": "c"}
 
 
 def test_compaction_keeps_rows_and_the_job_goes_on(spark, tmp_path):
-    landing, table, target = (str(tmp_path / n) for n in ("in", "docs", "compact"))
-    checkpoint = str(tmp_path / "check")
-    for number in range(4):
-        document_files(spark, landing, [row(number, "a")])
-    jobs.keep_documents(document_stream(spark, landing), table, checkpoint).awaitTermination()
-    assert jobs.read_table(spark, table, schemas.DOCUMENTS).select("batch_id").distinct().count() == 4
-    jobs.compact(spark, table, target, schemas.DOCUMENTS, through=2)
-    document_files(spark, landing, [row(1, "again"), row(9, "new")])
-    jobs.keep_documents(document_stream(spark, landing), target, checkpoint).awaitTermination()
-    kept = jobs.read_table(spark, target, schemas.DOCUMENTS).collect()
-    assert sorted((r["document_id"], r["batch_id"]) for r in kept) == [
-        ("0", 2), ("1", 2), ("2", 2), ("3", 3), ("9", 4),
-    ]
+    landing, table, target = (str(tmp_path / n) for n in ("in", "sums", "compact"))
+    checkpoint, columns = str(tmp_path / "check"), "stock_code string, ts timestamp, mention_count bigint"
+    window = timedelta(minutes=10)
+
+    def run(path, hour):
+        spark.createDataFrame([("a", datetime(2026, 3, 24, hour), 1)], columns).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(columns).parquet(landing)
+        jobs.keep_window_sums(stream, window, path, checkpoint).awaitTermination()
+
+    for hour in range(4):
+        run(table, hour)
+    jobs.compact(spark, table, target, schemas.WINDOW_SUMS, through=2)
+    run(target, 9)
+    kept = jobs.read_table(spark, target, schemas.WINDOW_SUMS).filter("current_count > 0").collect()
+    assert sorted((r["window_start"].hour, r["batch_id"]) for r in kept) == [(0, 2), (1, 2), (2, 2), (3, 3), (9, 4)]
 
 
 def test_a_repeated_batch_gives_the_same_table(spark, tmp_path):
@@ -101,18 +103,56 @@ def test_a_repeated_batch_gives_the_same_table(spark, tmp_path):
     for attempt in ("first", "lost checkpoint"):
         stream = document_stream(spark, landing)
         jobs.keep_documents(stream, table, str(tmp_path / attempt)).awaitTermination()
-        assert jobs.read_table(spark, table, schemas.DOCUMENTS).count() == 2
+        assert jobs.stored_documents(spark, table).count() == 2
 
 
-def test_state_drops_repeats(spark, tmp_path):
-    landing = str(tmp_path / "in")
-    document_files(spark, landing, [row(1, "a"), row(1, "a"), row(2, "b")])
-    document_files(spark, landing, [row(2, "b"), row(3, "c")])
-    stream = jobs.drop_repeats(document_stream(spark, landing))
-    table = str(tmp_path / "docs")
-    jobs.keep_documents(stream, table, str(tmp_path / "check")).awaitTermination()
-    rows = jobs.read_table(spark, table, schemas.DOCUMENTS).collect()
-    assert sorted(r["document_id"] for r in rows) == ["1", "2", "3"]
+def test_refused_documents_are_counted_and_not_stored(spark, tmp_path):
+    landing, table, counters = (str(tmp_path / n) for n in ("in", "docs", "counters"))
+    document_files(spark, landing, [row(1, "a"), row(1, "a"), row(2, "x" * 501), (None, *row(3, "no id")[1:])])
+    jobs.keep_documents(document_stream(spark, landing), table, str(tmp_path / "c"), counters=counters).awaitTermination()
+    assert [r["document_id"] for r in jobs.stored_documents(spark, table).collect()] == ["1"]
+    counts = {r["metric"]: r["rows"] for r in jobs.stored_counters(spark, counters, "documents").collect()}
+    assert counts == {"read": 4, "added": 1, "refused": 2}
+
+
+def test_seen_ids_are_remembered_by_arrival(spark, tmp_path):
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("in", "docs", "check"))
+    old = (*row(7, "old")[:5], datetime(2020, 1, 1), *row(7, "old")[6:])
+
+    def run(rows):
+        document_files(spark, landing, rows)
+        jobs.keep_seen(document_stream(spark, landing), table, checkpoint).awaitTermination()
+        return sorted(r["document_id"] for r in jobs.read_table(spark, table, schemas.DOCUMENTS).collect())
+
+    assert run([row(1, "a"), row(1, "a"), row(2, "b")]) == ["1", "2"]
+    assert run([row(2, "b"), row(3, "c"), old]) == ["1", "2", "3", "7"]  # six years late, and it enters
+    assert run([old, row(1, "a"), row(4, "d")]) == ["1", "2", "3", "4", "7"]  # once; the state outlived two restarts
+
+
+def test_forum_ingest_asks_for_unseen_articles_only(spark, tmp_path):
+    landing, table = str(tmp_path / "in"), str(tmp_path / "docs")
+    entry = '<div class="r-ent"><div class="title"><a href="/b/{0}.html">t</a></div></div>'
+    page = (
+        '<div id="main-content"><div class="article-metaline"><span class="article-meta-tag">時間</span>'
+        '<span class="article-meta-value">Tue Mar 24 09:53:01 2026</span></div>text {0}</div>'
+    )
+    asked = []
+
+    def articles(entries):
+        ids = sorted(r["article_id"] for r in entries.collect())
+        asked.append(ids)
+        rows = [(i, f"u/{i}", page.format(i) if i != "broken" else "<p>gone") for i in ids]
+        return spark.createDataFrame(rows, "document_id string, url string, html string")
+
+    for ids in (["A.1", "A.1", "broken"], ["A.1", "B.2", "broken"]):
+        html = [("".join(entry.format(i) for i in ids),)]
+        spark.createDataFrame(html, "html string").coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema("html string").parquet(landing)
+        jobs.keep_forum(stream, articles, table, str(tmp_path / "check")).awaitTermination()
+    assert asked == [["A.1", "broken"], ["B.2", "broken"]]
+    assert {r["document_id"]: r["content"] for r in jobs.stored_documents(spark, table).collect()} == {
+        "A.1": "text A.1", "B.2": "text B.2",
+    }
 
 
 def test_mentions_match_batch_form_and_see_new_entities(spark, tmp_path):
@@ -127,7 +167,7 @@ def test_mentions_match_batch_form_and_see_new_entities(spark, tmp_path):
         stream = document_stream(spark, landing)
         table = str(tmp_path / "mentions")
         jobs.keep_mentions(stream, dictionary, table, str(tmp_path / "check")).awaitTermination()
-        return jobs.read_table(spark, table, schemas.MENTIONS).drop("batch_id")
+        return jobs.stored_mentions(spark, table)
 
     document_files(spark, landing, [row(1, "台積電 台積電"), row(2, "AI")])
     assert [r["mention_count"] for r in run().collect()] == [2]
@@ -141,31 +181,36 @@ def test_mentions_match_batch_form_and_see_new_entities(spark, tmp_path):
     assert sorted(map(key, found)) == sorted(map(key, batch))
 
 
-def test_alerts_equal_batch_signals_and_notify(spark, tmp_path):
+def test_alerts_equal_batch_signals_and_are_told_once(spark, tmp_path):
     last = datetime(2026, 3, 24, 5, 59, 59)
+    kinds = schemas.ddl(schemas.MENTIONS)
     points = spark.createDataFrame(
-        [("1", 1, "a", "PttStock", last - timedelta(minutes=m), n) for m, n in ((0, 3), (20, 2))],
-        schemas.ddl(schemas.MENTIONS),
+        [("1", 1, "a", "PttStock", last - timedelta(minutes=m), n) for m, n in ((0, 3), (20, 2), (2000, 9))], kinds
     )
-    path = str(tmp_path / "mentions")
-    points.write.parquet(path)
+    landing, told, asked = str(tmp_path / "mentions"), [], []
+    points.write.parquet(landing)
     bars = spark.createDataFrame(
         [("a", "TWSE", datetime(2026, 3, d, 5, 30), p, 1) for d, p in ((23, 90.0), (22, 100.0))],
         "stock_code string, market string, ts timestamp, close double, volume long",
     )
-    told = []
-    jobs.keep_alerts(
-        spark.readStream.schema(schemas.ddl(schemas.MENTIONS)).parquet(path),
-        lambda: points,
-        lambda: bars,
-        str(tmp_path / "alerts"),
-        str(tmp_path / "check"),
-        notify=lambda df, batch_id: told.append((batch_id, df.count())),
-    ).awaitTermination()
-    stored = jobs.read_table(spark, str(tmp_path / "alerts"), schemas.ALERTS).drop("batch_id")
-    expected = signals(points, bars, "2026-03-24 06:00:00")
-    assert [r["alert_id"] for r in stored.collect()] == [r["alert_id"] for r in expected.collect()]
-    assert told == [(0, 1)]
+
+    def run(checkpoint):
+        jobs.keep_alerts(
+            spark.readStream.schema(kinds).parquet(landing),
+            lambda start, stop: asked.append((start, stop)) or bars,
+            str(tmp_path / "alerts"),
+            str(tmp_path / checkpoint),
+            notify=lambda df, batch_id: told.append((batch_id, df.count())),
+        ).awaitTermination()
+        return [r["alert_id"] for r in jobs.stored_alerts(spark, str(tmp_path / "alerts")).collect()]
+
+    expected = [r["alert_id"] for r in signals(points, bars, "2026-03-24 06:00:00").collect()]
+    assert run("check") == expected and told == [(0, 1)]
+    assert asked == [("2026-03-13 06:00:00", "2026-03-24 06:00:00")]
+    # The batch comes again with more mentions of its windows: same alert, not told again.
+    more = [("9", 1, "a", "PttStock", last - timedelta(minutes=18), 500)]
+    spark.createDataFrame(more, kinds).write.mode("append").parquet(landing)
+    assert run("lost checkpoint") == expected and told == [(0, 1)]
 
 
 def test_window_state_equals_batch(spark, tmp_path):
@@ -190,37 +235,6 @@ def test_window_state_equals_batch(spark, tmp_path):
     assert sorted(spark.table("deltas").collect()) == sorted(batch.collect())
 
 
-def test_one_failing_source_does_not_stop_the_others(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text(json.dumps([quote("2330", "1")]))
-    place = lambda n: str(tmp_path / n)
-
-    def broken():
-        raise OSError("no route to exchange")
-
-    def failing_later():
-        raw = spark.readStream.schema(LISTED.schema).option("multiLine", True).json(place("in"))
-        bad = raw.select(F.raise_error(F.lit("bad source")).cast("string").alias("x"))
-        return bad.writeStream.format("noop").option("checkpointLocation", place("c2")).trigger(
-            availableNow=True
-        ).start()
-
-    started, failed = jobs.start_all(
-        {
-            "broken": broken,
-            "later": failing_later,
-            "good": lambda: jobs.keep_bars(
-                parse_quotes(jobs.quote_stream(spark, place("in"), LISTED), LISTED),
-                place("bars"),
-                place("c1"),
-            ),
-        }
-    )
-    assert set(started) == {"later", "good"} and set(failed) == {"broken"}
-    assert set(jobs.await_all(started)) == {"later"}
-    assert jobs.stored_bars(spark, place("bars")).count() == 1
-
-
 @pytest.mark.parametrize("job", sorted(jobs.INTERVALS))
 def test_triggers(job):
     assert jobs.every(job)["processingTime"].split()[1] in ("seconds", "minutes")
