@@ -1,10 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare line are compared as a pair: a patience diff aligns
-their lines, and aligned common blocks go from the later document. A line that
-more than ``RARE`` documents hold would give too many pairs; each of its
-documents is compared with the earliest one instead, which reaches every holder
-of the line and grows with their number, not with its square.
+Two documents overlap when they share a run: consecutive lines with ``BLOCK_CHARS``
+characters or more. Every line starts and ends a shortest such run, whose hash is
+its key; a common block of that length, whatever its lines look like, is made of
+such runs. For each key the documents that hold it are paired with the first one,
+which reaches every holder and grows with their number, not with its square: what
+a later pair shares beyond that has keys, and first holders, of its own. A
+patience diff aligns the shared runs of a pair, and aligned runs go from the later
+document. Only shared runs travel, never the lines of a whole document.
 """
 
 from __future__ import annotations
@@ -12,13 +15,18 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RARE = 4  # documents up to which a line counts as rare
-LINE_CHARS = 20  # shorter lines bring no documents together
+from buzzlens.llm.words import Words, mixed, powers, text_buffers
+
 BLOCK_CHARS = 40  # a common block with fewer characters stays
+SPACES = " \t\n\x0b\x0c\r"
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SPACES.encode())] = True
+ROLL = 0x2545F4914F6CDD1D  # odd: it has an inverse modulo 2 ** 64
 
 
 def _unique_places(items: list[int], low: int, high: int) -> dict[int, int]:
@@ -78,113 +86,151 @@ def align(first: list[int], second: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(first: list[int], second: list[int], sizes: list[int], least: int) -> list[int]:
-    """Places in ``second`` of aligned blocks with ``least`` characters or more."""
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for pair in [*align(first, second), (-9, -9)]:
-        if (pair[0] - 1, pair[1] - 1) != last:
-            if sum(sizes[k] for k in block) >= least:
-                out += block
-            block = []
-        block.append(pair[1])
-        last = pair
-    return out
+def split_lines(column: pa.Array | pa.ChunkedArray) -> Words:
+    """Lines with a word of each text, without white space at their ends."""
+    data, offsets = text_buffers(column)
+    solid = np.flatnonzero(~_BLANK[data])
+    # A line starts at the first solid byte after a line end or the start of a text.
+    line = np.concatenate([[0], np.cumsum(data == 10)])
+    doc = np.searchsorted(offsets, solid, "right") - 1
+    where = line[solid]
+    first = np.ones(len(solid), bool)
+    first[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(first)
+    start = solid[at]
+    end = solid[np.append(at[1:], len(solid)) - 1] + 1 if len(at) else start
+    return Words(data, offsets, start, end, doc[at], np.searchsorted(doc[at], np.arange(len(offsets))))
 
 
-def _lines(text: Column) -> Column:
-    """Hash and length of every line with a word, in order; ends of lines are trimmed."""
-    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\x09-\x0D ]+|[\x09-\x0D ]+$", ""))
-    return F.transform(
-        F.filter(trimmed, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))
-    )
+def run_keys(lines: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first line and number of lines of every shortest run with ``least`` characters."""
+    n = len(lines.start)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Characters are bytes that do not continue one.
+    chars = np.concatenate([[0], np.cumsum((lines.data & 0xC0) != 0x80)])
+    total = np.concatenate([[0], np.cumsum(chars[lines.end] - chars[lines.start])])
+    low, high = lines.first[lines.doc], lines.first[lines.doc + 1]
+    place = np.arange(n)
+    until = np.searchsorted(total, total[:-1] + least)  # the run from each line
+    since = np.searchsorted(total, total[1:] - least, "right") - 1  # the run to each line
+    starts = np.concatenate([place[until <= high], since[(since >= low) & (total[1:] >= least)]])
+    ends = np.concatenate([until[until <= high], place[(since >= low) & (total[1:] >= least)] + 1])
+    runs = np.unique(starts * (n + 1) + ends)
+    starts, ends = runs // (n + 1), runs % (n + 1)
+    rolls, back = powers(np.uint64(ROLL), n + 1), powers(np.uint64(pow(ROLL, -1, 2**64)), n + 1)
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.hashes() * rolls[:-1])])
+    key = mixed((summed[ends] - summed[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    return key, starts, ends - starts
 
 
-def overlaps(keyed: DataFrame, rare: int = RARE) -> DataFrame:
-    """Pairs ``earlier``, ``later`` of documents to align, from ``doc`` and ``lines``."""
-    postings = keyed.select(
-        "doc", F.explode(F.array_distinct(F.filter("lines", lambda x: x["n"] >= LINE_CHARS)["h"])).alias("h")
-    )
-    ranked = postings.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("doc")))
-    # Spark cuts every group to these rows before the shuffle.
-    firsts = (
-        ranked.filter(F.col("rank") <= rare + 1)
-        .groupBy("h")
-        .agg(F.array_sort(F.collect_list("doc")).alias("docs"))
-        .filter(F.size("docs") > 1)
+def _postings(docs: DataFrame, id_col: str, text: Column, least: int) -> DataFrame:
+    """``id``, ``hash``, ``key``, ``size``, ``places``: every run of every document, once each."""
+    rows = docs.filter(F.col(f"`{id_col}`").isNotNull() & text.isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")
     )
-    few = firsts.filter(F.size("docs") <= rare)
-    pairs = few.select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "docs",
-                    lambda d, i: F.transform(
-                        F.filter("docs", lambda e, j: j > i),
-                        lambda e: F.struct(d.alias("earlier"), e.alias("later")),
-                    ),
-                )
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = split_lines(batch.column("text"))
+            key, start, size = run_keys(lines, least)
+            doc = lines.doc[start]
+            order = np.lexsort((start, key, doc))
+            key, start, size, doc = key[order], start[order], size[order], doc[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(
+                pa.array(np.append(first, len(key)).astype(np.int32)),
+                pa.array((start - lines.first[doc]).astype(np.int32)),
             )
-        ).alias("p")
-    ).select("p.*")
-    many = firsts.filter(F.size("docs") > rare).select("h", F.col("docs")[0].alias("earlier"))
-    stars = postings.join(many, "h").filter("earlier < doc").select("earlier", F.col("doc").alias("later"))
-    return pairs.union(stars).distinct()
+            owner = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").take(owner), batch.column("hash").take(owner),
+                    pa.array(key[first].view(np.int64)), pa.array(size[first].astype(np.int32)), places,
+                ],
+                ["id", "hash", "key", "size", "places"],
+            )
+
+    return rows.mapInArrow(task, f"id {kind}, hash bigint, key bigint, size int, places array<int>")
+
+
+def shared_runs(docs: DataFrame, id_col: str, text: Column, least: int) -> DataFrame:
+    """``earlier``, ``later``, ``key``, ``size`` and both sides' places of all runs that pairs share."""
+    postings = _postings(docs, id_col, text, least).select(
+        F.struct("id", "hash").alias("doc"), "key", "size", "places"
+    )
+    # A run's holders are counted and the first one kept by each task before the shuffle.
+    holder = F.min(F.struct("doc", "places")).alias("first")
+    firsts = postings.groupBy("key").agg(holder, F.count("*").alias("n")).filter("n > 1").drop("n")
+    both = postings.join(firsts, "key").filter(F.col("first.doc") < F.col("doc"))
+    runs = both.select(
+        F.col("first.doc").alias("earlier"), F.col("doc").alias("later"), "key", "size",
+        F.col("first.places").alias("theirs"), F.col("places").alias("ours"),
+    )
+    return runs.dropDuplicates(["later", "key"])  # repeated rows are one document
+
+
+def aligned_lines(theirs: list[tuple[int, int]], ours: list[tuple[int, int]], sizes: dict[int, int]) -> set[int]:
+    """Lines of our document in runs that a patience diff aligns; runs are ``(place, key)``."""
+    theirs, ours = sorted(theirs), sorted(ours)
+    out: set[int] = set()
+    for _, k in align([key for _, key in theirs], [key for _, key in ours]):
+        place, key = ours[k]
+        out.update(range(place, place + sizes[key]))
+    return out
 
 
 def remove_common_blocks(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rare: int = RARE,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``docs`` without line blocks that an earlier, overlapping document has too.
 
+    A block has ``block_chars`` characters at least, in lines next to each other.
     Lines are compared without white space at their ends; lines without a word
-    are not compared and stay. Texts are judged as they came in. Returns all
-    columns with the kept lines as text, and ``n_lines`` and ``n_removed_lines``,
-    which replace columns of those names.
+    are not compared, stay, and part no block. Texts are judged as they came in,
+    whole, however long. Returns all columns with the kept lines as text, and
+    ``n_lines`` and ``n_removed_lines``, which replace columns of those names.
 
     The earlier document is the one with the smaller id (then the smaller text
     hash). A row with a null id is left as it is; a null text has no line and
-    stays null. Rows with equal id and text are one document. No rows give no
-    rows.
+    stays null. Rows with equal id and text are one document: what goes from one
+    goes from all. No rows give no rows. A block that stands in another order in
+    both documents may be left, as alignments do not cross. Lines are compared
+    by 64-bit hashes.
     """
     added = ("n_lines", "n_removed_lines")
     others = [c for c in docs.columns if c not in added]
-    text = F.col(text_col).cast("string")
-    doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
-    keyed = (
-        docs.filter(F.col(id_col).isNotNull() & text.isNotNull())
-        .select(doc.alias("doc"), _lines(text).alias("lines"))
-        .filter(F.size("lines") > 0)
-        .dropDuplicates(["doc"])
-    )
-    pairs = overlaps(keyed, rare)
-    earlier = keyed.select(F.col("doc").alias("earlier"), F.col("lines.h").alias("first"))
-    later = keyed.select(
-        F.col("doc").alias("later"), F.col("lines.h").alias("second"), F.col("lines.n").alias("sizes")
-    )
-    together = pairs.join(earlier, "earlier").select("later", "first").join(later, "later")
-    kind = keyed.schema["doc"].dataType.simpleString()
+    text = F.col(f"`{text_col}`").cast("string")
+    runs = shared_runs(docs, id_col, text, block_chars)
+    kind = runs.schema["later"].dataType.simpleString()
+    # One row per document that shares a run; each of its runs is there once, with its first holder.
+    grouped = runs.groupBy("later").agg(F.collect_list(F.struct("earlier", "key", "size", "theirs", "ours")).alias("runs"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [
-                common_lines(a, b, n, block_chars)
-                for a, b, n in zip(*[batch.column(c).to_pylist() for c in ("first", "second", "sizes")])
-            ]
+            places = []
+            for k in range(batch.num_rows):
+                pairs: dict[tuple, tuple[list, list, dict]] = {}
+                for run in batch.column("runs")[k].as_py():
+                    theirs, ours, sizes = pairs.setdefault(tuple(run["earlier"].values()), ([], [], {}))
+                    theirs += [(p, run["key"]) for p in run["theirs"]]
+                    ours += [(p, run["key"]) for p in run["ours"]]
+                    sizes[run["key"]] = run["size"]
+                found = set().union(*(aligned_lines(*pair) for pair in pairs.values()))
+                places.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("later"), pa.array(places, pa.list_(pa.int32()))], ["later", "places"]
             )
 
     removed = (
-        together.mapInArrow(aligned, f"later {kind}, places array<int>")
+        grouped.mapInArrow(aligned, f"later {kind}, places array<int>")
         .filter(F.size("places") > 0)
-        .groupBy("later")
-        .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
         .select(F.col("later.id").alias("_id"), F.col("later.hash").alias("_hash"), "places")
     )
     # A document is found again by its id; its text hash tells apart others with that id.

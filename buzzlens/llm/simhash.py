@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buzzlens.llm.graph import components
@@ -233,22 +233,29 @@ def near_duplicates(
 
     Fingerprints are checkpointed in the shared folder and read from there.
     """
+    marked, groups = _grouped(docs, id_col, text_col, shingle, distance, segments)
+    return marked.join(groups, "fingerprint").select(
+        F.col("id").alias(id_col),
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, segments: int
+) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``hash`` of the text and ``fingerprint`` of all rows; ``root`` and ``component_id`` of each fingerprint."""
     shared_dir(docs.sparkSession)
-    marked = fingerprints(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", shingle
-    ).select("id", "fingerprint").checkpoint()
+    text = F.col(f"`{text_col}`").cast("string")
+    marked = fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")), "text", shingle)
+    marked = marked.select("id", F.xxhash64("text").alias("hash"), "fingerprint").checkpoint()
     values = marked.groupBy("fingerprint").agg(F.min("id").alias("first"))
     roots = components(links(values.select("fingerprint"), distance, segments))
     rooted = values.join(roots, values["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = rooted.join(least, "root").select("fingerprint", "component_id")
-    return marked.join(groups, "fingerprint").select(
-        F.col("id").alias(id_col),
-        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-        "component_id",
-    )
+    return marked, rooted.join(least, "root").select("fingerprint", "root", "component_id")
 
 
 def keep_first(
@@ -257,13 +264,26 @@ def keep_first(
     text_col: str = "text",
     shingle: int = SHINGLE,
     distance: int = DISTANCE,
+    segments: int = SEGMENTS,
 ) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest id.
+    """``docs`` with one row of each near-duplicate group: that with the smallest id, then text hash.
 
-    Of rows with equal ids any one stays; rows with a null id count as having
-    equal ids, and go if their group has another document.
+    Null ids come after all others. Ids tell nothing about being a copy: rows of
+    one id, or of none, that are in no common group all stay. Of rows equal in id
+    and text the one with the smallest hash of all columns stays, so a repeated
+    run keeps the same rows. Null and empty texts are one group. Columns may have
+    any names; no rows give no rows.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, distance)
-    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay"))
-    kept = docs.join(stay.distinct(), F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    marked, groups = _grouped(docs, id_col, text_col, shingle, distance, segments)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    first = marked.join(groups, "fingerprint").groupBy("root").agg(F.min(order).alias("row"))
+    stay = first.select(F.col("row.id").alias("stay_id"), F.col("row.hash").alias("stay_hash"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    names = rows.columns
+    own = F.col(names[docs.columns.index(id_col)])
+    hashed = rows.withColumn("hash", F.xxhash64(F.col(names[docs.columns.index(text_col)]).cast("string")))
+    kept = hashed.join(stay, own.eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")), "left_semi")
+    # Spark cuts each group of equal rows to one row per task before the shuffle.
+    copies = Window.partitionBy(own, "hash").orderBy(F.xxhash64(*names))
+    one = kept.withColumn("copy", F.row_number().over(copies)).filter("copy = 1")
+    return one.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
