@@ -25,19 +25,19 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4095  # ids in a block; places in an alphabet need 12 bits
+PLACE = 11  # bits of a place in a block's alphabet
+BLOCK = (1 << PLACE) - 1  # ids in a block
 MAGIC = b"IDB1"
 HEAD = "<4sIIII"  # magic, ids, alphabet bytes, words, CRC-32 of the ids
 HEAD_SIZE = struct.calcsize(HEAD)
-LANES = 2048  # blocks coded side by side
-PREPARED = 256  # blocks whose alphabets are made at once
+LANES = 6144  # blocks coded side by side: each step costs as much for a few as for many
+PREPARED = 512  # blocks whose alphabets are made at once
 STEP = 12  # order-0 weight of one occurrence; an id that has not come yet weighs 1
 RENEW = 128  # ids after which order-0 shares are summed anew, sooner at the start
 SURE = 3  # highest confidence
 ONE, MOST = 65_536, 64_512  # mixing weights are parts of ONE and together at most MOST
 RATE = 4  # a weight moves by 1/16 of its error
-PAIRS = 2048  # places for pairs of ids in order 2
-PLACE = 12  # bits of an alphabet place
+PAIRS = 1024  # places for pairs of ids in order 2
 CODE_LOW = np.uint64(1 << 32)
 WORD = np.uint64(32)
 
@@ -108,7 +108,7 @@ class _Model:
         np.add(self.base[:m], last1, out=at[0])
         np.add(self.base_pair[:m], (last1 * 31 + last2 * 1021) & (PAIRS - 1), out=at[1])
         self.found = self.after.take(at)
-        self.named = self.found & 4095
+        self.named = self.found & np.uint16(BLOCK)
         sure = self.found >> PLACE
         same = self.named[0] == self.named[1]
         self.mix_at = self.base_mix[:, :m] + ((same << 4) + (sure[1] << 2) + sure[0])
@@ -274,7 +274,7 @@ def _alphabets(ids: np.ndarray, first: np.ndarray, length: np.ndarray, places: n
     new[:, 1:] = value[:, 1:] != value[:, :-1]
     new &= inside
     rank = np.cumsum(new, axis=1, dtype=np.uint16) - np.uint16(1)
-    np.put_along_axis(places, (key & np.uint64(4095)).astype(np.int64), rank, axis=1)
+    np.put_along_axis(places, (key & np.uint64(BLOCK)).astype(np.int64), rank, axis=1)
     sizes = new.sum(axis=1)
     alphabet = value[new].astype(np.int64)
     ends = np.cumsum(sizes)

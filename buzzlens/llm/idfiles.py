@@ -33,15 +33,17 @@ from buzzlens.llm.bpe import _byte_symbols, load
 STRIPE = 1 << 20  # ids of a stripe; a longer document has a stripe of its own
 PART_BYTES = 32 << 20  # text of a part
 PARTS = 100_000  # most parts; their sums are broadcast
-SLICE = 4 << 20  # bytes of text tokenised at once
-CACHED = 250_000  # words and pieces a task remembers between slices
+SLICE = 8 << 20  # bytes of text tokenised at once
+CACHED = 400_000  # words a task remembers between slices
 SCHEMA = "part int, stripe int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, data binary"
 
 # Fixed value: how the lower-casing word vocabulary splits texts. Its words do not depend on
 # what stands beyond a space.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-# A word of plain letters, then at most one mark: two pieces whatever follows.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+# A word of these letters is one piece of the vocabulary, whatever follows. A mark after one
+# starts another piece, so the two can be taken apart.
+PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
+MARKED = r"([a-zà-öø-ÿ])([.,;:!?])(\s|$)"
 
 
 class Tokens:
@@ -65,47 +67,44 @@ class Tokens:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
-        if ids is None:
-            symbols = "".join(map(self.symbols.__getitem__, piece.encode()))
-            ids = self.known[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-        return ids
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Packed ids of each word."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        plain = [PLAIN(w) for w in words]
-        rest = [w for w, p in zip(words, plain) if p is None and w not in self.known]
-        self.known.update(zip(rest, self._encoded(rest)))
-        out = []
-        for word, match in zip(words, plain):
-            if match is None:
-                out.append(self.known[word])
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of ``words``."""
+        rest = []
+        for word in words:
+            if PLAIN(word):
+                symbols = word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
+                self.known[word] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
             else:
-                letters, mark = match.groups()
-                ids = self._piece(letters.lower())
-                out.append(ids + self._piece(mark) if mark else ids)
-        return out
+                rest.append(word)
+        self.known.update(zip(rest, self._encoded(rest)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text."""
         if not self.by_word:
             found = self._encoded(texts.to_pylist())
             return np.frombuffer(b"".join(found), np.uint32), np.array([len(x) // 4 for x in found], np.int64)
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        texts = texts.cast(pa.large_string())
+        # Special tokens are found before letters are lower-cased.
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), MARKED, r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        known = self._words(coded.dictionary.to_pylist())
-        size = np.array([len(x) // 4 for x in known], np.int32)
+        words = coded.dictionary.to_pylist()
+        missing = [w for w in words if w not in self.known]
+        if len(self.known) + len(missing) > CACHED:
+            self.known.clear()
+            missing = words
+        self._learn(missing)
+        known = list(map(self.known.__getitem__, words))
+        size = np.fromiter(map(len, known), np.int32, len(known)) >> 2
         flat = np.frombuffer(b"".join(known), np.uint32)
         index = coded.indices.to_numpy(zero_copy_only=False)
         size_at = size[index]
-        ends = np.concatenate([[0], np.cumsum(size_at)])
-        shift = (np.cumsum(size) - size)[index] - ends[:-1]
-        place = np.arange(ends[-1]) + np.repeat(shift, size_at)
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(size_at, dtype=np.int32)])
+        shift = (np.cumsum(size, dtype=np.int32) - size)[index] - ends[:-1]
+        place = np.arange(ends[-1], dtype=np.int32) + np.repeat(shift, size_at)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return flat[place], np.diff(ends[offsets])
+        return flat[place], np.diff(ends[offsets]).astype(np.int64)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
