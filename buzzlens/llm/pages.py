@@ -4,8 +4,10 @@ A page is read once into text nodes, each with its path of tags (and class and
 id names) from the root. Per path the text length per node and the punctuation
 per node are taken; both sequences are smoothed over neighbouring nodes, fused
 by multiplication and cut at a share of their standard deviation. The nodes
-above the threshold point out the element that holds the article; what lies in
-that element, outside navigation, forms, adverts and the like, is the text.
+above the threshold point out the element that holds the article. What lies in
+that element is the text, but for link lists on paths below the threshold and
+for navigation, forms, adverts and the like, as far as elements or their class
+names say so.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ TAG = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-LABEL = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+LABEL = re.compile(r"(?<![^\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。！，：；？¡¿]")
 
@@ -56,6 +58,9 @@ MARKS = frozenset(
     "alert footer masthead skip login signup paywall".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert menu menubar dialog".split())
+# Names of headings and quotes come from their titles and speakers, not from their role in the page.
+NAMED_FREELY = frozenset("h1 h2 h3 h4 h5 h6 blockquote q cite a".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 THRESHOLD = 0.25  # share of the standard deviation of the fused ratio
 SHARE = 0.7  # of the selected text that the article's element must hold
 
@@ -115,13 +120,15 @@ class _Page:
             for found in LABEL.finditer(attributes):
                 labels[found[1].lower()] = (found[2] or found[3] or found[4] or "").lower()
         words = {w for key in ("class", "id") for w in NAME.findall(labels.get(key, ""))}
+        # A paragraph is marked by its class; its id may be made of its text.
+        marked = words if name != "p" else set(NAME.findall(labels.get("class", "")))
         above = self._stack[-1] if self._stack else ("", 0, False, "")
         inside = any(x[0] in INSIDE_ARTICLE for x in self._stack)
         dropped = (
             above[2]
             or name in DROPPED
             or (name == "header" and not inside)
-            or (bool(words & MARKS) and name not in ("html", "body", *INSIDE_ARTICLE))
+            or (bool(marked & MARKS) and name not in ("html", "body", *INSIDE_ARTICLE, *NAMED_FREELY))
             or labels.get("role") in ROLES
         )
         self._elements += 1
@@ -153,8 +160,13 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel)[2:-2] / weight
 
 
-def _article(page: _Page) -> int:
-    """Element that holds the article (0: the whole page)."""
+def _selected(page: _Page) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Length and path number of each node, whether it is content, and whether its path is not.
+
+    A path's ratios are its text length and its punctuation per node, multiplied.
+    Smoothed over the nodes of the page in order they tell where the content
+    stands; unsmoothed they tell which paths in it hold none.
+    """
     size = np.array([len(t.strip()) for t in page.texts], float)
     marks = np.array([len(PUNCTUATION.findall(t)) for t in page.texts], float)
     names, path = np.unique(page.paths, return_inverse=True)
@@ -162,7 +174,32 @@ def _article(page: _Page) -> int:
     ratio = (np.bincount(path, size, len(names)) / nodes)[path] * (size > 0)
     punctuation = (np.bincount(path, marks, len(names)) / nodes)[path] * (size > 0)
     fused = _smoothed(ratio) * (1 + _smoothed(punctuation))
-    chosen = np.flatnonzero((fused >= THRESHOLD * fused.std()) & (size > 0))
+    least = THRESHOLD * fused.std()
+    return size, path, (fused >= least) & (size > 0), ratio * (1 + punctuation) < least
+
+
+def _link_lists(page: _Page, size: np.ndarray, path: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Nodes of link lists: blocks of links only, two at least, on paths that the ratios leave out.
+
+    The links of a list share their path. A link in a sentence or a heading
+    stands in a block with other text, or under a heading, and is none of them.
+    """
+    linked = np.array([bool({"a"} & set(_names(p))) and not HEADINGS & set(_names(p)) for p in page.paths], bool)
+    counted = np.bincount(path, size > 0)
+    some = size > 0
+    blocks = np.array(page.blocks)
+    other = set(blocks[some & ~(linked & low)].tolist())
+    alone = np.array([b not in other for b in page.blocks], bool)
+    return some & linked & low & alone & (counted[path] > 1)
+
+
+def _names(path: str) -> list[str]:
+    return [x.partition(".")[0] for x in path.split("/")[1:]]
+
+
+def _article(page: _Page, size: np.ndarray, selected: np.ndarray) -> int:
+    """Element that holds the selected nodes (0: the whole page)."""
+    chosen = np.flatnonzero(selected)
     total: dict[int, float] = {}
     depth: dict[int, int] = {}
     for k in chosen:
@@ -178,7 +215,9 @@ def main_text(source: str | None) -> str:
     page = _Page(source or "")
     if not any(t.strip() for t in page.texts):
         return ""
-    article = _article(page)
+    size, path, selected, low = _selected(page)
+    listed = _link_lists(page, size, path, low)
+    article = _article(page, size, selected)
     # A paragraph by itself is no article: what stands beside it belongs there too.
     holder = {}
     for path, owners in zip(page.paths, page.owners):
@@ -198,8 +237,8 @@ def main_text(source: str | None) -> str:
             article = element
             break
     blocks: dict[int, list[str]] = {}
-    for text, owners, block in zip(page.texts, page.owners, page.blocks):
-        if not article or article in owners:
+    for k, (text, owners, block) in enumerate(zip(page.texts, page.owners, page.blocks)):
+        if (not article or article in owners) and not listed[k]:
             blocks.setdefault(block, []).append(text)
     lines = [" ".join("".join(parts).split()) for parts in blocks.values()]
     return "\n".join(line for line in lines if line)
