@@ -31,17 +31,29 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def _slices(text: str) -> Iterator[str]:
+    """A text in pieces of about ``CHUNK`` characters that end between words."""
+    at = 0
+    while at < len(text):
+        end = at + CHUNK
+        while end < len(text) and text[end - 1].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def _chunks(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
-    """Texts in groups of about ``CHUNK`` characters; longer ones in slices that overlap by two."""
+    """Texts in groups of about ``CHUNK`` characters; a longer one comes alone, slice by slice."""
     group, size = [], 0
     for k, text in enumerate(texts):
-        for at in range(0, max(len(text), 1), CHUNK):
-            part = text[at : at + CHUNK + 2]
-            if size + len(part) > 2 * CHUNK and group:
-                yield group
-                group, size = [], 0
-            group.append((k, part))
-            size += len(part)
+        if group and size + len(text) > 2 * CHUNK:
+            yield group
+            group, size = [], 0
+        if len(text) > CHUNK:
+            yield from ([(k, part)] for part in _slices(text))
+        else:
+            group.append((k, text))
+            size += len(text)
     if group:
         yield group
 
@@ -52,7 +64,7 @@ def trigrams(group: list[tuple[int, str]], letter: np.ndarray):
     Letters are lower-cased, everything else is a space; a trigram holds a
     letter, and its word is the one its middle or first letter belongs to.
     """
-    joined = " \n ".join(text.lower() for _, text in group)
+    joined = " \n ".join(text.lower() for _, text in group) + " "
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     is_letter = letter[np.minimum(codes, 0x10FFFF)]
     # Line breaks inside texts are spaces: texts are told apart by their lengths.
@@ -181,22 +193,27 @@ def mixtures(word_logs: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float
 
 
 def _shares(texts: list[str], letter: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """Language shares of each text; slices of one text are averaged by their words."""
+    """Language shares of each text, one mixture per text however long it is."""
     shares = np.zeros((len(texts), logs.shape[1]))
-    weight = np.zeros(len(texts))
-    for group in _chunks(texts):
+    parts: list[np.ndarray] = []  # word likelihoods of a text that comes in slices
+    groups = list(_chunks(texts))
+    for group, after in zip(groups, [*groups[1:], []]):
         bucket, word, owner = trigrams(group, letter)
-        if not len(bucket):
-            continue
         begin = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-        word_logs = np.add.reduceat(logs[bucket], begin, axis=0)
-        doc = owner[begin]
-        found = mixtures(word_logs, doc, len(group))
-        words = np.bincount(doc, minlength=len(group))
-        of = np.array([k for k, _ in group])
-        np.add.at(shares, of, found * words[:, None])
-        np.add.at(weight, of, words)
-    return shares / np.maximum(weight, 1)[:, None]
+        if len(bucket):
+            word_logs, doc = np.add.reduceat(logs[bucket], begin, axis=0), owner[begin]
+        else:
+            word_logs, doc = np.zeros((0, logs.shape[1]), logs.dtype), np.zeros(0, np.int64)
+        first = group[0][0]
+        if len(group) == 1:
+            parts.append(word_logs)
+            if after and after[0][0] == first:
+                continue
+            word_logs, parts = np.concatenate(parts), []
+            doc = np.zeros(len(word_logs), np.int64)
+        if len(word_logs):
+            shares[[k for k, _ in group]] = mixtures(word_logs, doc, len(group))
+    return shares
 
 
 def identify(
@@ -205,9 +222,10 @@ def identify(
     """``docs`` with ``lang_pred``, ``score`` (its share) and ``languages`` (the chosen set).
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was
-    learned. Equal shares go to the first language by name. Columns of those
-    names are replaced; rows are independent of each other and nothing is
-    shuffled.
+    learned. Equal shares go to the first language by name. A text is one mixture
+    at any length; a task holds one number per word and language of it. Columns
+    of those names are replaced; rows are independent of each other and nothing
+    is shuffled.
     """
     kept = docs.drop("lang_pred", "score", "languages")
     model = docs.sparkSession.sparkContext.broadcast((names, logs))
