@@ -3,11 +3,13 @@
 Every task packs the documents of its own input split as they come. A document
 longer than a window fills whole windows first. The rest goes to the fill level
 for which the sum of squared numbers of partially filled windows grows least;
-those numbers are kept in one array with a slot per level. When the documents of
-the split are used up, the windows still open are closed by moving (and cutting)
-what lies in the emptiest ones into the gaps of the fullest, so that a task pads
-one window at most. Nothing is shuffled, and a lost task packs the same
-documents in the same way when it is run again.
+those numbers are kept in one array with a slot per level. At most ``OPEN``
+windows are open at a time: when they are, a document that fits none of them
+whole is cut, and its first tokens close a window of the level that lowers the
+sum most. When the documents of the split are used up, the few windows still
+open are closed by moving (and cutting) what lies in the emptiest ones into the
+gaps of the fullest, so that a task pads one window at most. Nothing is shuffled,
+and a lost task packs the same documents in the same way when it is run again.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from buzzlens.llm.bpe import Vocabulary, load, settled_rows
 
 LENGTH = 2048
 END_ID = 1
+OPEN = 128  # windows of a task that are partially filled
 FAR = np.int64(2**40)
 ROWS = 4096  # pieces in one result batch
 
@@ -31,8 +34,10 @@ ROWS = 4096  # pieces in one result batch
 class Packer:
     """Windows of ``length`` tokens filled by the sum-of-squares rule."""
 
-    def __init__(self, length: int = LENGTH):
+    def __init__(self, length: int = LENGTH, most: int = OPEN):
         self.length = length
+        self.most = most
+        self.open = 0  # windows in ``windows``
         # Slot k is fill level ``length - k``, so that the first smallest is the fullest.
         self.open_gain = np.full(length + 1, FAR)  # 1 - 2 * windows: taking one away
         self.open_gain[length] = 0  # a new window takes none away
@@ -46,22 +51,41 @@ class Packer:
         self.fill_cost[slot] = 1 + 2 * n
         self.open_gain[slot] = 1 - 2 * n if n else FAR
 
-    def place(self, size: int, item) -> list | None:
-        """Put an item of ``size`` tokens; the window if it is full now, as (item, start, size)."""
+    def place(self, size: int, item, start: int = 0) -> list[list]:
+        """Put an item of ``size`` tokens; the windows that are full now, as (item, start, size).
+
+        Of levels that cost the same the fullest is taken.
+        """
+        done: list[list] = []
         n = self.length
-        cost = self.open_gain[size:] + self.fill_cost[: n + 1 - size]
-        level = n - size - int(np.argmin(cost))
+        while True:
+            cost = self.open_gain[size:] + self.fill_cost[: n + 1 - size]
+            if self.open == self.most:
+                cost = cost[:-1]  # no new window
+            at = int(np.argmin(cost)) if len(cost) else -1
+            if at >= 0 and cost[at] < FAR // 2:
+                break
+            # It fits no window whole: close one with its first tokens.
+            gap = 1 + int(np.argmin(self.open_gain[1:size]))
+            window = self.windows[n - gap].pop()
+            self._changed(n - gap)
+            self.open -= 1
+            window.append((item, start, gap))
+            done.append(window)
+            size, start = size - gap, start + gap
+        level = n - size - at
+        window = []
         if level:
             window = self.windows[level].pop()
             self._changed(level)
-        else:
-            window = []
-        window.append((item, 0, size))
+        window.append((item, start, size))
         if level + size == n:
-            return window
+            self.open -= bool(level)
+            return [*done, window]
+        self.open += not level
         self.windows.setdefault(level + size, []).append(window)
         self._changed(level + size)
-        return None
+        return done
 
     def close(self) -> Iterator[list]:
         """The open windows, all but one filled to the end."""
@@ -105,8 +129,9 @@ def pack(
 
     A null or empty text is a document of one id. Repeated rows and null ids are
     packed like any others; other columns are not returned. No rows give no
-    rows. A task keeps the tokens of its open windows: ``length`` at most of
-    each level's windows, not its whole split.
+    rows. A long text is encoded whole. A task keeps the tokens of ``OPEN``
+    windows, ``length`` at most each, and pads one window in all: less than
+    ``length`` tokens of its split. Ties go to the fullest window.
     """
     content = load(docs.sparkSession, path)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -152,8 +177,7 @@ def pack(
                     emit([((doc, 0, ids, total), start, length)])
                 if whole < total:
                     item = (doc, whole, ids[4 * whole :], total)
-                    window = packer.place(total - whole, item)
-                    if window:
+                    for window in packer.place(total - whole, item):
                         emit(window)
                 if len(rows) >= ROWS:
                     yield batch_of(rows)
