@@ -1,13 +1,16 @@
 """Document quality by co-training of two views.
 
 One classifier reads the text (byte pairs and repetition), the other one the
-page's metadata (source, language, length). Over several rounds each marks the
-unlabelled documents it is sure of, and the other one learns from them. A last
-step on labelled rows kept aside calibrates both views and weighs them, and the
-result scores every document.
-
-The classifiers are fitted on the driver from at most ``LABELLED`` labelled and
-``UNLABELLED`` other rows, picked by a hash of their id. All rows are scored.
+page's metadata (source, language, length). Both start from the same labelled
+rows. In every round each scores all unlabelled documents, and those it is surest
+of become labelled rows of the other one; rounds end early when neither has any
+to give. A last step on labelled rows kept aside calibrates both views and weighs
+them, and the result scores every document.
+
+The classifiers are fitted on the driver, from at most ``LABELLED`` labelled rows,
+picked by a hash of their id, and from what the views teach each other, at most
+``TAUGHT`` documents of each class per view and round. These are picked by Spark
+from all unlabelled rows; there is no smaller pool.
 """
 
 from __future__ import annotations
@@ -21,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buzzlens.llm.words import mixed, split_words, text_buffers, window_hashes
+from buzzlens.session import scratch_path
 
 LABELLED = 4_000
-UNLABELLED = 2_000
-ROUNDS = 4
-SURE = 0.98  # probability from which a view teaches the other one
+ROUNDS = 3
+SURE = 0.9  # probability from which a view teaches the other one
 TAUGHT = 400  # documents of each class that a view teaches per round
 PAIRS = 1 << 16
 WIDTH = PAIRS + 2  # byte pairs, share of repeated words, share of repeated 5-word windows
-META = 64
+META = 1 << 12
 CHUNK = 4 << 20  # bytes of text handled at once
 
 
@@ -106,15 +109,15 @@ def text_rows(column: pa.Array) -> Rows:
 
 
 def meta_rows(source: list, lang: list, chars: list) -> Rows:
-    """Metadata view: hashed source and language, and the order of magnitude of the length."""
-    size = np.array([len(str(c)) if c is not None else 0 for c in chars], np.uint64)
-    named = [
-        np.array([hash_name(f"{kind}:{x}") for x in values], np.uint64)
-        for kind, values in (("source", source), ("lang", lang))
+    """Metadata view: source, language, both together and the length in powers of two, hashed."""
+    names = [
+        (f"source:{x}", f"lang:{y}", f"both:{x}:{y}", f"size:{int(c).bit_length() if c is not None else None}")
+        for x, y, c in zip(source, lang, chars)
     ]
-    index = np.stack([*(mixed(x) % np.uint64(META) for x in named), mixed(size + np.uint64(7)) % np.uint64(META)], 1)
+    hashed = np.array([hash_name(x) for row in names for x in row], np.uint64)
+    index = (mixed(hashed) % np.uint64(META)).astype(np.int32)
     n = len(chars)
-    return Rows(np.arange(n + 1) * 3, index.reshape(-1).astype(np.int32), np.ones(3 * n, np.float32))
+    return Rows(np.arange(n + 1) * 4, index, np.full(4 * n, 0.5, np.float32))
 
 
 def hash_name(name: str) -> int:
@@ -158,34 +161,13 @@ class Model:
         return sigmoid(logits @ self.mix[:2] + self.mix[2])
 
 
-def cotrain(text: Rows, meta: Rows, label: np.ndarray, aside: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Both classifiers and their calibration.
-
-    ``label`` is 0, 1 or -1 (unlabelled); labelled rows marked ``aside`` only calibrate.
-    """
-    free = np.flatnonzero(label < 0)
-    start = np.flatnonzero((label >= 0) & ~aside)
-    taught = [dict(zip(start.tolist(), label[start].tolist())) for _ in range(2)]
-    views, widths, weights = (text, meta), (WIDTH, META), [None, None]
-    for turn in range(rounds + 1):
-        for v in (0, 1):
-            rows = np.fromiter(taught[v], np.int64, len(taught[v]))
-            labels = np.fromiter(taught[v].values(), float, len(taught[v]))
-            weights[v] = fit(views[v].take(rows), labels, widths[v])
-        if turn == rounds or not len(free):
-            break
-        for v in (0, 1):
-            sure = sigmoid(views[v].take(free).dot(weights[v][:-1]) + weights[v][-1])
-            for value, order in ((1, np.argsort(-sure)), (0, np.argsort(sure))):
-                for k in order[:TAUGHT]:
-                    if (sure[k] if value else 1 - sure[k]) >= SURE:
-                        taught[1 - v].setdefault(int(free[k]), value)
+def calibrated(weights: list[np.ndarray], text: Rows, meta: Rows, label: np.ndarray) -> Model:
+    """The model of both views, weighed by labelled rows that neither has learned from."""
     model = Model(weights[0], weights[1], np.array([1.0, 0.0, 0.0]))
-    kept = np.flatnonzero((label >= 0) & aside)
-    if len(set(label[kept].tolist())) == 2:
-        logits = np.clip(model.logits(text.take(kept), meta.take(kept)), -10, 10)
-        dense = Rows(np.arange(len(kept) + 1) * 2, np.tile([0, 1], len(kept)), logits.reshape(-1))
-        model.mix = fit(dense, label[kept].astype(float), 2, decay=0.0)
+    if len(set(label.tolist())) == 2:
+        logits = np.clip(model.logits(text, meta), -10, 10)
+        dense = Rows(np.arange(len(label) + 1) * 2, np.tile([0, 1], len(label)), logits.reshape(-1))
+        model.mix = fit(dense, label.astype(float), 2, decay=0.0)
     return model
 
 
@@ -194,51 +176,122 @@ def _views(batch) -> tuple[Rows, Rows]:
     return text_rows(batch.column("text")), meta_rows(column("source"), column("lang"), column("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", target: str = "quality") -> Model:
-    """Model from a bounded sample of labelled rows and of other rows.
+VIEWS = "id bigint, hash bigint, ti array<int>, tv array<float>, mi array<int>, mv array<float>"
 
-    Rows with a null id, label or text teach nothing. Without any label all
-    weights are zero and every score is one half.
-    """
-    order = F.xxhash64(id_col)
-    marked = labels.select(id_col, F.col(target).cast("int").alias("label")).dropna()
-    marked = marked.orderBy(order, "label").limit(LABELLED)
-    others = docs.select(id_col).dropna().orderBy(order).limit(UNLABELLED).select(id_col, F.lit(-1).alias("label"))
-    # Both samples have a fixed size, so they are broadcast.
-    sample = marked.union(others).groupBy(id_col).agg(F.max("label").alias("label"))
-    rows = (
-        docs.join(F.broadcast(sample), id_col)
-        .filter(F.col("text").isNotNull())
-        .select(id_col, "text", "source", "lang", "n_chars", "label")
-    )
-    schema = (
-        "id bigint, label int, ti array<int>, tv array<float>, mi array<int>, mv array<float>"
-    )
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = []
-            for view in _views(batch):
-                first = pa.array(view.first.astype(np.int32))
-                columns += [pa.ListArray.from_arrays(first, pa.array(view.index)),
-                            pa.ListArray.from_arrays(first, pa.array(view.value))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column(id_col).to_pylist(), pa.int64()), batch.column("label"), *columns],
-                ["id", "label", "ti", "tv", "mi", "mv"],
-            )
+@dataclass
+class Sample:
+    """Rows on the driver: both views of documents, and their ids."""
+
+    ids: np.ndarray
+    views: tuple[Rows, Rows]
 
-    table = rows.mapInArrow(task, schema).toArrow().sort_by("id").combine_chunks()
+    @classmethod
+    def of(cls, docs: DataFrame) -> "Sample":
+        """Both views of all rows of ``docs`` (``id``, ``hash`` and the columns they are made from), by id."""
 
-    def gathered(index: str, value: str) -> Rows:
-        lists = table[index].combine_chunks()
-        first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return Rows(first, lists.flatten().to_numpy(), table[value].combine_chunks().flatten().to_numpy())
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = []
+                for view in _views(batch):
+                    first = pa.array(view.first.astype(np.int32))
+                    columns += [pa.ListArray.from_arrays(first, pa.array(view.index)),
+                                pa.ListArray.from_arrays(first, pa.array(view.value))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("hash"), *columns], ["id", "hash", "ti", "tv", "mi", "mv"]
+                )
 
-    if not table.num_rows:
+        table = docs.mapInArrow(task, VIEWS).toArrow().sort_by([("id", "ascending"), ("hash", "ascending")]).combine_chunks()
+
+        def gathered(index: str, value: str) -> Rows:
+            if not table.num_rows:
+                return Rows(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+            lists = table[index].combine_chunks()
+            first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            return Rows(first, lists.flatten().to_numpy(), table[value].combine_chunks().flatten().to_numpy())
+
+        return cls(table["id"].to_numpy(), (gathered("ti", "tv"), gathered("mi", "mv")))
+
+
+def _sure(rows: DataFrame, weights: list[np.ndarray], path: str) -> list[dict[tuple[int, int], int]]:
+    """What each view teaches: the documents of each class it is surest of, of all ``rows``.
+
+    All rows are scored by both views in one pass; the scores are written.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                pa.array(sigmoid(view.dot(w[:-1]) + w[-1])) for view, w in zip(_views(batch), sent.value)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), *found], ["id", "hash", "p0", "p1"])
+
+    schema = "id bigint, hash bigint, p0 double, p1 double"
+    rows.mapInArrow(task, schema).write.parquet(path)
+    scored = rows.sparkSession.read.schema(schema).parquet(path)
+    out: list[dict[tuple[int, int], int]] = []
+    for p in ("p0", "p1"):
+        taught: dict[tuple[int, int], int] = {}
+        for value, surest, least in ((1, F.desc(p), F.col(p) >= SURE), (0, F.asc(p), F.col(p) <= 1 - SURE)):
+            best = scored.filter(least).select("id", "hash", p).orderBy(surest, "id", "hash").limit(TAUGHT)
+            taught |= {(r["id"], r["hash"]): value for r in best.collect()}
+        out.append(taught)
+    return out
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", target: str = "quality", rounds: int = ROUNDS
+) -> Model:
+    """Model from a bounded sample of labelled rows and from all unlabelled ones.
+
+    Rows with a null id, label or text teach nothing; of several labels of an id
+    the greatest counts, and each row with that id teaches it; rows equal in id
+    and text are taught once. Other columns of ``docs`` are not read. Long texts
+    are read whole, slice by slice. Without any label, or any row, all weights
+    are zero and every score is one half. ``rounds=0`` leaves both views with
+    the labelled rows alone.
+    """
+    marked = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(target).cast("int").alias("label")).dropna()
+    sample = marked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(LABELLED)
+    label_of = {r["id"]: r["label"] for r in sample.collect()}
+    used = docs.select(  # others may have any names
+        F.col(id_col).cast("bigint").alias("id"), F.xxhash64("text").alias("hash"), "text", "source", "lang", "n_chars"
+    ).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    known = docs.sparkSession.createDataFrame([(i,) for i in label_of], "id bigint")  # LABELLED rows at most
+    first = Sample.of(used.join(F.broadcast(known), "id", "left_semi"))
+    if not len(first.ids):
         return Model(np.zeros(WIDTH + 1), np.zeros(META + 1), np.zeros(3))
-    ids = table["id"].to_numpy().astype(np.uint64)
-    aside = mixed(ids) % np.uint64(5) == 0
-    return cotrain(gathered("ti", "tv"), gathered("mi", "mv"), table["label"].to_numpy(), aside)
+    label = np.array([label_of[i] for i in first.ids.tolist()])
+    aside = mixed(first.ids.astype(np.uint64)) % np.uint64(5) == 0
+    start = np.flatnonzero(~aside)
+    # What each view learns from: views of documents and their labels.
+    lessons = [([view.take(start)], [label[start].astype(float)]) for view in first.views]
+    widths = (WIDTH, META)
+
+    def fitted() -> list[np.ndarray]:
+        return [fit(Rows.join(rows), np.concatenate(marks), width) for (rows, marks), width in zip(lessons, widths)]
+
+    weights = fitted()
+    free = used.join(F.broadcast(known), "id", "left_anti")
+    done: list[set[tuple[int, int]]] = [set(), set()]  # what each view was taught
+    for turn in range(rounds):
+        taught = _sure(free, weights, scratch_path(docs.sparkSession, f"cotraining-{turn}"))
+        news = [{k: v for k, v in taught[1 - view].items() if k not in done[view]} for view in (0, 1)]
+        if not any(news):
+            break
+        keys = sorted({k for some in news for k in some})  # 4 * TAUGHT at most
+        wanted = docs.sparkSession.createDataFrame(keys, "id bigint, hash bigint")
+        rows = used.join(F.broadcast(wanted), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+        found = Sample.of(rows)
+        for view in (0, 1):
+            at = np.array([k for k, key in enumerate(keys) if key in news[view]], np.int64)
+            lessons[view][0].append(found.views[view].take(at))
+            lessons[view][1].append(np.array([news[view][keys[k]] for k in at.tolist()], float))
+            done[view] |= set(news[view])
+        weights = fitted()
+    kept = np.flatnonzero(aside)
+    return calibrated(weights, *(view.take(kept) for view in first.views), label[kept])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
