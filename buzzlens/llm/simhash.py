@@ -26,6 +26,7 @@ SEGMENTS = 3
 SEED = 42
 BITS = 64
 BLOCK = 20_000  # entries of one table slot that a task compares with each other
+TASK_ROWS = 2_000_000  # table rows and lookups of a task
 PAIRS = 1 << 18  # comparisons made at once
 
 
@@ -211,7 +212,11 @@ def links(values: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
             [pa.array(a.view(np.int64), pa.int64()), pa.array(b.view(np.int64), pa.int64())], ["a", "b"]
         )
 
-    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A task holds its rows as arrays, so their number decides how many tasks there are. A
+    # fingerprint has its own row in each table and asks for half of its ball there.
+    per_value = sum(1 + len(_balls(width, distance // segments)) // 2 for _, width in _segments(segments))
+    least = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, -(-values.count() * per_value // TASK_ROWS))
     return dealt.repartition(n, "slot", "block").mapInArrow(task, "a bigint, b bigint")
 
 
