@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buzzlens.llm.words import text_buffers
+from buzzlens.session import shared_dir
 
 LEAF = 256  # bytes that are encoded at once
 LONG = 32_768  # unsplit bytes from which a text is encoded by several tasks
@@ -248,7 +249,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 def _encode_unsplit(docs: DataFrame, content, text_col: str, ids_col: str) -> DataFrame:
     """Ids of documents with long unsplit stretches, encoded block by block."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(F.monotonically_increasing_id().alias("uid"), row)
+    # Checkpointed: the numbers are read twice and must be the same ones.
+    shared_dir(docs.sparkSession)
+    keyed = docs.select(F.monotonically_increasing_id().alias("uid"), row).checkpoint()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a piece's blocks (raw bytes) or of short pieces taken together (ids)."""
