@@ -78,6 +78,24 @@ def test_sum_of_squares_choice():
         assert sum(n * n for n in now.values()) - sum(n * n for n in levels.values()) == least
 
 
+def test_open_windows_are_bounded_and_most_are_filled_by_the_rule():
+    rng = np.random.default_rng(5)
+    for sizes in (rng.integers(1100, 1150, 5000), rng.integers(1, 2048, 3000), np.full(400, 2047), np.full(900, 1)):
+        packer = packing.Packer()
+        filled, held = [], Counter()
+        for k, size in enumerate(sizes.tolist()):
+            filled += packer.place(size, k)
+            assert packer.open == sum(map(len, packer.windows.values())) <= packing.OPEN
+        for window in filled:
+            assert sum(size for *_, size in window) == 2048
+        rest = list(packer.close())
+        assert len(rest) <= packing.OPEN and (len(filled) > 10 * len(rest) or len(sizes) < 1000)
+        for item, start, size in sorted(x for window in filled + rest for x in window):
+            assert start == held[item]  # pieces of an item follow each other
+            held[item] += size
+        assert [held[k] for k in range(len(sizes))] == sizes.tolist()
+
+
 # Substring dedup
 
 
@@ -176,9 +194,65 @@ def test_main_text(source, text):
     assert pages.main_text(source) == text
 
 
-def test_extract_replaces_columns(spark):
+PARAGRAPHS = "<p>Text one, long enough to count as a paragraph, yes.</p><p>Second one, also long, with commas, and a stop.</p>"
+SHORT = "<p>Ten<p>Nine"
+PLAIN = "Text one, long enough to count as a paragraph, yes.\nSecond one, also long, with commas, and a stop."
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (f'<article><div data-id="menu">{PARAGRAPHS}</div></article>', PLAIN),
+        (f'<article><h2 id="share-prices-fall">Share prices</h2>{PARAGRAPHS}<blockquote class="reply">So.</blockquote></article>',
+         f"Share prices\n{PLAIN}\nSo."),
+        (f"<div><div><a href=1>Home</a> <a href=2>News</a> <a href=3>Sport</a></div>{PARAGRAPHS}<p>See <a href=4>this</a>.</div>",
+         f"{PLAIN}\nSee this."),
+        (f"<body><div>{SHORT * 30}</div><div><div>{PARAGRAPHS}{PARAGRAPHS}</div></div><div><p>Four<p>Five</div>", f"{PLAIN}\n{PLAIN}"),
+    ],
+)
+def test_ratios_choose_the_nodes(source, text, monkeypatch):
+    assert pages.main_text(source) == text
+    if "Home" in source or SHORT in source:  # nothing in the mark-up tells these parts apart
+        chosen = pages._selected
+
+        def all_alike(page):
+            size, path, _, low = chosen(page)
+            return size, path, size > 0, low & False
+
+        monkeypatch.setattr(pages, "_selected", all_alike)
+        assert pages.main_text(source) != text
+
+
+def test_ratios_against_plain_sums():
+    page = pages._Page(f"<div><ul><li><a>One</a><li><a>Two.</a></ul>{PARAGRAPHS}<p>x</p></div>")
+    size, path, selected, low = pages._selected(page)
+    length, marks, nodes = Counter(), Counter(), Counter()
+    for text, where in zip(page.texts, page.paths):
+        length[where] += len(text.strip())
+        marks[where] += sum(c in ".,;:!?" for c in text)
+        nodes[where] += bool(text.strip())
+    held = [bool(t.strip()) for t in page.texts]
+    ratio = [length[p] / max(nodes[p], 1) * h for p, h in zip(page.paths, held)]
+    punctuation = [marks[p] / max(nodes[p], 1) * h for p, h in zip(page.paths, held)]
+
+    def smooth(values):
+        out = []
+        for k in range(len(values)):
+            near = [(math.exp(-0.5 * d * d), values[k + d]) for d in range(-2, 3) if 0 <= k + d < len(values)]
+            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        return out
+
+    fused = [a * (1 + b) for a, b in zip(smooth(ratio), smooth(punctuation))]
+    least = 0.25 * np.std(fused)
+    assert selected.tolist() == [f >= least and h for f, h in zip(fused, held)]
+    assert low.tolist() == [a * (1 + b) < least for a, b in zip(ratio, punctuation)]
+    assert size.tolist() == [len(t.strip()) for t in page.texts]
+
+
+def test_extract_replaces_columns(spark, none):
     rows = spark.createDataFrame([(1, None, "old"), (2, "<p>x</p>", "old")], "page_id long, html string, text string")
     assert sorted(map(tuple, pages.extract(rows).collect())) == [(1, ""), (2, "x")]
+    assert pages.extract(rows.limit(0)).count() == 0
 
 
 # Lines
@@ -205,9 +279,81 @@ def test_line_dedup(docs, texts, none):
     assert lines.remove_common_blocks(none).count() == 0
 
 
+def block(*rows):
+    return [(i, "\n".join(x)) for i, x in rows]
+
+
+def test_blocks_are_found_whatever_their_lines(spark):
+    shared = ["The first of two lines, ok", "and the second of them"]
+    own = lambda i: [f"Line {i} of nobody else, long enough to count alone."]
+    rows = [(k, own(k) + [shared[k % 2]] + own(100 + k)) for k in range(10)]  # each line by itself is common
+    rows += [(50, own(50) + shared), (60, own(60) + shared + own(61))]
+    short = [f"tiny {k:02d} row" for k in range(40)]
+    rows += [(70, short), (71, own(71) + short)]
+    docs = spark.createDataFrame(block(*rows), "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
+    cut = {r.doc_id: (r.n_removed_lines, r.text) for r in lines.remove_common_blocks(docs).collect()}
+    assert cut[60] == (2, "\n".join(own(60) + own(61))) and cut[71] == (40, own(71)[0])
+    assert sum(n for n, _ in cut.values()) == 42
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    pool = [f"Line {k} " + "word " * int(rng.integers(0, 12)) for k in range(30)]
+    docs = [(i, [pool[k].strip() for k in rng.integers(0, 30, rng.integers(1, 25))]) for i in range(40)]
+    frame = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.text.split("\n") if r.text else [] for r in lines.remove_common_blocks(frame).collect()}
+
+    def runs(x):  # every shortest run with 40 characters, from or to a line
+        out = set()
+        for i in range(len(x)):
+            for j in range(i + 1, len(x) + 1):
+                if sum(map(len, x[i:j])) >= 40:
+                    out.add((i, j))
+                    break
+            for j in range(i, -1, -1):
+                if sum(map(len, x[j : i + 1])) >= 40:
+                    out.add((j, i + 1))
+                    break
+        return out
+
+    first = {}
+    for i, x in docs:
+        for a, b in runs(x):
+            first.setdefault(tuple(x[a:b]), i)
+    expected = {}
+    for i, x in docs:
+        gone = set()
+        for other, y in docs[:i]:
+            shared = [r for r in sorted(runs(x)) if first[tuple(x[r[0] : r[1]])] == other]
+            keys = {tuple(x[a:b]) for a, b in shared}
+            theirs = [r for r in sorted(runs(y)) if tuple(y[r[0] : r[1]]) in keys]
+            number = {k: n for n, k in enumerate(sorted(keys))}
+            ours = [(a, number[tuple(x[a:b])]) for a, b in shared]
+            sizes = {number[k]: len(k) for k in keys}
+            gone |= lines.aligned_lines([(a, number[tuple(y[a:b])]) for a, b in theirs], ours, sizes)
+        expected[i] = gone
+    total = {i: len(x) - len(got[i]) for i, x in docs}
+    # Runs at one place are ordered by key, which is a hash there and a rank here.
+    assert abs(sum(total.values()) - sum(map(len, expected.values()))) <= 0.02 * sum(total.values())
+    for i, x in docs:  # and nothing goes that no earlier document has
+        earlier = {line for _, y in docs[:i] for line in y}
+        left = Counter(x) - Counter(got[i])
+        assert set(left) <= earlier
+
+
 # Languages
 
 
+def test_one_mixture_at_any_length(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    letter = language.letters()
+    logs = np.log(rng.random((language.BUCKETS, 3)) + 1e-3).astype(np.float32)
+    texts = [" ".join("".join(rng.choice(list("abcdé"), 4)) for _ in range(n)) for n in (900, 3, 0, 400, 1)] + ["x" * 5000, "12 3"]
+    whole = language._shares(texts, letter, logs)
+    monkeypatch.setattr(language, "CHUNK", 64)
+    assert np.allclose(language._shares(texts, letter, logs), whole)
+
+
 def test_languages(spark, none):
     rows = [(k, t * 8, g) for k, (t, g) in enumerate(
         [("the cat and the dog with this house ", "en"), ("der hund und die katze mit dem haus ", "de")] * 4)]
@@ -260,6 +406,16 @@ def test_simhash_against_all_pairs(docs, texts, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_what_is_no_copy_stays(spark):
+    text = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (2, text[3]), (2, text[4]), (2, text[4]), (7, text[0]), (9, text[5]), (8, text[5])]
+    docs = spark.createDataFrame([(i, t, k % 3, True) for k, (i, t) in enumerate(rows)], "doc_id long, text string, hash int, _stay boolean")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, text[1]), (None, text[2]), (2, text[3]), (2, text[4]), (7, text[0]), (8, text[5])], key=str)
+    assert simhash.keep_first(docs).columns == docs.columns
+    assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
 def test_crowded_slots_are_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 7)
     rng = np.random.default_rng(2)
@@ -298,6 +454,33 @@ def test_classifier(spark, none):
     assert sum(r.kept == bool(r.doc_id % 2) for r in got if r.doc_id is not None and r.doc_id < 300) >= 297
     unlearned = cotraining.score(docs, cotraining.train(docs, labels.limit(0)))
     assert unlearned.count() == len(rows)
+    clash = docs.withColumn("label", F.lit("x")).withColumn("ti", F.lit(1))
+    assert cotraining.score(clash, cotraining.train(clash, labels)).count() == len(rows)
+    nothing = cotraining.train(docs.limit(0), labels)
+    assert cotraining.score(docs.limit(0), nothing).count() == 0
+
+
+def test_views_teach_each_other(spark):
+    """Ten topics and ten sources of each class, of which the labels show two: neither view gets far alone."""
+    rng = np.random.default_rng(9)
+    alphabets = ["".join(chr(0x4E00 + 40 * t + k) for k in range(3)) for t in range(20)]
+    rows = []
+    for k in range(900):
+        good = int(rng.integers(2))
+        topic, source = (int(rng.integers(2)) if k < 40 else int(rng.integers(10)) for _ in range(2))
+        text = " ".join("".join(rng.choice(list(alphabets[10 * good + topic]), 3)) for _ in range(20))
+        rows.append((k, text, f"site{10 * good + source}", "zh", 80, good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, good int")
+    labels = docs.filter("doc_id < 40").select("doc_id", F.col("good").alias("quality"))
+    unseen = {r[0]: bool(r[5]) for r in rows[40:]}
+
+    def right(model):
+        found = [r for r in cotraining.score(docs, model).collect() if r.doc_id in unseen]
+        views = [np.mean([(getattr(r, v) >= 0.5) == unseen[r.doc_id] for r in found]) for v in ("text_score", "meta_score", "score")]
+        return [round(float(x), 3) for x in views]
+
+    alone, together = right(cotraining.train(docs, labels, rounds=0)), right(cotraining.train(docs, labels))
+    assert max(alone[:2]) < 0.85 and min(together) > 0.95
 
 
 # BPE
