@@ -199,7 +199,8 @@ def entity_search(
     on the page only; Spark knows how few they are and does not shuffle the rest.
     """
     order = [F.asc_nulls_last("stock_code"), F.asc("primary_name"), F.asc("entity_id")]
-    shown = page_of(matching_entities(entities, search), order, page, size)
+    keys = ["stock_code", "primary_name", "entity_id"]
+    shown = page_of(matching_entities(entities, search), order, page, size, keys)
     counts = (
         aliases.select("entity_id")
         .join(shown.select("entity_id"), "entity_id", "left_semi")

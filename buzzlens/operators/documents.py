@@ -190,5 +190,6 @@ def article_search(
 ) -> DataFrame:
     """One page of forum articles, newest or most upvoted (none first) first."""
     found = matching_articles(documents, date_from, date_to, title).drop("content")
-    main = F.desc_nulls_first("upvotes" if sort == "upvotes" else "published_at")
-    return page_of(found, [main, F.asc("document_id")], page, size)
+    main = "upvotes" if sort == "upvotes" else "published_at"
+    order = [F.desc_nulls_first(main), F.asc("document_id")]
+    return page_of(found, order, page, size, [main, "document_id"])

@@ -28,6 +28,7 @@ from buzzlens.operators.keyed import counted
 from buzzlens.operators.mentions import deltas_of_sums, mention_points, window_sums
 from buzzlens.plans.processing import probe_documents, process_documents
 from buzzlens.plans.signals import signals
+from buzzlens.sources.commits import remove
 from buzzlens.sources.days import is_done, keep_days, read_days
 from buzzlens.sources.feeds import parse_items
 from buzzlens.sources.pages import article_documents, index_entries
@@ -48,6 +49,7 @@ INTERVALS = {
 AVAILABLE_NOW = {"availableNow": True}
 SECOND_SUMS = {"stock_code": "string", "ts": "timestamp", "mention_count": "bigint"}
 SECOND_FORMAT = "yyyy-MM-dd HH:mm:ss"
+OLD_VERSIONS = 4  # batches after which a version of a table is removed
 PRICE_DAYS = 11  # days of bars a price snapshot can look back on
 
 
@@ -388,11 +390,13 @@ def _next_version(concepts: DataFrame, path: str, batch_id: int) -> None:
     _write_batch(concepts, f"{path}/concepts", batch_id, schemas.CONCEPTS)
     number = concepts.sparkSession.createDataFrame([(batch_id,)], schemas.ddl(schemas.VERSIONS))
     _write_batch(number, f"{path}/versions", batch_id, schemas.VERSIONS)
+    remove(concepts.sparkSession, f"{path}/concepts/batch_id={batch_id - OLD_VERSIONS}")
 
 
-def _version(spark: SparkSession, path: str, version: int) -> DataFrame:
-    rows = read_table(spark, f"{path}/concepts", schemas.CONCEPTS)
-    return rows.filter(F.col("batch_id") == version).drop("batch_id")
+def _version(
+    spark: SparkSession, path: str, version: int, table: str = "concepts", columns: Mapping[str, str] = schemas.CONCEPTS
+) -> DataFrame:
+    return spark.read.schema(schemas.ddl(dict(columns))).parquet(f"{path}/{table}/batch_id={version}")
 
 
 def stored_concepts(spark: SparkSession, path: str) -> DataFrame:
@@ -415,31 +419,36 @@ def keep_probed(
 ) -> StreamingQuery:
     """Probe the hottest documents whenever status rows arrive and keep the concepts.
 
-    ``status`` is a stream of status rows. Below ``path``, ``waiting`` keeps
-    them, ``probed`` what was probed and ``concepts`` one version of the table
-    per batch. A batch works on rows of the batches up to itself, so a repeat
-    gives the same.
+    ``status`` is a stream of status rows. Below ``path``, ``open`` has one
+    version per batch of the documents that can still be picked, ``probed`` what
+    was probed and ``concepts`` one version of the table per batch. A batch reads
+    the versions of the batch before, however long the job has run, so a repeat
+    gives the same; old versions are removed.
     """
     spark = status.sparkSession
-    create_table(spark, f"{path}/waiting", schemas.DOC_STATUS)
+    create_table(spark, f"{path}/open", schemas.DOC_STATUS)
     create_table(spark, f"{path}/probed", schemas.PROBED)
     create_table(spark, f"{path}/concepts", schemas.CONCEPTS)
     create_table(spark, f"{path}/versions", schemas.VERSIONS)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        _write_batch(batch, f"{path}/waiting", batch_id, schemas.DOC_STATUS)
-        waiting = read_table(session, f"{path}/waiting", schemas.DOC_STATUS, before=batch_id + 1)
-        probed = read_table(session, f"{path}/probed", schemas.PROBED, before=batch_id)
-        still = waiting.filter(F.col("probed_at").isNull()).drop("batch_id")
-        still = still.join(probed.select("document_id"), "document_id", "left_anti")
+        # Votes are frozen when a document is stored: what cannot be picked now never can.
+        hot = F.col("upvotes").isNull() | (F.col("upvotes") >= min_upvotes)
+        fresh = batch.filter(
+            F.col("processed_at").isNotNull() & (F.col("entity_match_count") > 0) & F.col("probed_at").isNull()
+        ).join(documents().filter(hot).select("document_id"), "document_id", "left_semi")
+        before = _version(session, path, batch_id - 1, "open", schemas.DOC_STATUS)
+        waiting = before.unionByName(fresh.select(*schemas.DOC_STATUS)).dropDuplicates(["document_id"])
         done = probe_documents(
-            documents(), still, _version(session, path, batch_id - 1), now(batch_id),
+            documents(), waiting, _version(session, path, batch_id - 1), now(batch_id),
             extract, size, min_upvotes,
         )
         marked = done.status.filter(F.col("probed_at").isNotNull())
         _write_batch(marked, f"{path}/probed", batch_id, schemas.PROBED)
+        _write_batch(done.status.filter(F.col("probed_at").isNull()), f"{path}/open", batch_id, schemas.DOC_STATUS)
         _next_version(done.concepts, path, batch_id)
+        remove(session, f"{path}/open/batch_id={batch_id - OLD_VERSIONS}")
 
     return _run(status, handle, checkpoint, trigger, name)
 

@@ -98,12 +98,12 @@ def test_pages(spark, monkeypatch, heap):
     order = [F.col("id").desc()]
 
     def page(number):
-        return [r["id"] for r in paging.page_of(rows, order, number, 25).collect()]
+        return [r["id"] for r in paging.page_of(rows, order, number, 25, ["id"]).collect()]
 
     assert page(1) == page(0) == page(-3) == list(range(202, 177, -1))
     assert page(4) == list(range(127, 102, -1))
     assert page(9) == page(1000) == [2, 1]
-    assert paging.page_of(rows.limit(0), order, 5, 25).count() == 0
+    assert paging.page_of(rows.limit(0), order, 5, 25, ["id"]).count() == 0
     [totals] = paging.page_totals(rows, 25).collect()
     assert (totals["total"], totals["pages"]) == (202, 9)
     assert paging.page_totals(rows.limit(0), 25).first()["pages"] == 1

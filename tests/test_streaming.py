@@ -278,3 +278,27 @@ def test_processing_writes_status_of_matched_documents_last(spark, tmp_path):
     assert {(r["document_id"], r["entity_match_count"]) for r in status} == {("1", 1), ("2", 0)}
     vectors = jobs.read_table(spark, f"{path}/embeddings", schemas.EMBEDDINGS).collect()
     assert [(r["document_id"], len(r["embedding"])) for r in vectors] == [("1", 1536)]
+
+
+def test_probing_goes_on_from_what_is_open(spark, tmp_path):
+    landing, path = str(tmp_path / "in"), str(tmp_path / "probe")
+    docs = spark.createDataFrame([row(k, f"Word{k}", up=20 + k) for k in range(6)] + [row(9, "cold", up=1)], schemas.ddl(schemas.DOCUMENTS))
+    words = lambda title, content: F.array(title)
+
+    def run(*ids):
+        at = datetime(2026, 3, 24, 6)
+        rows = [(str(k), at, 0 if k == 5 else 1, None) for k in ids]
+        spark.createDataFrame(rows, schemas.ddl(schemas.DOC_STATUS)).coalesce(1).write.mode("append").parquet(landing)
+        jobs.keep_probed(
+            spark.readStream.schema(schemas.ddl(schemas.DOC_STATUS)).parquet(landing), lambda: docs, path,
+            str(tmp_path / "check"), lambda n: f"2026-03-24 0{n}:00:00", words, size=2,
+        ).awaitTermination()
+        newest = max(int(f.name.split("=")[1]) for f in (tmp_path / "probe/open").iterdir())
+        still = spark.read.parquet(f"{path}/open/batch_id={newest}").collect()
+        return {r["keyword"] for r in jobs.stored_concepts(spark, path).collect()}, {r["document_id"] for r in still}
+
+    assert run(0, 1, 2, 5, 9) == ({"Word2", "Word1"}, {"0"})  # no match, no votes: never open
+    assert run(3) == ({"Word2", "Word1", "Word3", "Word0"}, set())
+    for k in range(4):
+        run(9)
+    assert len(list((tmp_path / "probe/concepts").iterdir())) <= 6  # old versions are gone
