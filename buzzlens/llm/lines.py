@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buzzlens.llm.words import Words, mixed, powers, text_buffers
+from buzzlens.session import shared_dir
 
 BLOCK_CHARS = 40  # a common block with fewer characters stays
 SPACES = " \t\n\x0b\x0c\r"
@@ -162,9 +163,12 @@ def shared_runs(docs: DataFrame, id_col: str, text: Column, least: int) -> DataF
     postings = _postings(docs, id_col, text, least).select(
         F.struct("id", "hash").alias("doc"), "key", "size", "places"
     )
-    # A run's holders are counted and the first one kept by each task before the shuffle.
+    # A run's holders are counted and the first one kept by each task before the shuffle. With the
+    # result checkpointed, both sides of the join are shuffled for it alone, and Spark may split the
+    # holders of a very common run over many tasks.
+    shared_dir(docs.sparkSession)
     holder = F.min(F.struct("doc", "places")).alias("first")
-    firsts = postings.groupBy("key").agg(holder, F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = postings.groupBy("key").agg(holder, F.count("*").alias("n")).filter("n > 1").drop("n").checkpoint()
     both = postings.join(firsts, "key").filter(F.col("first.doc") < F.col("doc"))
     runs = both.select(
         F.col("first.doc").alias("earlier"), F.col("doc").alias("later"), "key", "size",
