@@ -1,7 +1,9 @@
 """Cleaning of a document table, stage by stage; each stage is one operator of ``buzzlens.llm``.
 
 Every stage gets all rows its predecessor kept, as a table read back from
-Parquet, and all but the last return the columns of ``documents``.
+Parquet, and all but the last return the columns of ``documents``; other columns
+are dropped, whatever their names. An empty table goes through all stages as one.
+Whole texts are read, however long they are.
 """
 
 from __future__ import annotations
@@ -31,7 +33,12 @@ def _short_batches(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language; texts without a letter and mixtures without one go."""
+    """Documents with a main language; texts without a letter (null, empty) and mixtures without one go.
+
+    The languages are learned from the rows with a text and a ``lang``; without
+    any, every document goes. Equal shares go to the first language by name.
+    Repeated rows and null ids are judged row by row.
+    """
     _short_batches(spark)
     names, logs = language.learn(docs)
     found = language.identify(docs.select(*COLUMNS), names, logs)
@@ -39,27 +46,40 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without line blocks of earlier ones; those with no line left go."""
+    """Documents without line blocks of earlier ones; those with no line left go, null texts too.
+
+    Earlier is the smaller id, then the smaller text hash. Rows with a null id
+    keep their lines; rows equal in id and text lose the same lines.
+    """
     _short_batches(spark)
     cut = lines.remove_common_blocks(docs.select(*COLUMNS))
     return _documents(cut.filter("n_lines > n_removed_lines"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: smallest id (null last), then smallest text hash.
+
+    Of rows equal in id and text one stays; all texts without a word are one group.
+    """
     _short_batches(spark)
     return simhash.keep_first(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of earlier ones; those with no word left go."""
+    """Documents without passages of earlier ones (smaller ids); those with no word left go, null texts too.
+
+    Rows of one id take nothing from each other, and a null id is later than all others.
+    """
     _short_batches(spark)
     cut = substrings.remove_repeats(docs.select(*COLUMNS))
     return _documents(cut.filter("n_words > n_removed"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2,048 tokens."""
+    """Pieces of the documents in sequences of 2,048 tokens; a null text is its end token.
+
+    Repeated rows and null ids are packed like any others.
+    """
     _short_batches(spark)
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
