@@ -529,6 +529,24 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, now, "").select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
 
 
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, lang_pred int, copy int"
+    text = "The first words of a document that goes on for a while and then ends here, more or less."
+    rows = [(1, text, "en"), (1, text, "en"), (None, text + " Not quite.", "en"), (2, None, None), (3, "", "en"), (4, "?? 12", "en"),
+            (5, "word " * 30_000, "en")]
+    awkward = spark.createDataFrame([(*r, "s", None, "x", 1, 2) for r in rows], kinds)
+    for k, now in enumerate((awkward, awkward.limit(0))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, now, "").write.parquet(str(tmp_path / f"{name}{k}"))
+            now = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            assert now.columns == corpus_pipeline.COLUMNS
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
+        assert {p.doc_id for p in packed} - {None} == ({1, 5} if k == 0 else set())
+        assert sum(p.doc_id == 1 and p.start == 0 for p in packed) == (k == 0)
+
+
 def test_queries_equal_sql(spark):
     from oracle_check import connect, differences
 
