@@ -170,11 +170,10 @@ def shared_runs(docs: DataFrame, id_col: str, text: Column, least: int) -> DataF
     holder = F.min(F.struct("doc", "places")).alias("first")
     firsts = postings.groupBy("key").agg(holder, F.count("*").alias("n")).filter("n > 1").drop("n").checkpoint()
     both = postings.join(firsts, "key").filter(F.col("first.doc") < F.col("doc"))
-    runs = both.select(
+    return both.select(
         F.col("first.doc").alias("earlier"), F.col("doc").alias("later"), "key", "size",
         F.col("first.places").alias("theirs"), F.col("places").alias("ours"),
     )
-    return runs.dropDuplicates(["later", "key"])  # repeated rows are one document
 
 
 def aligned_lines(theirs: list[tuple[int, int]], ours: list[tuple[int, int]], sizes: dict[int, int]) -> set[int]:
@@ -214,7 +213,8 @@ def remove_common_blocks(
     runs = shared_runs(docs, id_col, text, block_chars)
     kind = runs.schema["later"].dataType.simpleString()
     # One row per document that shares a run; each of its runs is there once, with its first holder.
-    grouped = runs.groupBy("later").agg(F.collect_list(F.struct("earlier", "key", "size", "theirs", "ours")).alias("runs"))
+    # Repeated rows are one document: tasks drop their runs before the shuffle.
+    grouped = runs.groupBy("later").agg(F.collect_set(F.struct("earlier", "key", "size", "theirs", "ours")).alias("runs"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
