@@ -30,7 +30,7 @@ BLOCK = (1 << PLACE) - 1  # ids in a block
 MAGIC = b"IDB1"
 HEAD = "<4sIIII"  # magic, ids, alphabet bytes, words, CRC-32 of the ids
 HEAD_SIZE = struct.calcsize(HEAD)
-LANES = 6144  # blocks coded side by side: each step costs as much for a few as for many
+LANES = 4096  # blocks coded side by side: each step costs as much for a few as for many
 PREPARED = 512  # blocks whose alphabets are made at once
 STEP = 12  # order-0 weight of one occurrence; an id that has not come yet weighs 1
 RENEW = 128  # ids after which order-0 shares are summed anew, sooner at the start

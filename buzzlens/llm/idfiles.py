@@ -31,10 +31,10 @@ from buzzlens.llm import idcoder
 from buzzlens.llm.bpe import _byte_symbols, load
 
 STRIPE = 1 << 20  # ids of a stripe; a longer document has a stripe of its own
-PART_BYTES = 32 << 20  # text of a part
+PART_BYTES = 22 << 20  # text of a part
 PARTS = 100_000  # most parts; their sums are broadcast
-SLICE = 8 << 20  # bytes of text tokenised at once
-CACHED = 400_000  # words a task remembers between slices
+SLICE = 4 << 20  # bytes of text tokenised at once
+CACHED = 250_000  # words a task remembers between slices
 SCHEMA = "part int, stripe int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, data binary"
 
 # Fixed value: how the lower-casing word vocabulary splits texts. Its words do not depend on
