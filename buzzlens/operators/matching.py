@@ -18,9 +18,12 @@ The plan, all in the JVM:
 Both joins use 64-bit hashes as keys; the comparison of the whole keyword makes
 the result exact. The work per position does not depend on the size of the
 dictionary. A small dictionary is broadcast and nothing is shuffled before the
-partly counted (document, entity) pairs. A large one meets, in a shuffle on the
-anchor, what the heads let through: narrow rows of at most 7 characters, or as
-many as the longest keyword for anchors of 8.
+partly counted (document, entity) pairs. Of a large one only the anchors are
+broadcast, the longest ones cut until they are few enough, with the lengths of
+the keywords behind them. What they let through is cut to these lengths. A first
+run over the texts so finds the keywords that occur, which mostly are few enough
+to be broadcast; if not, the cuts are counted per document, and the counts meet
+the keywords in a shuffle.
 """
 
 from __future__ import annotations
@@ -32,9 +35,12 @@ from pyspark.sql import functions as F
 
 from buzzlens.functions.text import full_text
 from buzzlens.operators.keyed import BROADCAST_ROWS, broadcast_if_small, fits_broadcast
+from buzzlens.session import shared_dir
 
 ANCHOR_LENGTHS = (1, 2, 4, 8)
 HEAD_LENGTH = 2
+GATE_LENGTHS = (8, 7, 6, 5, 4)  # to which anchors of 8 are cut
+FEW = 8  # keywords of one anchor and length that are told apart before they are counted
 PIECE = 64
 BROADCAST_CHARS = 64_000_000
 
@@ -58,14 +64,19 @@ def _key(text: str, length: str | int) -> Column:
     return F.expr(f"xxhash64(substring({text}, 1, {length}), {length})")
 
 
+def _anchor_len(length: Column) -> Column:
+    """Length of the anchor of a keyword with ``length`` characters."""
+    anchor_len = F.lit(None).cast("int")
+    for n in ANCHOR_LENGTHS:
+        anchor_len = F.when(length >= n, n).otherwise(anchor_len)
+    return anchor_len
+
+
 def _prepare(aliases: DataFrame) -> _Dictionary:
     """Anchors and heads of the keywords; one aggregate reads the sizes."""
-    anchor_len = F.lit(None).cast("int")
-    for length in ANCHOR_LENGTHS:
-        anchor_len = F.when(F.length("keyword") >= length, length).otherwise(anchor_len)
     words = (
         aliases.filter(F.col("keyword") != "")
-        .select("entity_id", "keyword", anchor_len.alias("word_anchor_len"))
+        .select("entity_id", "keyword", _anchor_len(F.length("keyword")).alias("word_anchor_len"))
         .withColumn("word_head_len", F.least(F.col("word_anchor_len"), F.lit(HEAD_LENGTH)))
     )
     heads = words.groupBy("word_head_len", _key("keyword", "word_head_len").alias("head_key")).agg(
@@ -123,6 +134,123 @@ def _positions(documents: DataFrame, text: Column, names: list[str], longest: in
     )
 
 
+def _probes(documents: DataFrame, words: _Dictionary, heads: DataFrame, text: Column, names: list[str]) -> DataFrame:
+    """``(*names, section, at, window, anchor_len)``: what the heads let through."""
+    head_lengths = F.array(*[F.lit(n) for n in words.head_lengths])
+    return (
+        _positions(documents, text, names, words.longest)
+        .withColumn("head_len", F.explode(head_lengths))
+        .withColumn("head_key", _key("window", "head_len"))
+        .join(heads, "head_key")
+        # Written as a difference so that the hash alone stays the join key.
+        .filter(F.col("head_len") - F.col("word_head_len") == 0)
+        .select(*names, "section", "at", "window", F.explode("anchor_lens").alias("anchor_len"))
+    )
+
+
+def _small_hits(documents: DataFrame, words: _Dictionary, text: Column, names: list[str]) -> DataFrame:
+    """``keyword_hits`` with a dictionary that is broadcast."""
+    probes = _probes(documents, words, F.broadcast(words.heads), text, names)
+    joined = probes.withColumn("anchor_key", _key("window", "anchor_len")).join(F.broadcast(words.rows), "anchor_key")
+    found = F.expr(
+        "if(word_anchor_len < 8, substring(window, 1, length(keyword)), "
+        "substring(section, at, length(keyword)))"
+    )
+    exact = (F.col("anchor_len") - F.col("word_anchor_len") == 0) & (found == F.col("keyword"))
+    return joined.filter(exact).select(*names, "entity_id", "keyword")
+
+
+def _gate_key(text: str, anchor_len: str, cut: int) -> Column:
+    return F.expr(f"xxhash64(substring({text}, 1, least({anchor_len}, {cut})), {anchor_len})")
+
+
+def _gate(words: DataFrame, cut: int) -> DataFrame:
+    """``(gate_key, keyword_len, hashes)``: lengths of the keywords behind each anchor.
+
+    Anchors have at most ``cut`` characters. ``hashes`` are those of the keywords,
+    null where they are more than ``FEW``.
+    """
+    hashes = F.collect_set(F.xxhash64("keyword"))
+    return words.groupBy(
+        _gate_key("keyword", "word_anchor_len", cut).alias("gate_key"), F.length("keyword").alias("keyword_len")
+    ).agg(F.when(F.size(hashes) <= FEW, hashes).alias("hashes"))
+
+
+def _found(documents: DataFrame, words: _Dictionary, text: Column, names: list[str]) -> DataFrame:
+    """``(*names, found)``: every place where a text may be a keyword of a large dictionary.
+
+    When even the shortest gate is too large to broadcast, its join is left to
+    Spark. A keyword's length tells its anchor's, so no place is cut twice to
+    the same text.
+    """
+    heads = F.broadcast(words.heads) if fits_broadcast(words.heads) else words.heads
+    for cut in GATE_LENGTHS:
+        gate = _gate(words.rows, cut)
+        if fits_broadcast(gate):
+            gate = F.broadcast(gate)
+            break
+    cuts = (
+        _probes(documents, words, heads, text, names)
+        .withColumn("gate_key", _gate_key("window", "anchor_len", cut))
+        .join(gate, "gate_key")
+        .filter(_anchor_len(F.col("keyword_len")) - F.col("anchor_len") == 0)
+    )
+    found = F.expr(
+        "if(anchor_len < 8, substring(window, 1, keyword_len), substring(section, at, keyword_len))"
+    )
+    return (
+        cuts.select(*names, "keyword_len", "hashes", found.alias("found"))
+        .filter(F.length("found") == F.col("keyword_len"))  # not cut short by the end of the text
+        .filter(F.col("hashes").isNull() | F.array_contains("hashes", F.xxhash64("found")))
+        .select(*names, "found")
+    )
+
+
+def _large_counts(documents: DataFrame, words: _Dictionary, text: Column, names: list[str]) -> DataFrame:
+    """``keyword_counts`` with a dictionary that is not broadcast."""
+    counted = _found(documents, words, text, names).groupBy(*names, "found").agg(F.count("*").alias("places"))
+    listed = words.rows.groupBy("entity_id", "keyword").agg(F.count("*").alias("times"))
+    joined = counted.withColumn("anchor_key", F.xxhash64("found")).join(
+        listed.withColumn("anchor_key", F.xxhash64("keyword")), "anchor_key"
+    )
+    # Not written as an equality, so that the hash alone stays the join key.
+    same = F.startswith("found", "keyword") & (F.length("found") - F.length("keyword") == 0)
+    return joined.filter(same).select(
+        *names, "entity_id", "keyword", (F.col("places") * F.col("times")).alias("hits")
+    )
+
+
+def _is_small(words: _Dictionary, max_broadcast_rows: int) -> bool:
+    return words.size <= max_broadcast_rows and words.chars <= BROADCAST_CHARS
+
+
+def occurring(
+    documents: DataFrame, aliases: DataFrame, text: Column | None = None, max_broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """``aliases`` as they are if they can be broadcast, else those whose keyword occurs in a text.
+
+    The latter are found in a run over the texts of its own, which shuffles each
+    text found once per task, and checkpointed in the shared folder: mostly few
+    enough to be broadcast then, which is cheaper than to shuffle the hits.
+    """
+    words = _prepare(aliases)
+    if max_broadcast_rows == 0 or _is_small(words, max_broadcast_rows):
+        return aliases
+    shared_dir(documents.sparkSession)
+    text = full_text(F.col("title"), F.col("content")) if text is None else text
+    found = _found(documents, words, text, []).distinct().withColumnRenamed("found", "keyword")
+    return aliases.join(found, "keyword", "left_semi").select("entity_id", "keyword").checkpoint()
+
+
+def _matched(documents, aliases, text, keys, max_broadcast_rows) -> tuple[DataFrame, bool]:
+    """Rows of ``_small_hits``, or of ``_large_counts``, and whether they are counts."""
+    words = _prepare(occurring(documents, aliases, text, max_broadcast_rows))
+    text = full_text(F.col("title"), F.col("content")) if text is None else text
+    if _is_small(words, max_broadcast_rows):
+        return _small_hits(documents, words, text, list(keys)), False
+    return _large_counts(documents, words, text, list(keys)), True
+
+
 def keyword_hits(
     documents: DataFrame,
     aliases: DataFrame,
@@ -134,44 +262,28 @@ def keyword_hits(
 
     ``text`` defaults to title, blank, content. ``keys`` are carried along, so
     whatever the caller groups by later needs no join. Runs one aggregate over
-    the dictionary. A dictionary above ``max_broadcast_rows`` rows or
-    ``BROADCAST_CHARS`` characters is joined by a shuffle instead (and the size
-    of its heads is checked by another aggregate); AQE splits hot anchors there.
+    the dictionary. Of a dictionary above ``max_broadcast_rows`` rows or
+    ``BROADCAST_CHARS`` characters, ``occurring`` first keeps what the texts hold
+    (not at 0 rows, where that cannot help); if that is above them too, it is
+    joined by a shuffle, and AQE splits hot keywords there.
     """
-    words = _prepare(aliases)
-    text = full_text(F.col("title"), F.col("content")) if text is None else text
-    names = list(keys)
-    small = words.size <= max_broadcast_rows and words.chars <= BROADCAST_CHARS
-    heads = F.broadcast(words.heads) if small or fits_broadcast(words.heads) else words.heads
-    head_lengths = F.array(*[F.lit(n) for n in words.head_lengths])
-    candidates = (
-        _positions(documents, text, names, words.longest)
-        .withColumn("head_len", F.explode(head_lengths))
-        .withColumn("head_key", _key("window", "head_len"))
-        .join(heads, "head_key")
-        # Written as a difference so that the hash alone stays the join key.
-        .filter(F.col("head_len") - F.col("word_head_len") == 0)
-        .select(*names, "section", "at", "window", F.explode("anchor_lens").alias("anchor_len"))
-    )
-    probes = candidates.withColumn("anchor_key", _key("window", "anchor_len"))
-    if small:
-        joined = probes.join(F.broadcast(words.rows), "anchor_key")
-        found = F.expr(
-            "if(word_anchor_len < 8, substring(window, 1, length(keyword)), "
-            "substring(section, at, length(keyword)))"
-        )
-    else:
-        # A keyword is shorter than twice its anchor, unless the anchor is the longest.
-        rest = F.expr(
-            f"if(anchor_len < 8, substring(window, 1, 2 * anchor_len - 1), "
-            f"substring(section, at, {words.longest}))"
-        )
-        joined = probes.select(*names, "anchor_len", "anchor_key", rest.alias("rest")).join(
-            words.rows, "anchor_key"
-        )
-        found = F.expr("substring(rest, 1, length(keyword))")
-    exact = (F.col("anchor_len") - F.col("word_anchor_len") == 0) & (found == F.col("keyword"))
-    return joined.filter(exact).select(*names, "entity_id", "keyword")
+    rows, are_counts = _matched(documents, aliases, text, keys, max_broadcast_rows)
+    if not are_counts:
+        return rows
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("hits")))
+    return rows.select(*keys, "entity_id", "keyword", each.alias("_hit")).drop("_hit")
+
+
+def keyword_counts(
+    documents: DataFrame,
+    aliases: DataFrame,
+    text: Column | None = None,
+    keys: tuple[str, ...] = ("document_id",),
+    max_broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``keyword_hits`` counted: one row ``(*keys, entity_id, keyword, hits)`` per keyword found."""
+    rows, are_counts = _matched(documents, aliases, text, keys, max_broadcast_rows)
+    return rows if are_counts else rows.groupBy(*keys, "entity_id", "keyword").agg(F.count("*").alias("hits"))
 
 
 def entity_counts(hits: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
@@ -185,6 +297,16 @@ def with_stock_code(counts: DataFrame, entities: DataFrame) -> DataFrame:
     return counts.join(codes, "entity_id", "left")
 
 
+def coded_counts(
+    documents: DataFrame, aliases: DataFrame, entities: DataFrame, keys: tuple[str, ...] = ("document_id",)
+) -> DataFrame:
+    """``entity_counts`` of documents ``with_stock_code``; of many entities only those found are looked up."""
+    listed = occurring(documents, aliases)
+    if listed is not aliases:
+        entities = entities.join(listed.select("entity_id").distinct(), "entity_id", "left_semi")
+    return with_stock_code(entity_counts(keyword_hits(documents, listed, keys=keys), keys), entities)
+
+
 def match_counts(documents: DataFrame, counts: DataFrame) -> DataFrame:
     """Distinct entities per document, 0 where nothing matched.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from buzzlens.functions.dates import instant
 from buzzlens.functions.numbers import pct_change
-from buzzlens.operators.matching import entity_counts, keyword_hits, with_stock_code
+from buzzlens.operators.matching import coded_counts
 from buzzlens.sources.series import time_range
 
 
@@ -21,8 +21,7 @@ def mention_points(documents: DataFrame, aliases: DataFrame, entities: DataFrame
     under ``entity_<id>``.
     """
     keys = ("document_id", "source_type", "published_at")
-    counts = entity_counts(keyword_hits(documents, aliases, keys=keys), keys)
-    return with_stock_code(counts, entities).select(
+    return coded_counts(documents, aliases, entities, keys).select(
         "document_id",
         "entity_id",
         F.coalesce(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from buzzlens import schemas
-from buzzlens.functions.dates import forum_timestamp, roc_date, rss_timestamp
+from buzzlens.functions.dates import forum_timestamp, instant, roc_date, rss_timestamp
 from buzzlens.operators import concepts as con
 from buzzlens.operators import dictionary as dic
 from buzzlens.operators import documents as doc
@@ -267,30 +267,24 @@ def forum_articles(spark, directory):
 @query
 def keyword_hits(spark, directory):
     """Occurrences per document, entity and keyword."""
-    hits = matching.keyword_hits(
+    return matching.keyword_counts(
         b.documents(spark, directory, b.dealt), b.match_aliases(spark, directory)
     )
-    return hits.groupBy("document_id", "entity_id", "keyword").agg(
-        F.count("*").alias("hits")
-    )
 
 
 @query
 def keyword_hits_large(spark, directory):
     """The same hits on the way a dictionary takes that is too large to broadcast."""
-    hits = matching.keyword_hits(
+    return matching.keyword_counts(
         b.documents(spark, directory, b.dealt),
         b.match_aliases(spark, directory),
         max_broadcast_rows=0,
     )
-    return hits.groupBy("document_id", "entity_id", "keyword").agg(
-        F.count("*").alias("hits")
-    )
 
 
-def _points(spark, directory):
+def _points(spark, directory, docs=None):
     return mentions.mention_points(
-        b.documents(spark, directory, b.dealt),
+        b.documents(spark, directory, b.dealt) if docs is None else docs,
         b.match_aliases(spark, directory),
         b.match_entities(spark, directory),
     )
@@ -299,12 +293,11 @@ def _points(spark, directory):
 @query
 def doc_entity_mentions(spark, directory):
     """Mentions per document and entity with the entity's stock code."""
-    counts = matching.entity_counts(
-        matching.keyword_hits(
-            b.documents(spark, directory, b.dealt), b.match_aliases(spark, directory)
-        )
+    return matching.coded_counts(
+        b.documents(spark, directory, b.dealt),
+        b.match_aliases(spark, directory),
+        b.match_entities(spark, directory),
     )
-    return matching.with_stock_code(counts, b.match_entities(spark, directory))
 
 
 def _status(spark, directory):
@@ -377,8 +370,11 @@ def signals_query(spark, directory):
 @query
 def document_signals(spark, directory):
     """Signals of matched documents against the bars of the sample events."""
+    docs = b.documents(spark, directory, b.dealt)
+    end = instant(AS_OF)
+    docs = series.time_range(docs, end - F.lit(2 * WINDOW), end, "published_at")  # of both windows
     return signals(
-        _points(spark, directory), b.event_bars(spark, directory), AS_OF, window=WINDOW
+        _points(spark, directory, docs), b.event_bars(spark, directory), AS_OF, window=WINDOW
     )
 
 

@@ -125,3 +125,52 @@ def test_large_dictionary_shuffles_what_the_heads_let_through(spark):
     assert plan.index("Exchange hashpartitioning(anchor_key") < heads  # the head filter is below the exchange
     exchanged = plan[plan.index("Exchange hashpartitioning(anchor_key"):heads]
     assert "section" not in exchanged.split("Project")[0]
+
+
+def many_words(rng):
+    """Codes that no text holds, one of them almost, and words that texts do hold, some twice."""
+    codes = [(1_000 + n, f"Q{n}") for n in range(10_000, 10_400)] + [(7, "aab"), (7, "aab"), (8, "aab"), (9, "aabb")]
+    return codes + [(rng.randint(1, 9), "".join(rng.choice("ab台") for _ in range(rng.randint(1, 11)))) for _ in range(40)]
+
+
+def test_keywords_that_do_not_occur_leave_a_large_dictionary(spark):
+    rng = random.Random(5)
+    words = many_words(rng)
+    texts = ["".join(rng.choice("ab台") for _ in range(n)) for n in (1, 5, 64, 200)] + ["Q1000 Q10399 Q1", ""]
+    documents, aliases = frames(spark, words, texts)
+    expected = brute_force(words, texts)
+    left = matching.occurring(documents, aliases, F.col("text"), max_broadcast_rows=100).collect()
+    assert Counter(map(tuple, left)) == Counter(w for w in words if w in {(e, k) for _, e, k in expected})
+    assert hits(spark, words, texts, max_broadcast_rows=100) == expected
+    counts = matching.keyword_counts(documents, aliases, F.col("text"), max_broadcast_rows=100).collect()
+    assert {tuple(r)[:3]: r["hits"] for r in counts} == expected and len(counts) == len(expected)
+
+
+@pytest.mark.parametrize("cut", [8, 4, None])
+def test_anchors_are_cut_until_they_fit(spark, monkeypatch, cut):
+    rng = random.Random(6)
+    words = many_words(rng)
+    texts = ["".join(rng.choice("ab台") for _ in range(n)) for n in (3, 70, 150)] + ["Q10399Q103999"]
+    monkeypatch.setattr(matching, "GATE_LENGTHS", (cut or 4,))
+    if cut is None:
+        monkeypatch.setattr(matching, "fits_broadcast", lambda df: False)
+    assert hits(spark, words, texts, max_broadcast_rows=0) == brute_force(words, texts)
+
+
+def test_a_large_dictionary_shuffles_counts(spark):
+    words = [(n, f"w{n}") for n in range(10)]
+    documents, aliases = frames(spark, words, [" ".join(w for _, w in words) * 500])
+    counts = matching.keyword_counts(documents, aliases, F.col("text"), max_broadcast_rows=0)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(document_id"):]
+    assert "partial_count(1)" in below.split("BroadcastHashJoin")[0]
+    assert {r["hits"] for r in counts.collect()} == {500}
+
+
+def test_codes_of_a_large_dictionary(spark, monkeypatch):
+    documents = spark.createDataFrame([("d1", "ab", "abc")], "document_id string, title string, content string")
+    aliases = spark.createDataFrame([(1, "ab"), (2, "bc"), (3, "zz"), (4, "c")], "entity_id long, keyword string")
+    entities = spark.createDataFrame([(1, "A"), (1, "B"), (2, None), (3, "Z")], "entity_id long, stock_code string")
+    monkeypatch.setattr(matching, "_is_small", lambda words, rows: words.size <= 3)
+    rows = matching.coded_counts(documents, aliases, entities).select("entity_id", "mention_count", "stock_code")
+    assert {tuple(r) for r in rows.collect()} == {(1, 2, "A"), (1, 2, "B"), (2, 1, None), (4, 1, None)}
