@@ -183,3 +183,27 @@ def test_a_source_that_dies_later_is_started_again(spark, tmp_path):
     assert (found["steady"].starts, found["steady"].errors) == (1, [])
     assert found["hopeless"].failed and found["hopeless"].starts == 3
     assert found["unborn"].failed and found["unborn"].errors == ["bad address"] * 3
+
+
+def test_a_merged_table_is_shuffled_once_unless_an_identity_is_hot(spark, tmp_path, monkeypatch):
+    many = [(f"c{n % 50}", at(n % 28 + 1, 10), n) for n in range(1_400)] * 2
+    hot = many + [("c1", at(2, 10), 5_000 + n) for n in range(200)]
+    plans, plain = [], days.last_row
+
+    def last_row(df, *args):
+        rows = plain(df, *args)
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(days, "last_row", last_row)
+    for name, rows in (("many", many), ("hot", hot)):
+        path, merged = str(tmp_path / name), {"identity": ["code", "ts"], "order": [F.col("n")]}
+        keep(spark, path, 0, *rows, **merged)
+        keep(spark, path, 1, ("c1", at(2, 10), 1), **merged)
+        best = {}
+        for code, ts, n in rows:
+            best[code, ts] = max(n, best.get((code, ts), n))
+        best["c1", at(2, 10)] = 1
+        assert stored(spark, path) == sorted((*key, n) for key, n in best.items())
+    assert "rangepartitioning(ts" in plans[0] and "hashpartitioning" not in plans[0].split("InMemory")[0]
+    assert "hashpartitioning" in plans[2].split("InMemory")[0]  # rows of a hot identity leave before the shuffle
