@@ -28,7 +28,7 @@ the keywords in a shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +160,20 @@ def _small_hits(documents: DataFrame, words: _Dictionary, text: Column, names: l
     return joined.filter(exact).select(*names, "entity_id", "keyword")
 
 
+def _small_counts(documents: DataFrame, words: _Dictionary, text: Column, names: list[str]) -> DataFrame:
+    """``keyword_counts`` with a dictionary that is broadcast.
+
+    Each keyword is matched and counted once, however many entities list it; these
+    are added after the exchange.
+    """
+    once = replace(words, rows=words.rows.drop("entity_id").distinct().withColumn("entity_id", F.lit(None)))
+    counted = _small_hits(documents, once, text, names).groupBy(*names, "keyword").agg(F.count("*").alias("places"))
+    listed = words.rows.groupBy("entity_id", "keyword").agg(F.count("*").alias("times"))
+    return counted.join(F.broadcast(listed), "keyword").select(
+        *names, "entity_id", "keyword", (F.col("places") * F.col("times")).alias("hits")
+    )
+
+
 def _gate_key(text: str, anchor_len: str, cut: int) -> Column:
     return F.expr(f"xxhash64(substring({text}, 1, least({anchor_len}, {cut})), {anchor_len})")
 
@@ -242,13 +256,11 @@ def occurring(
     return aliases.join(found, "keyword", "left_semi").select("entity_id", "keyword").checkpoint()
 
 
-def _matched(documents, aliases, text, keys, max_broadcast_rows) -> tuple[DataFrame, bool]:
-    """Rows of ``_small_hits``, or of ``_large_counts``, and whether they are counts."""
+def _matching(documents, aliases, text, max_broadcast_rows) -> tuple[_Dictionary, Column, bool]:
+    """The dictionary left to match, the text, and whether the dictionary is broadcast."""
     words = _prepare(occurring(documents, aliases, text, max_broadcast_rows))
     text = full_text(F.col("title"), F.col("content")) if text is None else text
-    if _is_small(words, max_broadcast_rows):
-        return _small_hits(documents, words, text, list(keys)), False
-    return _large_counts(documents, words, text, list(keys)), True
+    return words, text, _is_small(words, max_broadcast_rows)
 
 
 def keyword_hits(
@@ -267,9 +279,10 @@ def keyword_hits(
     (not at 0 rows, where that cannot help); if that is above them too, it is
     joined by a shuffle, and AQE splits hot keywords there.
     """
-    rows, are_counts = _matched(documents, aliases, text, keys, max_broadcast_rows)
-    if not are_counts:
-        return rows
+    words, text, small = _matching(documents, aliases, text, max_broadcast_rows)
+    if small:
+        return _small_hits(documents, words, text, list(keys))
+    rows = _large_counts(documents, words, text, list(keys))
     each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("hits")))
     return rows.select(*keys, "entity_id", "keyword", each.alias("_hit")).drop("_hit")
 
@@ -282,8 +295,8 @@ def keyword_counts(
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``keyword_hits`` counted: one row ``(*keys, entity_id, keyword, hits)`` per keyword found."""
-    rows, are_counts = _matched(documents, aliases, text, keys, max_broadcast_rows)
-    return rows if are_counts else rows.groupBy(*keys, "entity_id", "keyword").agg(F.count("*").alias("hits"))
+    words, text, small = _matching(documents, aliases, text, max_broadcast_rows)
+    return (_small_counts if small else _large_counts)(documents, words, text, list(keys))
 
 
 def entity_counts(hits: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:

@@ -174,3 +174,18 @@ def test_codes_of_a_large_dictionary(spark, monkeypatch):
     monkeypatch.setattr(matching, "_is_small", lambda words, rows: words.size <= 3)
     rows = matching.coded_counts(documents, aliases, entities).select("entity_id", "mention_count", "stock_code")
     assert {tuple(r) for r in rows.collect()} == {(1, 2, "A"), (1, 2, "B"), (2, 1, None), (4, 1, None)}
+
+
+def test_entities_of_a_keyword_are_added_after_the_exchange(spark):
+    words = [(n, "ab") for n in range(40)] + [(3, "ab"), (5, "b"), (6, "zz")]
+    documents, aliases = frames(spark, words, ["abab", "b", "", "abab"])
+    documents = documents.unionByName(documents.filter("document_id = '0'")).unionByName(
+        documents.filter("document_id = '3'").withColumn("document_id", F.lit(None).cast("string"))
+    )
+    counts = matching.keyword_counts(documents, aliases, F.col("text"))
+    found = {tuple(r)[:3]: r["hits"] for r in counts.collect()}
+    each = Counter(map(tuple, keyword_hits(documents, aliases, F.col("text")).collect()))
+    assert found == each and found["0", 3, "ab"] == 8 and found[None, 5, "b"] == 2 and ("0", 6, "zz") not in found
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    exchanged = plan[plan.index("Exchange hashpartitioning(document_id"):]
+    assert "entity_id" not in exchanged.split("\n")[1]
