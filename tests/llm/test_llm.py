@@ -175,6 +175,14 @@ def test_search_against_full_scoring(docs, texts, none):
     assert search.search(none, none).count() == 0
 
 
+def test_search_in_blocks_of_queries(docs, monkeypatch):
+    queries = docs.filter("doc_id % 5 = 0 OR doc_id IS NULL")
+    whole = search.search(docs, queries, k=3, shards=4).collect()
+    monkeypatch.setattr(search, "BLOCK_PAIRS", 200)
+    found = search.search(docs, queries, k=3, shards=4)
+    assert len(set(found.inputFiles())) > 2 and sorted(map(str, found.collect())) == sorted(map(str, whole))
+
+
 # Pages
 
 
