@@ -245,15 +245,17 @@ def occurring(
 
     The latter are found in a run over the texts of its own, which shuffles each
     text found once per task, and checkpointed in the shared folder: mostly few
-    enough to be broadcast then, which is cheaper than to shuffle the hits.
+    enough to be broadcast then, which is cheaper than to shuffle the hits. The
+    texts found are checkpointed before they meet the aliases: Spark joins each
+    part of a union by itself, and would read the documents again for each.
     """
     words = _prepare(aliases)
     if max_broadcast_rows == 0 or _is_small(words, max_broadcast_rows):
         return aliases
     shared_dir(documents.sparkSession)
     text = full_text(F.col("title"), F.col("content")) if text is None else text
-    found = _found(documents, words, text, []).distinct().withColumnRenamed("found", "keyword")
-    return aliases.join(found, "keyword", "left_semi").select("entity_id", "keyword").checkpoint()
+    found = _found(documents, words, text, []).distinct().withColumnRenamed("found", "keyword").checkpoint()
+    return aliases.join(broadcast_if_small(found), "keyword", "left_semi").select("entity_id", "keyword").checkpoint()
 
 
 def _matching(documents, aliases, text, max_broadcast_rows) -> tuple[_Dictionary, Column, bool]:

@@ -13,7 +13,7 @@ from buzzlens.operators.documents import hot_documents, mark_probed
 from buzzlens.operators.embeddings import DIMENSION, embed_documents, zero_vector
 from buzzlens.operators.matching import mark_processed
 from buzzlens.operators.mentions import mention_points
-from buzzlens.session import shared_dir
+from buzzlens.session import scratch_path, shared_dir
 
 
 @dataclass(frozen=True)
@@ -36,11 +36,14 @@ def process_documents(
 ) -> Processed:
     """Match a batch once and derive everything the processed documents need.
 
-    The points are checkpointed in the shared folder: status rows and vectors
-    are built from them, and texts are not matched again.
+    The points are written to a folder in the shared folder: status rows and
+    vectors are built from them, and texts are not matched again. As columns
+    they take a fraction of the rows that a checkpoint keeps.
     """
-    shared_dir(batch.sparkSession)
-    mentions = mention_points(batch, aliases, entities).checkpoint()
+    spark = batch.sparkSession
+    points, path = mention_points(batch, aliases, entities), scratch_path(spark, "points")
+    points.write.parquet(path)
+    mentions = spark.read.schema(points.schema).parquet(path)
     matched = mentions.select("document_id").distinct()
     return Processed(
         mentions,

@@ -189,3 +189,22 @@ def test_entities_of_a_keyword_are_added_after_the_exchange(spark):
     plan = counts._jdf.queryExecution().executedPlan().toString()
     exchanged = plan[plan.index("Exchange hashpartitioning(document_id"):]
     assert "entity_id" not in exchanged.split("\n")[1]
+
+
+def test_parts_of_a_dictionary_share_one_run_over_the_texts(spark, monkeypatch):
+    documents, aliases = frames(spark, [(1, "ab"), (2, "zz")], ["abab", "b", ""])
+    more = [spark.createDataFrame([(n, w)], "entity_id long, keyword string") for n, w in ((3, "b"), (4, "ab"), (5, "y"))]
+    for part in more:
+        aliases = aliases.unionByName(part)
+    documents, plans = documents.persist(), []
+    keep = type(documents).checkpoint
+
+    def checkpoint(frame, *options):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return keep(frame, *options)
+
+    monkeypatch.setattr(type(documents), "checkpoint", checkpoint)
+    found = matching.occurring(documents, aliases, F.col("text"), max_broadcast_rows=4)
+    documents.unpersist()
+    assert sorted(map(tuple, found.collect())) == [(1, "ab"), (3, "b"), (4, "ab")]
+    assert sum(plan.count("regexp_extract_all") for plan in plans) == 1
