@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -183,6 +184,21 @@ def test_search_in_blocks_of_queries(docs, monkeypatch):
     assert len(set(found.inputFiles())) > 2 and sorted(map(str, found.collect())) == sorted(map(str, whole))
 
 
+def test_words_of_a_shard_are_split_a_few_texts_at_a_time(monkeypatch):
+    column = pa.chunked_array([["b a b", None, "", "a"], ["c A", " ", "b", "a a a"], [], ["d b"]], pa.string())
+    whole, sizes, split = search._postings(column), [], search._terms
+    monkeypatch.setattr(search, "_terms", lambda part: sizes.append(len(part)) or split(part))
+    monkeypatch.setattr(search, "AT_ONCE", 2)
+    parts = search._postings(column)
+    assert sizes == [2, 2, 2, 2, 1]
+    for one, other in zip(whole, parts, strict=True):
+        assert one.dtype == other.dtype and one.tolist() == other.tolist()
+    assert [x.dtype.itemsize for x in whole] == [8, 1, 1, 1, 1]
+    assert search._postings(pa.chunked_array([["a " * 300]]))[3].tolist() == [300]
+    empty = search._postings(pa.chunked_array([[]], pa.string()))
+    assert [len(x) for x in empty] == [0, 1, 0, 0, 0]
+
+
 # Pages
 
 
