@@ -212,7 +212,7 @@ def _decode_lanes(words: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) ->
     """Places of each lane; ``words`` has one row per lane, ``lengths`` descend."""
     n, steps = len(lengths), int(lengths.max())
     model = _Model(sizes)
-    out = np.zeros((steps, n), np.int32)
+    out = np.zeros((steps, n), np.uint16)
     flat, row = words.reshape(-1), np.arange(n) * words.shape[1]
     code = (words[:, 0].astype(np.uint64) << WORD) | words[:, 1]
     span, used = np.full(n, 2**64 - 1, np.uint64), row + 2
@@ -287,7 +287,8 @@ def _alphabets(ids: np.ndarray, first: np.ndarray, length: np.ndarray, places: n
 
 def _encode_some(ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> list[bytes]:
     n, steps = len(first), int(length.max())
-    places, letters, sizes = np.zeros((n, steps), np.uint16), [], []
+    # Column by column, as the lanes take them.
+    places, letters, sizes = np.zeros((n, steps), np.uint16, order="F"), [], []
     for k in range(0, n, PREPARED):
         part = slice(k, k + PREPARED)
         some, size = _alphabets(ids, first[part], length[part], places[part])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from buzzlens.llm import idcoder
 from buzzlens.llm.bpe import _byte_symbols, load
 
-STRIPE = 1 << 20  # ids of a stripe; a longer document has a stripe of its own
+STRIPE = 1 << 18  # ids of a stripe, a row of some 300 KB; a longer document has a stripe of its own
 PART_BYTES = 22 << 20  # text of a part
 PARTS = 100_000  # most parts; their sums are broadcast
 SLICE = 4 << 20  # bytes of text tokenised at once
@@ -107,6 +107,11 @@ class Tokens:
         return flat[place], np.diff(ends[offsets]).astype(np.int64)
 
 
+def _give_back() -> None:
+    """Return what Arrow has freed to the system; its pool would keep it as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts of about ``SLICE`` bytes at a time."""
     held: list[pa.RecordBatch] = []
@@ -123,6 +128,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
         yield table.column(0).combine_chunks(), table.column(1).combine_chunks()
 
 
+def _singly(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch per stripe, so that the JVM holds one at a time besides its own copies."""
+    for k in range(rows.num_rows):
+        yield rows.slice(k, 1)
+
+
 class _Stripes:
     """Stripes of one part, coded as many blocks at a time as the coder takes."""
 
@@ -139,12 +150,13 @@ class _Stripes:
         self.ids.append(ids)
         self.held += len(ids)
         if self.held >= idcoder.LANES * idcoder.BLOCK:
-            yield self.flush()
+            yield from _singly(self.flush())
 
     def flush(self) -> pa.RecordBatch:
         """Rows of all stripes held; documents without ids go with their neighbours."""
         lengths = np.concatenate([*self.lengths, np.zeros(0, np.int64)])
         ids = np.concatenate([*self.ids, np.zeros(0, np.uint32)])
+        self.lengths, self.ids, self.held = [], [], 0  # not kept twice while they are coded
         ends = np.cumsum(lengths)
         cuts, start = [0], 0  # documents at which stripes start
         while cuts[-1] < len(lengths):
@@ -165,7 +177,7 @@ class _Stripes:
         }
         self.stripe += n
         self.before += int(ends[-1]) if len(ends) else 0
-        self.docs, self.lengths, self.ids, self.held = [], [], [], 0
+        self.docs = []
         return pa.RecordBatch.from_pydict(rows)
 
 
@@ -206,9 +218,12 @@ def write(
             if end_id is not None:
                 found = np.insert(found, np.cumsum(lengths), np.uint32(end_id))
                 lengths = lengths + 1
-            yield from stripes.add(ids.to_pylist(), found, lengths)
+            ids = ids.to_pylist()
+            del texts
+            _give_back()
+            yield from stripes.add(ids, found, lengths)
         if stripes.docs:
-            yield stripes.flush()
+            yield from _singly(stripes.flush())
 
     stored = ordered.mapInArrow(task, SCHEMA)
     stored.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
@@ -260,8 +275,11 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                 if size >= idcoder.LANES * idcoder.BLOCK:
                     yield from rows(held)
                     held, size = [], 0
+                    _give_back()
         if held:
             yield from rows(held)
+        held = []
+        _give_back()
 
     found = placed.mapInArrow(task, "id bigint, start bigint, n_tokens bigint, ids binary")
     return found.withColumnRenamed("id", id_col)

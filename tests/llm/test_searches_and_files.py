@@ -214,6 +214,22 @@ def test_coder_round_trip(runs, repeat):
     assert [d.tolist() for d in idcoder.decode(idcoder.encode(ids, starts))] == runs
 
 
+def test_ids_are_not_held_twice_while_they_are_coded(monkeypatch):
+    stripes, encode, seen = idfiles._Stripes(0), idcoder.encode, []
+
+    def held(ids, starts):
+        seen.append((stripes.held, len(stripes.ids), len(stripes.lengths)))
+        return encode(ids, starts)
+
+    monkeypatch.setattr(idcoder, "encode", held)
+    assert not list(stripes.add([1, 2], np.arange(5, dtype=np.uint32), np.array([2, 3])))
+    assert stripes.flush().column("n_ids").to_pylist() == [5]
+    assert not list(stripes.add([3], np.arange(4, dtype=np.uint32), np.array([4])))
+    row = stripes.flush()
+    assert (row.column("before").to_pylist(), row.column("doc_ids").to_pylist()) == ([5], [[3]])
+    assert seen == [(0, 0, 0)] * 2
+
+
 def test_coder_learns_and_checks():
     rng = np.random.default_rng(3)
     ids = np.tile(rng.integers(0, 50_000, 500), 60).astype(np.uint32)
