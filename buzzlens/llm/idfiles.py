@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from buzzlens.llm import idcoder
 from buzzlens.llm.bpe import _byte_symbols, load
 
-STRIPE = 1 << 18  # ids of a stripe, a row of some 300 KB; a longer document has a stripe of its own
+STRIPE = 1 << 20  # ids of a stripe; a longer document has a stripe of its own
 PART_BYTES = 22 << 20  # text of a part
 PARTS = 100_000  # most parts; their sums are broadcast
 SLICE = 4 << 20  # bytes of text tokenised at once
@@ -128,12 +128,6 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
         yield table.column(0).combine_chunks(), table.column(1).combine_chunks()
 
 
-def _singly(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch per stripe, so that the JVM holds one at a time besides its own copies."""
-    for k in range(rows.num_rows):
-        yield rows.slice(k, 1)
-
-
 class _Stripes:
     """Stripes of one part, coded as many blocks at a time as the coder takes."""
 
@@ -150,7 +144,7 @@ class _Stripes:
         self.ids.append(ids)
         self.held += len(ids)
         if self.held >= idcoder.LANES * idcoder.BLOCK:
-            yield from _singly(self.flush())
+            yield self.flush()
 
     def flush(self) -> pa.RecordBatch:
         """Rows of all stripes held; documents without ids go with their neighbours."""
@@ -223,7 +217,7 @@ def write(
             _give_back()
             yield from stripes.add(ids, found, lengths)
         if stripes.docs:
-            yield from _singly(stripes.flush())
+            yield stripes.flush()
 
     stored = ordered.mapInArrow(task, SCHEMA)
     stored.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
