@@ -184,6 +184,64 @@ def test_search_in_blocks_of_queries(docs, monkeypatch):
     assert len(set(found.inputFiles())) > 2 and sorted(map(str, found.collect())) == sorted(map(str, whole))
 
 
+def test_search_of_a_shard_together(monkeypatch):
+    """Queries answered together get what scoring every document gives them, whatever the bounds leave out."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, 30, p=(p := 1 / np.arange(1, 401)) / p.sum())) for _ in range(700)]
+    texts[10], texts[600], texts[30], texts[31] = texts[500], texts[500], None, " "
+    mean = sum(len((t or "").split()) for t in texts) / len(texts)
+    postings = search._postings(pa.chunked_array([texts]))
+    terms, first, doc, tf, length = postings
+    every = tf.astype(int) * 2.2 / (tf.astype(int) + 1.2 * (0.25 + 0.75 * length[doc] / mean))
+    asked, scores = [], []
+    for n in range(60):
+        at = np.flatnonzero(np.isin(terms, terms[doc_terms(postings, n * 10)] if n % 3 else rng.choice(terms, 2)))
+        at = at[np.argsort(terms[at].view(np.int64))]
+        rarity = rng.random(len(at)) + 0.01
+        score = np.zeros(len(texts))
+        for t, r in zip(at, rarity):
+            score[doc[first[t] : first[t + 1]]] += every[first[t] : first[t + 1]] * r
+        asked.append((at, rarity))
+        scores.append(score)
+    for often, most in ((16, 1_024), (2, 1_024), (16, 5), (1, 1_024)):
+        monkeypatch.setattr(search, "OFTEN", often)
+        monkeypatch.setattr(search, "MOST_OFTEN", most)
+        shard = search.Index.of(*postings, mean)
+        assert len(shard.often) <= most and (often > 1 or not len(shard.often))
+        assert shard.find(np.array([terms[3], 12345], np.uint64)).tolist() == [3, -1]
+        for share in (0.0, 1.0, 1.5):  # of the fifth score: none, all that reach it, few or none
+            floors = np.array([share * np.sort(score)[-5] for score in scores])
+            for (docs, found), score, floor in zip(shard.search(asked, 5, floors), scores, floors, strict=True):
+                best = [d for d in np.lexsort((np.arange(len(score)), -score))[:5] if score[d] >= floor and score[d] > 0]
+                assert docs[: len(best)].tolist() == best and found[: len(best)].tolist() == score[best].tolist()
+    assert shard.search([], 5, np.zeros(0)) == []
+
+
+def doc_terms(postings, number):
+    """Numbers of the terms of a document."""
+    return np.searchsorted(postings[1].astype(int), np.flatnonzero(postings[2] == number), "right") - 1
+
+
+def test_search_reads_documents_once_where_they_lie(spark, docs, none, monkeypatch):
+    index = search._index(docs.coalesce(1), "doc_id", "text")
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    rows = index.collect()
+    assert len(rows) == 1 and rows[0].docs == docs.count() and rows[0].ahead
+    monkeypatch.setattr(search, "SHARD", 50)
+    rows = search._index(docs.coalesce(1), "doc_id", "text").collect()
+    assert [r.docs for r in rows[:-1]] == [50] * (len(rows) - 1) and sum(r.docs for r in rows) == docs.count()
+    for r in rows:
+        ids = [i for i in r.ids if i is not None]
+        assert ids == sorted(ids) and r.ids == ids + [None] * (r.docs - len(ids))
+    monkeypatch.setattr(search, "SHARD", 16_384)
+    monkeypatch.setattr(search, "SHARD_BYTES", 2_000)
+    short = search._index(docs.coalesce(1), "doc_id", "text").collect()
+    assert len(short) > 1 and sum(r.words for r in short) == sum(r.words for r in rows)
+    assert search._index(none, "doc_id", "text").count() == 0
+
+
 def test_words_of_a_shard_are_split_a_few_texts_at_a_time(monkeypatch):
     column = pa.chunked_array([["b a b", None, "", "a"], ["c A", " ", "b", "a a a"], [], ["d b"]], pa.string())
     whole, sizes, split = search._postings(column), [], search._terms
