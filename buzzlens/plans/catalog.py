@@ -771,13 +771,18 @@ def stream_quotes(spark, directory):
     )
 
 
+LANDED_ROWS = 1 << 19  # of a file of polls
+
+
 def _quote_files(spark, directory):
     """Folder of a quote job that has read JSON files in three turns, one per return flag."""
     texts = b.quote_texts(spark, directory, LISTED).withColumn("flag", F.col("l_linenumber") % 3)
     base = scratch_path(spark, "quote-files")
     for flag in range(3):
         polls = texts.filter(F.col("flag") == flag).select("value")
-        polls.write.mode("append").text(f"{base}/landing")
+        # A compressed file is read by one task: many files of one size.
+        landed = polls.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", LANDED_ROWS)
+        landed.text(f"{base}/landing")
         stream = jobs.quote_stream(spark, f"{base}/landing", LISTED, json_array=False)
         jobs.keep_quotes(
             stream, LISTED, f"{base}/bars", f"{base}/rejected", f"{base}/checkpoint", counters=f"{base}/counters"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from buzzlens import schemas
 from buzzlens.functions.dates import instant
 from buzzlens.operators.keyed import last_row
+from buzzlens.session import shuffles_removed
 from buzzlens.sources.commits import Commits, folders
 
 LIVE = {"day": "date", "version": "string"}
@@ -72,19 +73,21 @@ def keep_days(
     columns: dict[str, str],
     identity: list[str] | None = None,
     order: list[Column] | None = None,
+    stored: bool = False,
 ) -> None:
     """Add the rows of a batch to the table at ``path``; a batch that is in it already changes nothing.
 
     ``identity`` and ``order`` make it a merged table: of the rows with equal
     ``identity`` the one of the later batch stays, within a batch the last by
-    ``order``. Only the days of the batch are read and written.
+    ``order``. Only the days of the batch are read and written. Rows that are
+    ``stored`` in files are read again rather than kept in memory and on disk.
     """
     spark, commits = rows.sparkSession, _commits(rows.sparkSession, path)
     if commits.is_done(batch_id):
         return
     live = [(r["day"], r["version"]) for r in commits.rows(before=batch_id)]
     typed = rows.select(*[F.col(n).cast(k).alias(n) for n, k in columns.items()]).withColumn("series_day", day)
-    typed = typed.persist()  # its days are listed and its ranges sampled before it is written
+    typed = typed if stored else typed.persist()  # its days are listed and its ranges sampled before it is written
     try:
         touched = [r[0] for r in typed.select("series_day").distinct().collect()]
         of_day = Counter(d for d, _ in live)
@@ -109,9 +112,11 @@ def keep_days(
                 together = last_row(together, identity, newest)
             ranged = together.drop("version").repartitionByRange(*tasks, *keys)
         writer = ranged.sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "static")
-        writer.partitionBy("series_day").parquet(f"{path}/data/version={batch_id}")
+        with shuffles_removed(spark):
+            writer.partitionBy("series_day").parquet(f"{path}/data/version={batch_id}")
     finally:
-        typed.unpersist()
+        if not stored:
+            typed.unpersist()
     commits.write(kept, batch_id)
     commits.forget(f"{path}/data", "version")
 

@@ -104,10 +104,13 @@ def unreadable(raw: DataFrame) -> DataFrame:
     return raw.filter(F.col(CORRUPT).isNotNull())
 
 
-def parse_quotes(raw: DataFrame, feed: QuoteFeed) -> DataFrame:
-    """Bars of a raw feed; a quote with any unreadable number or date is dropped."""
-    parsed = computed_once(
+NEEDED = ["trading_date", "open", "high", "low", "close", "volume", "turnover"]
+
+
+def _parsed(raw: DataFrame, feed: QuoteFeed, *others: str) -> DataFrame:
+    return computed_once(
         raw,
+        **{name: F.col(name) for name in others},
         stock_code=F.coalesce(F.col(feed.code), F.lit("")),
         stock_name=F.coalesce(F.col(feed.name), F.lit("")),
         trading_date=roc_date(F.col(feed.date)),
@@ -118,8 +121,24 @@ def parse_quotes(raw: DataFrame, feed: QuoteFeed) -> DataFrame:
         volume=quantity(F.col(feed.volume)),
         turnover=quantity(F.col(feed.turnover)),
     )
-    needed = ["trading_date", "open", "high", "low", "close", "volume", "turnover"]
-    return parsed.dropna(how="any", subset=needed).select(
+
+
+def parse_quotes(raw: DataFrame, feed: QuoteFeed) -> DataFrame:
+    """Bars of a raw feed; a quote with any unreadable number or date is dropped."""
+    return parsed_bars(_parsed(raw, feed), feed)
+
+
+def parse_once(raw: DataFrame, feed: QuoteFeed) -> DataFrame:
+    """What ``parsed_bars`` and ``unreadable`` need of a raw feed, which so is read once; other rows are left out."""
+    whole = F.lit(True)
+    for name in NEEDED:
+        whole = whole & F.col(name).isNotNull()
+    return _parsed(raw, feed, CORRUPT).filter(whole | F.col(CORRUPT).isNotNull())
+
+
+def parsed_bars(parsed: DataFrame, feed: QuoteFeed) -> DataFrame:
+    """Bars of ``parse_once``."""
+    return parsed.dropna(how="any", subset=NEEDED).select(
         "stock_code",
         "stock_name",
         F.lit(feed.market).alias("market"),

@@ -32,7 +32,7 @@ from buzzlens.sources.commits import remove
 from buzzlens.sources.days import is_done, keep_days, read_days
 from buzzlens.sources.feeds import parse_items
 from buzzlens.sources.pages import article_documents, index_entries
-from buzzlens.sources.quotes import CORRUPT, QuoteFeed, kept_schema, parse_quotes, unreadable
+from buzzlens.sources.quotes import CORRUPT, QuoteFeed, kept_schema, parse_once, parsed_bars, unreadable
 from buzzlens.sources.series import BAR_IDENTITY
 from buzzlens.streaming.outbox import deliver, delivered
 
@@ -131,13 +131,13 @@ def stored_counters(spark: SparkSession, path: str, job: str) -> DataFrame:
     return read_table(spark, f"{path}/{job}", COUNTERS)
 
 
-def _keep_bar_days(bars: DataFrame, path: str, batch_id: int) -> None:
+def _keep_bar_days(bars: DataFrame, path: str, batch_id: int, stored: bool = False) -> None:
     """One bar per stock, market and day: of the last batch, within a batch of the highest volume.
 
     All bars of a day are a few thousand small rows, so a folder holds a month.
     """
     order = [F.col(c) for c in ("volume", "turnover", "close", "stock_name")]
-    keep_days(bars, path, batch_id, F.trunc("trading_date", "month"), schemas.BARS, BAR_IDENTITY, order)
+    keep_days(bars, path, batch_id, F.trunc("trading_date", "month"), schemas.BARS, BAR_IDENTITY, order, stored)
 
 
 def keep_quotes(
@@ -153,23 +153,27 @@ def keep_quotes(
     """Keep the bars of raw quotes by day and what is not JSON in another table.
 
     ``counters`` names a table for the rows each batch kept and rejected;
-    they are counted as they are written.
+    they are counted as they are written. A batch's texts are read once: what is
+    parsed of them lies in ``staged`` below ``path`` until the batch is kept.
     """
     create_table(raw.sparkSession, rejected, schemas.UNREADABLE)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # written twice
+        spark, staged = batch.sparkSession, f"{path}/staged"
+        parsed = parse_once(batch, feed)
+        parsed.write.mode("overwrite").parquet(staged)  # written twice
         try:
-            bad, n_bad = counted(unreadable(batch), f"unreadable-{batch_id}")
+            parsed = spark.read.schema(parsed.schema).parquet(staged)
+            bad, n_bad = counted(unreadable(parsed), f"unreadable-{batch_id}")
             _write_batch(bad, rejected, batch_id, schemas.UNREADABLE)
-            bars, n_bars = counted(parse_quotes(batch, feed), f"bars-{batch_id}")
-            if is_done(batch.sparkSession, path, batch_id):
+            bars, n_bars = counted(parsed_bars(parsed, feed), f"bars-{batch_id}")
+            if is_done(spark, path, batch_id):
                 return
-            _keep_bar_days(bars, path, batch_id)
+            _keep_bar_days(bars, path, batch_id, stored=True)
             counts = {"kept": n_bars.get["rows"], "unreadable": n_bad.get["rows"]}
-            _keep_counters(batch.sparkSession, counters, batch_id, name, counts)
+            _keep_counters(spark, counters, batch_id, name, counts)
         finally:
-            batch.unpersist()
+            remove(spark, staged)
 
     return _run(raw, handle, checkpoint, trigger, name)
 

@@ -207,3 +207,16 @@ def test_a_merged_table_is_shuffled_once_unless_an_identity_is_hot(spark, tmp_pa
         assert stored(spark, path) == sorted((*key, n) for key, n in best.items())
     assert "rangepartitioning(ts" in plans[0] and "hashpartitioning" not in plans[0].split("InMemory")[0]
     assert "hashpartitioning" in plans[2].split("InMemory")[0]  # rows of a hot identity leave before the shuffle
+
+
+def test_shuffle_files_go_with_the_write(spark, tmp_path):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = set(re.findall(r"\d+", manager.shuffleStatuses().keySet().toString()))
+    rows = spark.range(200).selectExpr("CAST(id % 3 AS STRING) AS code", "id AS n", "timestamp'2025-07-01' AS ts")
+    columns = {"code": "string", "n": "bigint", "ts": "timestamp"}
+    keep_days(rows, str(tmp_path / "t"), 0, F.to_date("ts"), columns, ["code"], [F.col("n")], stored=True)
+    left = set(re.findall(r"\d+", manager.shuffleStatuses().keySet().toString())) - before
+    kept = {r["code"]: r["n"] for r in read_days(spark, str(tmp_path / "t"), columns).collect()}
+    assert kept == {"0": 198, "1": 199, "2": 197}
+    assert len(left) <= 1  # what lists the days; not the shuffles of the rows
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from buzzlens import schemas
 from buzzlens.operators.mentions import mention_delta_history, mention_points
+from buzzlens.plans import catalog
 from buzzlens.plans.signals import signals
-from buzzlens.sources.quotes import LISTED, parse_quotes
+from buzzlens.sources.quotes import LISTED, parse_quotes, read_quotes, unreadable
 from buzzlens.streaming import jobs
 
 
@@ -40,6 +41,43 @@ def test_quotes_last_poll_wins_and_restart_adds_nothing(spark, tmp_path):
     assert "cut" in bad["_corrupt_record"]
 
 
+def test_quotes_are_read_once_and_nothing_is_cached(spark, tmp_path, monkeypatch):
+    """A batch is parsed to files that go when it is kept; counts and tables are those of the texts."""
+    landing, table, rejected, counters = (str(tmp_path / n) for n in ("in", "bars", "bad", "counters"))
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps(quote(code, "2,000")) for code in ("2330", "2454", "2330")]
+    lines += [json.dumps(quote("9999", "--")), '{"Code": "cut', json.dumps(quote("2330", "1"))[:-1] + " x"]
+    (tmp_path / "in" / "1.json").write_text("\n".join(lines))
+    cached = []
+    kind = type(spark.range(1))
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda self, *a: cached.append(self.columns) or persist(self, *a))
+    stream = jobs.quote_stream(spark, landing, LISTED, json_array=False)
+    jobs.keep_quotes(stream, LISTED, table, rejected, str(tmp_path / "check"), counters=counters).awaitTermination()
+    assert cached == [] and not (tmp_path / "bars/staged").exists()
+    raw = read_quotes(spark, landing, LISTED, json_array=False).localCheckpoint()
+    bars, bad = parse_quotes(raw, LISTED).collect(), unreadable(raw).collect()
+    assert len(bars) >= 3 and len(bad) == 2
+    assert {tuple(r) for r in jobs.stored_bars(spark, table).select(*schemas.BARS).collect()} <= {tuple(r) for r in bars}
+    assert {r["stock_code"] for r in jobs.stored_bars(spark, table).collect()} == {r["stock_code"] for r in bars}
+    found = jobs.read_table(spark, rejected, schemas.UNREADABLE).collect()
+    assert sorted(r["_corrupt_record"] for r in found) == sorted(r["_corrupt_record"] for r in bad)
+    counts = {r["metric"]: r["rows"] for r in jobs.stored_counters(spark, counters, "quotes").collect()}
+    assert counts == {"kept": len(bars), "unreadable": len(bad)}
+
+
+def test_polls_land_compressed(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(n, n, f"[{json.dumps(quote(str(n), '5'))}]") for n in range(1, 7)],
+                                  "l_orderkey bigint, l_linenumber int, value string")
+    monkeypatch.setattr(catalog.b, "quote_texts", lambda *a: texts.coalesce(1))
+    monkeypatch.setattr(catalog, "LANDED_ROWS", 1)
+    monkeypatch.setattr(catalog, "scratch_path", lambda *a: str(tmp_path))
+    catalog._quote_files(spark, "")
+    landed = [f.name for f in (tmp_path / "landing").iterdir() if f.name.startswith("part-")]
+    assert len(landed) == 6 and all(n.endswith(".txt.gz") for n in landed)
+    assert {r["stock_code"] for r in jobs.stored_bars(spark, f"{tmp_path}/bars").collect()} == set("123456")
+
+
 def test_window_sums_keep_late_points_and_the_last_window(spark, tmp_path):
     landing, table, checkpoint = (str(tmp_path / n) for n in ("in", "sums", "check"))
     window, columns = timedelta(minutes=10), "stock_code string, ts timestamp, mention_count bigint"
